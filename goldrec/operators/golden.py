@@ -56,17 +56,22 @@ def golden_id(national_id: Column) -> Column:
 # ---- inputs ---------------------------------------------------------------
 
 
-def prepare(events: DataFrame, golden: DataFrame | None = None) -> DataFrame:
-    """Events with a cleaned key, a phone list and the ``seed_*`` columns."""
+def prepare(events: DataFrame) -> DataFrame:
+    """Events with a cleaned key and a phone list, reduced to the columns the fold uses."""
     rows = events.withColumn(KEY, norm_national_id(F.col(KEY), blank_to_null=True)).filter(
         F.col(KEY).isNotNull()
     )
-    stamp = dict(rows.dtypes)["event_ts"]
     columns = [KEY, *ORDER, *SCALARS, "source_system"]
     if "processed_at" in rows.columns:
         columns.append("processed_at")
-    rows = rows.select(*columns, parse_phones(F.col("phone")).alias("phones"))
+    return rows.select(*columns, parse_phones(F.col("phone")).alias("phones"))
+
+
+def _seeded(rows: DataFrame, golden: DataFrame | None, hot: HotKeys | None = None) -> DataFrame:
+    """Add the ``seed_*`` columns: the customer's golden row, or an empty record.
+    Rows of hot customers get their one golden row by broadcast."""
     if golden is None:
+        stamp = dict(rows.dtypes)["event_ts"]
         return rows.select(
             "*",
             F.lit(0).cast("bigint").alias("seed_version"),
@@ -81,18 +86,11 @@ def prepare(events: DataFrame, golden: DataFrame | None = None) -> DataFrame:
         F.col("updated_at").alias("seed_ts"),
         F.col("last_source_system").alias("seed_source"),
         *(F.col(c).alias(f"seed_{c}") for c in SCALARS),
-        F.coalesce("phones", no_phones()).alias("seed_phones"),
+        F.col("phones").alias("seed_phones"),
     )
-    hot = find_hot_keys(rows, KEY)
-    if hot is None:
-        joined = rows.join(seeds, KEY, "left")
-    else:
-        joined = (
-            hot.cold(rows)
-            .join(seeds, KEY, "left")
-            .unionByName(hot.hot(rows).join(F.broadcast(hot.hot(seeds)), KEY, "left"))
-        )
-    return joined.withColumns(
+    if hot is not None:
+        seeds = F.broadcast(hot.hot(seeds))
+    return rows.join(seeds, KEY, "left").withColumns(
         {
             "seed_version": F.coalesce("seed_version", F.lit(0)),
             "seed_phones": F.coalesce("seed_phones", no_phones()),
@@ -175,11 +173,13 @@ def golden_record(
     """One row per customer in ``events``. ``golden`` seeds the fold. ``sizes``
     may be any cheaper table with at least these rows, used to look for hot
     customers; it defaults to ``events``."""
-    rows = prepare(events, golden)
+    rows = prepare(events)
     hot = _hot_customers(rows, sizes)
     if hot is None:
-        return _golden_cold(rows, cfg)
-    return _golden_cold(hot.cold(rows), cfg).unionByName(_golden_hot(rows, hot, cfg))
+        return _golden_cold(_seeded(rows, golden), cfg)
+    cold_part = _golden_cold(_seeded(hot.cold(rows), golden), cfg)
+    hot_part = _golden_hot(_seeded(hot.hot(rows), golden, hot), hot, cfg)
+    return cold_part.unionByName(hot_part)
 
 
 def _hot_customers(
@@ -276,12 +276,14 @@ def golden_trace(
 ) -> DataFrame:
     """One row per event: the record before and after it, CREATED or UPDATED, and
     the version."""
-    rows = prepare(events, golden)
+    rows = prepare(events)
     limit = min(TRACE_ROWS, hot_rows(rows.sparkSession))
     hot = _hot_customers(rows, sizes, limit)
     if hot is None:
-        return _trace_group(rows, [KEY], cfg)
-    return _trace_group(hot.cold(rows), [KEY], cfg).unionByName(_trace_hot(rows, hot, cfg))
+        return _trace_group(_seeded(rows, golden), [KEY], cfg)
+    cold_part = _trace_group(_seeded(hot.cold(rows), golden), [KEY], cfg)
+    hot_part = _trace_hot(_seeded(hot.hot(rows), golden, hot), hot, cfg)
+    return cold_part.unionByName(hot_part)
 
 
 def _trace_group(rows: DataFrame, part: list[str], cfg: MasteringConfig) -> DataFrame:
@@ -465,15 +467,13 @@ def _phone_chunks(rows: DataFrame, rule: FieldRule) -> DataFrame:
 
 
 def _golden_hot(rows: DataFrame, hot: HotKeys, cfg: MasteringConfig) -> DataFrame:
-    seeds = [c for c in rows.columns if c.startswith("seed_")]
-    base = rows.select(KEY, *seeds)
     rows, _ = _chunked(rows, hot, cfg)
     ruled = _with_previous(rows, [KEY, "chunk"], cfg)
     if cfg.provenance == "field":
         ruled = _with_field_provenance(ruled, cfg)
+    # Of the seeds only seed_ts differs between chunks, and any of its values gives
+    # the same latest time.
     totals = ruled.groupBy(KEY).agg(*_scalar_aggregates(cfg))
-    firsts = hot.hot(base).groupBy(KEY).agg(*(F.first(c).alias(c) for c in seeds))
-    totals = totals.drop(*seeds).join(firsts, KEY)
     rule = cfg.rule("phone")
     if rule.strategy != "MERGE":
         return _finish(totals, no_phones(), cfg)

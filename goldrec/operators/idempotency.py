@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from goldrec.config import CLIENT_TTL_HOURS, DETERMINISTIC_TTL_HOURS
 from goldrec.functions import text as T
 from goldrec.plans.durable import durable, work_path
-from goldrec.plans.skew import HotKeys, find_hot_keys
+from goldrec.plans.skew import HotKeys, find_hot_keys, join_unique
 
 ORDER = ("event_ts", "event_id")
 
@@ -69,20 +69,31 @@ def _first_by_broadcast(keyed: DataFrame, hot: HotKeys) -> DataFrame:
     return keyed.join(F.broadcast(firsts), "key_hash").select(*keyed.columns, "first")
 
 
-def classify(keyed: DataFrame, in_flight: bool = False) -> DataFrame:
+def classify(
+    keyed: DataFrame, in_flight: bool = False, stored: DataFrame | None = None
+) -> DataFrame:
     """Add ``first_event_id, expires_at, result`` (MISS, HIT, EXPIRED, and with
-    ``in_flight`` also PROCESSING). An expired key is not re-armed."""
+    ``in_flight`` also PROCESSING). An expired key is not re-armed. ``stored`` is
+    the keys table of earlier batches; its keys come before any request here."""
     rows = with_first(keyed)
     first = F.col("first")
+    first_id, expires = first["event_id"], first["event_ts"] + _ttl(F.col("ttl_hours"))
+    if stored is not None:
+        known = stored.select(
+            "key_hash",
+            F.col("event_id").alias("stored_id"),
+            F.col("expires_at").alias("stored_expiry"),
+        )
+        rows = join_unique(rows, known, "key_hash", how="left")
+        first_id = F.coalesce("stored_id", first_id)
+        expires = F.coalesce("stored_expiry", expires)
+    rows = rows.withColumns({"expires_at": expires, "first_event_id": first_id})
     late = F.col("event_ts") > F.col("expires_at")
-    result = F.when(F.col("event_id") == first["event_id"], "MISS").when(late, "EXPIRED")
+    result = F.when(F.col("event_id") == F.col("first_event_id"), "MISS").when(late, "EXPIRED")
     if in_flight:
         result = result.when(F.col("event_ts") < first["done_ts"], "PROCESSING")
-    return (
-        rows.withColumn("expires_at", first["event_ts"] + _ttl(F.col("ttl_hours")))
-        .withColumn("first_event_id", first["event_id"])
-        .withColumn("result", result.otherwise("HIT"))
-        .drop("first", "ttl_hours")
+    return rows.withColumn("result", result.otherwise("HIT")).drop(
+        "first", "ttl_hours", "stored_id", "stored_expiry"
     )
 
 
@@ -151,7 +162,7 @@ def _rearm_by_fold(keyed: DataFrame) -> DataFrame:
         expiry = F.element_at(kept, -1)["event_ts"] + _ttl(F.col("ttl_hours"))
         return F.when(req["event_ts"] > expiry, F.concat(kept, F.array(req))).otherwise(kept)
 
-    kept = F.aggregate(F.slice("reqs", 2, 2**31 - 1), F.slice("reqs", 1, 1), step)
+    kept = F.aggregate(F.slice("reqs", 2, F.size("reqs")), F.slice("reqs", 1, 1), step)
     return grouped.select("key_hash", F.inline(kept)).select("key_hash", *ORDER)
 
 

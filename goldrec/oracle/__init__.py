@@ -1 +1,6 @@
 """DuckDB statements the Spark queries are checked against."""
+
+from goldrec.oracle import golden, ingest, match, ops  # noqa: F401
+from goldrec.oracle.common import SQL
+
+__all__ = ["SQL"]

@@ -24,15 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and cut off from its lineage by a reliable checkpoint."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a job's own tables."""
     return f"{shared_dir(spark)}/goldrec/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` computed once and read back from a table in the shared folder.
+
+    Readers get column pruning and a known size, and a lost executor costs a
+    re-read, not the lineage.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from goldrec.plans.durable import durable
 
-HOT_ROWS = 250_000
+HOT_ROWS = 1_000_000
 # The hot list is broadcast, so it must stay small: N rows hold at most N/limit
 # keys above the limit, and the limit is raised until the list is this short.
 MAX_HOT_KEYS = 500_000
+# Keys are counted in buckets first: a key above the limit makes its bucket pass
+# the limit, so usually one small shuffle of bucket counts rules out any hot key.
+BUCKETS = 1 << 18
 
 
 def hot_rows(spark: SparkSession) -> int:
@@ -40,14 +43,72 @@ class HotKeys:
 
 
 def find_hot_keys(df: DataFrame, *keys: str, limit: int | None = None) -> HotKeys | None:
-    """Count rows per key (partial counts before the shuffle) and keep the hot
-    ones; None when there are none, which is the usual case."""
+    """The keys with more than ``limit`` rows; None when there are none, which is
+    the usual case."""
     limit = limit or hot_rows(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
-    if counts.isEmpty():
+    over = F.col("n") > limit
+    size = F.count(F.lit(1)).alias("n")
+    bucketed = df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket"))
+    full = bucketed.groupBy("_bucket").agg(size).filter(over)
+    if full.isEmpty():
         return None
-    table = durable(counts)
-    while table.count() > MAX_HOT_KEYS:
+    full = F.broadcast(durable(full.select("_bucket"), "full-buckets"))
+    counts = bucketed.join(full, "_bucket", "left_semi").groupBy(*keys).agg(size).filter(over)
+    table = durable(counts, "hot-keys")
+    while (found := table.count()) > MAX_HOT_KEYS:
         limit *= 2
         table = table.filter(F.col("n") > limit)
-    return HotKeys(tuple(keys), table, limit)
+    return HotKeys(tuple(keys), table, limit) if found else None
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Join many rows with a table that holds at most one row per key.
+
+    Rows of hot keys meet their one partner by broadcast and are not shuffled;
+    the rest is a plain equi-join.
+    """
+    on = list(keys)
+    hot = find_hot_keys(rows, *keys)
+    if hot is None:
+        return rows.join(unique, on, how)
+    partners = F.broadcast(hot.hot(unique))
+    return hot.cold(rows).join(unique, on, how).unionByName(hot.hot(rows).join(partners, on, how))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:
+    """Inner join on ``key`` where either side may hold very many rows per key.
+
+    A key with more than the hot limit of rows on a side is split into parts of
+    that size by a hash of the row's id, and the other side's rows of that key
+    are sent to every part. All pairs are kept; no task gets a whole hot key.
+    """
+
+    def parts(df: DataFrame, name: str) -> DataFrame | None:
+        hot = find_hot_keys(df, key)
+        if hot is None:
+            return None
+        return hot.table.select(key, F.ceil(F.col("n") / F.lit(hot.limit)).cast("int").alias(name))
+
+    left_parts, right_parts = parts(left, "_lp"), parts(right, "_rp")
+    if left_parts is None and right_parts is None:
+        return left.join(right, key)
+
+    def salted(df: DataFrame, row_id: str, own: str, own_salt: str, other: str, other_salt: str):
+        for table in (left_parts, right_parts):
+            if table is not None:
+                df = df.join(F.broadcast(table), key, "left")
+        for name in ("_lp", "_rp"):
+            present = F.coalesce(name, F.lit(1)) if name in df.columns else F.lit(1)
+            df = df.withColumn(name, present)
+        salt = F.pmod(F.xxhash64(row_id), F.col(own)).cast("int")
+        return (
+            df.withColumn(own_salt, salt)
+            .withColumn(other_salt, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            .drop("_lp", "_rp")
+        )
+
+    return (
+        salted(left, left_id, "_lp", "_ls", "_rp", "_rs")
+        .join(salted(right, right_id, "_rp", "_rs", "_lp", "_ls"), [key, "_ls", "_rs"])
+        .drop("_ls", "_rs")
+    )
