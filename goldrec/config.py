@@ -59,8 +59,8 @@ class MasteringConfig:
     ``clock="event"`` compares an event's time with the latest time already
     applied; ``clock="processing"`` compares it with the ``processed_at`` of the
     previously applied event. ``provenance="record"`` asks whether the *last*
-    event of the record came from a trusted source; ``"field"`` asks where the
-    kept value came from.
+    event of the record came from a trusted source; ``"field"`` asks whether one
+    gave or confirmed the kept value.
     """
 
     fields: dict[str, FieldRule] = field(default_factory=_default_fields)

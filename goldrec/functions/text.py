@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character up to U+0020 at either end. Spark's own trim() removes spaces only.
-_EDGES = r"^[\x00-\x20]+|[\x00-\x20]+$"
+# Every character up to U+0020. Spark's own trim() removes spaces only.
+_EDGES = "".join(map(chr, range(0x21)))
 
 
 def jtrim(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(_EDGES))
 
 
 def is_blank(c: Column) -> Column:
@@ -27,7 +27,7 @@ def nfc(c: Column) -> Column:
         c,
         F.lit(False),
     )
-    return F.when(c.rlike(r"[^\x00-\x7F]"), composed).otherwise(c)
+    return F.when(F.octet_length(c) > F.length(c), composed).otherwise(c)
 
 
 def norm_national_id(c: Column, blank_to_null: bool = False) -> Column:
@@ -76,10 +76,12 @@ def mask_key(c: Column) -> Column:
 
 def det_key(national_id: Column, source: Column) -> Column:
     """SHA-256 over ``lower(id)|UPPER(source)``; null when either part is null."""
-    text = F.concat(
-        F.lower(norm_national_id(national_id)), F.lit("|"), F.upper(norm_text(source))
-    )
-    return F.sha2(text, 256)
+    return F.sha2(det_text(norm_national_id(national_id), norm_text(source)), 256)
+
+
+def det_text(national_id: Column, source: Column) -> Column:
+    """The text behind the deterministic key, from a cleaned id and source."""
+    return F.concat(F.lower(national_id), F.lit("|"), F.upper(source))
 
 
 def client_key_hash(c: Column) -> Column:

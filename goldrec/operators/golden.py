@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from goldrec.config import STRATEGIES, FieldRule, MasteringConfig
 from goldrec.functions.phones import merge_phones, parse_phones, serialize_phones, some
-from goldrec.functions.text import mask_national_id, norm_national_id
+from goldrec.functions.text import is_blank, mask_national_id, norm_national_id
 from goldrec.operators import conflict
 from goldrec.plans.chunks import assign_chunks, carried
 from goldrec.plans.durable import durable
@@ -58,9 +58,7 @@ def golden_id(national_id: Column) -> Column:
 
 def prepare(events: DataFrame) -> DataFrame:
     """Events with a cleaned key and a phone list, reduced to the columns the fold uses."""
-    rows = events.withColumn(KEY, norm_national_id(F.col(KEY), blank_to_null=True)).filter(
-        F.col(KEY).isNotNull()
-    )
+    rows = events.filter(~is_blank(F.col(KEY))).withColumn(KEY, norm_national_id(F.col(KEY)))
     columns = [KEY, *ORDER, *SCALARS, "source_system"]
     if "processed_at" in rows.columns:
         columns.append("processed_at")
@@ -139,8 +137,8 @@ def _wins(field: str, part: list[str], cfg: MasteringConfig) -> Column:
     rule = cfg.rule(field)
     if cfg.provenance == "record" or rule.strategy != "TRUSTED_SOURCE" or not rule.trusted:
         return conflict.incoming_wins(rule)
-    # Where did the kept value come from? Once a trusted value was seen, the kept
-    # value is trusted; before that it is not.
+    # A trusted source gave or confirmed the kept value once any trusted value was
+    # seen: it wins over an untrusted one, equals it, or loses to a trusted one.
     later = conflict.is_later()
     trusted = conflict.is_trusted_event(rule) & _value(field).isNotNull()
     before = W.partitionBy(*part).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
@@ -186,8 +184,8 @@ def _hot_customers(
     rows: DataFrame, sizes: DataFrame | None, limit: int | None = None
 ) -> HotKeys | None:
     if sizes is not None:
-        key = norm_national_id(F.col(KEY), blank_to_null=True)
-        rows = sizes.select(key.alias(KEY)).filter(F.col(KEY).isNotNull())
+        named = sizes.filter(~is_blank(F.col(KEY)))
+        rows = named.select(norm_national_id(F.col(KEY)).alias(KEY))
     return find_hot_keys(rows, KEY, limit=limit)
 
 
@@ -310,7 +308,7 @@ def _trace_group(rows: DataFrame, part: list[str], cfg: MasteringConfig) -> Data
             "created_at": F.coalesce("seed_created", F.first("event_ts").over(upto)),
         }
     ).withColumn("action", F.when(F.col("version") == 1, "CREATED").otherwise("UPDATED"))
-    if "phone" in states:
+    if "phone_before" in states:
         rows = rows.withColumns(
             {
                 "phones_before": F.coalesce("phone_before", no_phones()),

@@ -28,14 +28,25 @@ def with_idem_key(requests: DataFrame, ttl_factor: int = 1) -> DataFrame:
     return requests.withColumns(
         {
             "key_type": F.when(has_client, "CLIENT").otherwise("DETERMINISTIC"),
-            "key_hash": F.when(has_client, T.client_key_hash(F.col("client_key"))).otherwise(
-                T.det_key(F.col("national_id"), F.col("source_system"))
-            ),
+            "key_hash": F.sha2(_key_text(has_client), 256),
             "ttl_hours": ttl_hours,
         }
     )
 
 
+def _key_text(has_client: Column) -> Column:
+    """What the key hashes; ids and sources are clean already."""
+    text = T.det_text(F.col("national_id"), F.col("source_system"))
+    return F.when(has_client, F.col("client_key")).otherwise(text)
+
+
+def _hot_keys(keyed: DataFrame) -> HotKeys | None:
+    """Hot keys, sought by the text behind the hash, which is cheaper to make."""
+    return find_hot_keys(
+        keyed, "key_hash", bucket_by=_key_text(F.col("key_type") == "CLIENT")
+    )
+
+
 def _ttl(hours: Column) -> Column:
     return F.make_dt_interval(hours=hours)
 
@@ -51,7 +62,7 @@ def with_first(keyed: DataFrame) -> DataFrame:
     Cold keys: one window, one shuffle. Hot keys: their first request is a
     partial aggregate, broadcast back, so their rows are not shuffled at all.
     """
-    hot = find_hot_keys(keyed, "key_hash")
+    hot = _hot_keys(keyed)
     if hot is None:
         return _first_by_window(keyed)
     return _first_by_window(hot.cold(keyed)).unionByName(_first_by_broadcast(keyed, hot))
@@ -146,7 +157,7 @@ def rearmed(keyed: DataFrame) -> DataFrame:
     request, which is the smallest request after the carried expiry, so each
     slot is one partial aggregate over that slot's rows only.
     """
-    hot = find_hot_keys(keyed, "key_hash")
+    hot = _hot_keys(keyed)
     if hot is None:
         return _rearm_by_fold(keyed)
     return _rearm_by_fold(hot.cold(keyed)).unionByName(_rearm_by_slots(hot.hot(keyed)))

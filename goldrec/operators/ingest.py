@@ -47,8 +47,16 @@ def check_requests(requests: DataFrame) -> DataFrame:
     return clean.withColumn("reason", reject_reason(F.col("national_id"), F.col("source_system")))
 
 
+def is_valid(national_id: Column, source: Column) -> Column:
+    """``reject_reason`` is null, said so that a filter pushed below the cleaning
+    cleans each value once."""
+    sizes = range(NATIONAL_ID_MIN, NATIONAL_ID_MAX + 1)
+    return F.length(national_id).isin(*sizes) & source.isin(*SOURCE_SYSTEMS)
+
+
 def valid_requests(requests: DataFrame) -> DataFrame:
-    return check_requests(requests).filter(F.col("reason").isNull()).drop("reason")
+    clean = sanitize_requests(requests)
+    return clean.filter(is_valid(F.col("national_id"), F.col("source_system")))
 
 
 def invalid_requests(requests: DataFrame) -> DataFrame:

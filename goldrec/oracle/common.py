@@ -123,7 +123,10 @@ def fold(cfg: MasteringConfig = MasteringConfig(), source: str = "accepted") ->
           when s.phones = [e.phone] then s.phones
           when {_wins(phone)} then [e.phone] else s.phones end"""
     none = "[]::varchar[]"
-    took = f"(s.name is null and e.name is not null) or (e.name is not null and s.name <> e.name and {name_wins})"
+    vouched = ", ".join(f"'{t}'" for t in name.trusted) or "null"
+    took = f"""(s.name is null and e.name is not null)
+      or (e.name is not null and s.name <> e.name and {name_wins})
+      or (e.name = s.name and e.source_system in ({vouched}))"""
     return f"""ev as (
   select *, row_number() over (partition by national_id order by event_ts, event_id) as rn
   from {source}),

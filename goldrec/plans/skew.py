@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldrec.plans.durable import durable
@@ -42,13 +42,16 @@ class HotKeys:
         return df.join(F.broadcast(self.table.select(*self.keys)), list(self.keys), "left_semi")
 
 
-def find_hot_keys(df: DataFrame, *keys: str, limit: int | None = None) -> HotKeys | None:
+def find_hot_keys(
+    df: DataFrame, *keys: str, limit: int | None = None, bucket_by: Column | None = None
+) -> HotKeys | None:
     """The keys with more than ``limit`` rows; None when there are none, which is
-    the usual case."""
+    the usual case. ``bucket_by`` may be any expression equal for rows of one key."""
     limit = limit or hot_rows(df.sparkSession)
     over = F.col("n") > limit
     size = F.count(F.lit(1)).alias("n")
-    bucketed = df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket"))
+    by = keys if bucket_by is None else (bucket_by,)
+    bucketed = df.select(*keys, F.pmod(F.xxhash64(*by), F.lit(BUCKETS)).alias("_bucket"))
     full = bucketed.groupBy("_bucket").agg(size).filter(over)
     if full.isEmpty():
         return None
