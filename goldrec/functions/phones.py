@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,16 +33,24 @@ def some(phones: Column) -> Column:
     return F.when(F.size(phones) > 0, phones)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed one time however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def merge_phones(current: Column, incoming: Column, rule: FieldRule) -> Column:
     """One merge step over non-null lists: an empty side or an equal side keeps
     the other as it is; otherwise the ordered union, cut to the newest values."""
     joined = F.array_compact(F.concat(current, incoming))
     if rule.merge_type == "UNION":
         joined = F.array_distinct(joined)
-    newest = F.slice(
-        joined, F.greatest(F.lit(1), F.size(joined) - F.lit(rule.max_values - 1)), rule.max_values
-    )
-    merged = F.when(F.size(newest) > 0, newest).otherwise(current)
+
+    def newest(values: Column) -> Column:
+        start = F.greatest(F.lit(1), F.size(values) - F.lit(rule.max_values - 1))
+        return F.slice(values, start, rule.max_values)
+
+    merged = _once(joined, newest)
+    merged = _once(merged, lambda values: F.when(F.size(values) > 0, values).otherwise(current))
     return (
         F.when(F.size(incoming) == 0, current)
         .when(F.size(current) == 0, incoming)
