@@ -115,11 +115,33 @@ def _with_previous(rows: DataFrame, part: list[str], cfg: MasteringConfig) -> Da
             "prev_ts": F.when(first, F.col("seed_ts")).otherwise(F.col("_ts")),
         }
     )
+    for f in _vouched_fields(cfg):
+        if f"seed_vouched_{f}" not in rows.columns:
+            rows = rows.withColumn(f"seed_vouched_{f}", _seed_vouched(f, cfg))
     return rows.withColumns(
         {f"wins_{f}": _wins(f, part, cfg) for f in _chosen_fields(cfg)}
     ).drop("_src", "_ts")
 
 
+def _vouched_fields(cfg: MasteringConfig) -> list[str]:
+    """Fields whose kept value is followed to the source that gave it."""
+    if cfg.provenance == "record":
+        return []
+    rules = {f: cfg.rule(f) for f in _chosen_fields(cfg)}
+    return [f for f, r in rules.items() if r.strategy == "TRUSTED_SOURCE" and r.trusted]
+
+
+def _seed_vouched(field: str, cfg: MasteringConfig) -> Column:
+    """A snapshot names its last source only, so that one stands for the field's."""
+    trusted = F.coalesce(F.col("seed_source").isin(*cfg.rule(field).trusted), F.lit(False))
+    return trusted & _seed(field).isNotNull()
+
+
+def _vouching(field: str, cfg: MasteringConfig) -> Column:
+    """The event is a trusted source's value for the field."""
+    return conflict.is_trusted_event(cfg.rule(field)) & _value(field).isNotNull()
+
+
 def _chosen_fields(cfg: MasteringConfig) -> list[str]:
     merged = cfg.rule("phone").strategy == "MERGE"
     return [*SCALARS] if merged else [*SCALARS, "phone"]
@@ -134,16 +156,15 @@ def _seed(field: str) -> Column:
 
 
 def _wins(field: str, part: list[str], cfg: MasteringConfig) -> Column:
-    rule = cfg.rule(field)
-    if cfg.provenance == "record" or rule.strategy != "TRUSTED_SOURCE" or not rule.trusted:
-        return conflict.incoming_wins(rule)
+    if field not in _vouched_fields(cfg):
+        return conflict.incoming_wins(cfg.rule(field))
     # A trusted source gave or confirmed the kept value once any trusted value was
     # seen: it wins over an untrusted one, equals it, or loses to a trusted one.
-    later = conflict.is_later()
-    trusted = conflict.is_trusted_event(rule) & _value(field).isNotNull()
+    trusted = _vouching(field, cfg)
     before = W.partitionBy(*part).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
-    kept_trusted = F.coalesce(F.max(trusted).over(before), F.lit(False))
-    return F.when(trusted == kept_trusted, later).otherwise(trusted)
+    seen = F.coalesce(F.max(trusted).over(before), F.lit(False))
+    kept_trusted = seen | F.col(f"seed_vouched_{field}")
+    return F.when(trusted == kept_trusted, conflict.is_later()).otherwise(trusted)
 
 
 def _won(field: str) -> Column:
@@ -167,12 +188,13 @@ def golden_record(
     cfg: MasteringConfig = MasteringConfig(),
     golden: DataFrame | None = None,
     sizes: DataFrame | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """One row per customer in ``events``. ``golden`` seeds the fold. ``sizes``
     may be any cheaper table with at least these rows, used to look for hot
-    customers; it defaults to ``events``."""
+    customers; it defaults to ``events``. ``bound``: see ``find_hot_keys``."""
     rows = prepare(events)
-    hot = _hot_customers(rows, sizes)
+    hot = _hot_customers(rows, sizes, bound)
     if hot is None:
         return _golden_cold(_seeded(rows, golden), cfg)
     cold_part = _golden_cold(_seeded(hot.cold(rows), golden), cfg)
@@ -181,12 +203,15 @@ def golden_record(
 
 
 def _hot_customers(
-    rows: DataFrame, sizes: DataFrame | None, limit: int | None = None
+    rows: DataFrame,
+    sizes: DataFrame | None = None,
+    bound: DataFrame | None = None,
+    limit: int | None = None,
 ) -> HotKeys | None:
     if sizes is not None:
         named = sizes.filter(~is_blank(F.col(KEY)))
         rows = named.select(norm_national_id(F.col(KEY)).alias(KEY))
-    return find_hot_keys(rows, KEY, limit=limit)
+    return find_hot_keys(rows, KEY, limit=limit, bound=bound)
 
 
 def _scalar_aggregates(cfg: MasteringConfig) -> list[Column]:
@@ -271,12 +296,13 @@ def golden_trace(
     cfg: MasteringConfig = MasteringConfig(),
     golden: DataFrame | None = None,
     sizes: DataFrame | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """One row per event: the record before and after it, CREATED or UPDATED, and
     the version."""
     rows = prepare(events)
     limit = min(TRACE_ROWS, hot_rows(rows.sparkSession))
-    hot = _hot_customers(rows, sizes, limit)
+    hot = _hot_customers(rows, sizes, bound, limit)
     if hot is None:
         return _trace_group(_seeded(rows, golden), [KEY], cfg)
     cold_part = _trace_group(_seeded(hot.cold(rows), golden), [KEY], cfg)
@@ -306,6 +332,9 @@ def _trace_group(rows: DataFrame, part: list[str], cfg: MasteringConfig) -> Data
             **states,
             "version": F.col("seed_version") + F.col("rn"),
             "created_at": F.coalesce("seed_created", F.first("event_ts").over(upto)),
+            "updated_at": F.greatest("event_ts", "prev_ts")
+            if cfg.clock == "event"
+            else F.col("processed_at"),
         }
     ).withColumn("action", F.when(F.col("version") == 1, "CREATED").otherwise("UPDATED"))
     if "phone_before" in states:
@@ -337,6 +366,7 @@ TRACE_COLUMNS = (
     "phones_after",
     "version",
     "created_at",
+    "updated_at",
     "action",
 )
 
@@ -398,11 +428,13 @@ def _chunked(rows: DataFrame, hot: HotKeys, cfg: MasteringConfig) -> tuple[DataF
     clock = "event_ts" if cfg.clock == "event" else "processed_at"
     rows = durable(assign_chunks(rows, hot, "event_ts"))
     order = F.struct(*ORDER)
+    vouched = _vouched_fields(cfg)
     chunks = rows.groupBy(KEY, "chunk").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("event_ts").alias("first_ts"),
         F.max_by("source_system", order).alias("source"),
         F.max_by(clock, order).alias("ts"),
+        *(F.max(_vouching(f, cfg)).alias(f"vouched_{f}") for f in vouched),
     )
     handed = carried(
         chunks,
@@ -411,10 +443,15 @@ def _chunked(rows: DataFrame, hot: HotKeys, cfg: MasteringConfig) -> tuple[DataF
         c_created=F.min("first_ts"),
         c_source=F.last("source"),
         c_ts=F.last("ts"),
+        **{f"c_vouched_{f}": F.max(f"vouched_{f}") for f in vouched},
     )
     later = F.col("chunk") > 0
     ts = F.greatest("c_ts", "seed_ts") if cfg.clock == "event" else F.col("c_ts")
-    rows = rows.join(handed, [KEY, "chunk"]).withColumns(
+    rows = rows.join(handed, [KEY, "chunk"])
+    for f in vouched:
+        earlier = F.coalesce(f"c_vouched_{f}", F.lit(False))
+        rows = rows.withColumn(f"seed_vouched_{f}", _seed_vouched(f, cfg) | earlier)
+    rows = rows.withColumns(
         {
             "seed_source": F.when(later, F.col("c_source")).otherwise(F.col("seed_source")),
             "seed_ts": F.when(later, ts).otherwise(F.col("seed_ts")),
@@ -467,8 +504,6 @@ def _phone_chunks(rows: DataFrame, rule: FieldRule) -> DataFrame:
 def _golden_hot(rows: DataFrame, hot: HotKeys, cfg: MasteringConfig) -> DataFrame:
     rows, _ = _chunked(rows, hot, cfg)
     ruled = _with_previous(rows, [KEY, "chunk"], cfg)
-    if cfg.provenance == "field":
-        ruled = _with_field_provenance(ruled, cfg)
     # Of the seeds only seed_ts differs between chunks, and any of its values gives
     # the same latest time.
     totals = ruled.groupBy(KEY).agg(*_scalar_aggregates(cfg))
@@ -480,34 +515,7 @@ def _golden_hot(rows: DataFrame, hot: HotKeys, cfg: MasteringConfig) -> DataFram
     return _finish(totals, F.coalesce("end", "seed_phones"), cfg)
 
 
-def _with_field_provenance(ruled: DataFrame, cfg: MasteringConfig) -> DataFrame:
-    """Decide ``wins_<field>`` again knowing whether an earlier chunk already held
-    a trusted value."""
-    part = [KEY, "chunk"]
-    w = W.partitionBy(*part).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
-    later = conflict.is_later()
-    for f in _chosen_fields(cfg):
-        rule = cfg.rule(f)
-        if rule.strategy != "TRUSTED_SOURCE" or not rule.trusted:
-            continue
-        trusted = conflict.is_trusted_event(rule) & _value(f).isNotNull()
-        per_chunk = ruled.groupBy(*part).agg(F.max(trusted).alias("seen"))
-        earlier = carried(per_chunk, [KEY], seen_earlier=F.max("seen"))
-        kept = F.coalesce(F.max(trusted).over(w), F.lit(False)) | F.coalesce(
-            "seen_earlier", F.lit(False)
-        )
-        ruled = (
-            ruled.join(earlier, part)
-            .withColumn("_kept", kept)
-            .withColumn(f"wins_{f}", F.when(trusted == F.col("_kept"), later).otherwise(trusted))
-            .drop("_kept", "seen_earlier")
-        )
-    return ruled
-
-
 def _trace_hot(rows: DataFrame, hot: HotKeys, cfg: MasteringConfig) -> DataFrame:
-    if cfg.provenance == "field":
-        raise ValueError("the trace of hot customers supports provenance='record'")
     part = [KEY, "chunk"]
     rows, chunks = _chunked(rows, hot, cfg)
     ruled = _with_previous(rows, part, cfg)
@@ -565,11 +573,11 @@ def golden_from_trace(trace: DataFrame) -> DataFrame:
         "email": "email_after",
         "phones": "phones_after",
         "created_at": "created_at",
+        "updated_at": "updated_at",
         "last_source_system": "source_system",
     }
     rows = trace.groupBy(KEY).agg(
         F.max("version").alias("version"),
-        F.max(F.greatest("event_ts", "prev_ts")).alias("updated_at"),
         *(F.max_by(column, last).alias(name) for name, column in picked.items()),
     )
     return rows.withColumns(
@@ -583,7 +591,8 @@ def golden_upsert(
     """The snapshot after ``events``: touched customers fold on from their row,
     the others stay as they are."""
     touched = golden_record(events, cfg, golden)
-    kept = golden.join(touched.select(KEY), KEY, "left_anti").select(*GOLDEN_COLUMNS)
+    ids = prepare(events).select(KEY).distinct()
+    kept = golden.join(ids, KEY, "left_anti").select(*GOLDEN_COLUMNS)
     return touched.select(*GOLDEN_COLUMNS).unionByName(kept)
 
 

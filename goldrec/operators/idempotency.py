@@ -40,11 +40,10 @@ def _key_text(has_client: Column) -> Column:
     return F.when(has_client, F.col("client_key")).otherwise(text)
 
 
-def _hot_keys(keyed: DataFrame) -> HotKeys | None:
+def _hot_keys(keyed: DataFrame, bound: DataFrame | None = None) -> HotKeys | None:
     """Hot keys, sought by the text behind the hash, which is cheaper to make."""
-    return find_hot_keys(
-        keyed, "key_hash", bucket_by=_key_text(F.col("key_type") == "CLIENT")
-    )
+    by = _key_text(F.col("key_type") == "CLIENT")
+    return find_hot_keys(keyed, "key_hash", bucket_by=by, bound=bound)
 
 
 def _ttl(hours: Column) -> Column:
@@ -56,13 +55,13 @@ def _first_of_key(rows: DataFrame, *extra: str) -> Column:
     return F.struct(*ORDER, *(c for c in extra if c in rows.columns))
 
 
-def with_first(keyed: DataFrame) -> DataFrame:
+def with_first(keyed: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """Add ``first`` = struct of the key's first request to every row.
 
     Cold keys: one window, one shuffle. Hot keys: their first request is a
     partial aggregate, broadcast back, so their rows are not shuffled at all.
     """
-    hot = _hot_keys(keyed)
+    hot = _hot_keys(keyed, bound)
     if hot is None:
         return _first_by_window(keyed)
     return _first_by_window(hot.cold(keyed)).unionByName(_first_by_broadcast(keyed, hot))
@@ -81,12 +80,16 @@ def _first_by_broadcast(keyed: DataFrame, hot: HotKeys) -> DataFrame:
 
 
 def classify(
-    keyed: DataFrame, in_flight: bool = False, stored: DataFrame | None = None
+    keyed: DataFrame,
+    in_flight: bool = False,
+    stored: DataFrame | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``first_event_id, expires_at, result`` (MISS, HIT, EXPIRED, and with
     ``in_flight`` also PROCESSING). An expired key is not re-armed. ``stored`` is
-    the keys table of earlier batches; its keys come before any request here."""
-    rows = with_first(keyed)
+    the keys table of earlier batches; its keys come before any request here.
+    ``bound`` is a stored table with at least as many rows (see ``find_hot_keys``)."""
+    rows = with_first(keyed, bound)
     first = F.col("first")
     first_id, expires = first["event_id"], first["event_ts"] + _ttl(F.col("ttl_hours"))
     if stored is not None:

@@ -98,7 +98,7 @@ def match_candidates(incoming: DataFrame, golden: DataFrame) -> DataFrame:
     kept in the first of them only, so no distinct is needed."""
 
     def exploded(df: DataFrame, row_id: str, prefix: str) -> DataFrame:
-        rows = durable(with_blocks(profiles(df, row_id)), "profiles")
+        rows = with_blocks(profiles(df, row_id))
         renamed = rows.select(
             row_id,
             *(
@@ -108,7 +108,7 @@ def match_candidates(incoming: DataFrame, golden: DataFrame) -> DataFrame:
             F.col("blocks").alias(f"{prefix}_blocks"),
             F.posexplode("blocks").alias(f"{prefix}_pos", "block"),
         )
-        return renamed.filter(F.col("block").isNotNull())
+        return durable(renamed.filter(F.col("block").isNotNull()), "blocks")
 
     pairs = salted_join(
         exploded(incoming, "incoming_id", "in"),

@@ -43,11 +43,19 @@ class HotKeys:
 
 
 def find_hot_keys(
-    df: DataFrame, *keys: str, limit: int | None = None, bucket_by: Column | None = None
+    df: DataFrame,
+    *keys: str,
+    limit: int | None = None,
+    bucket_by: Column | None = None,
+    bound: DataFrame | None = None,
 ) -> HotKeys | None:
     """The keys with more than ``limit`` rows; None when there are none, which is
-    the usual case. ``bucket_by`` may be any expression equal for rows of one key."""
+    the usual case. ``bucket_by`` may be any expression equal for rows of one key.
+    ``bound`` may be a stored table with at least as many rows: its count comes
+    from file footers, and a table within the limit cannot hold a hot key."""
     limit = limit or hot_rows(df.sparkSession)
+    if bound is not None and bound.count() <= limit:
+        return None
     over = F.col("n") > limit
     size = F.count(F.lit(1)).alias("n")
     by = keys if bucket_by is None else (bucket_by,)
@@ -87,7 +95,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right
     """
 
     def parts(df: DataFrame, name: str) -> DataFrame | None:
-        hot = find_hot_keys(df, key)
+        hot = find_hot_keys(df, key, bound=df)
         if hot is None:
             return None
         return hot.table.select(key, F.ceil(F.col("n") / F.lit(hot.limit)).cast("int").alias(name))

@@ -13,6 +13,7 @@ from goldrec.functions import phones as P
 from goldrec.functions import similarity as S
 from goldrec.functions import text as T
 from goldrec.operators import dedup, dlq, golden, idempotency, ingest, match, read, slo
+from goldrec.plans.durable import durable
 from goldrec.sources import fixtures as fx
 from goldrec.sources import raw_events, requests
 from goldrec.streaming import jobs as streams
@@ -41,16 +42,28 @@ def _keyed(spark: SparkSession, sf: str, factor: int = 1) -> DataFrame:
     return idempotency.with_idem_key(_valid(spark, sf), factor)
 
 
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored table behind the requests: it bounds their number."""
+    return fx.table(spark, sf, "events")
+
+
+def _classified(spark: SparkSession, sf: str, factor: int = 1, in_flight: bool = False) -> DataFrame:
+    keyed = _keyed(spark, sf, factor)
+    return idempotency.classify(keyed, in_flight, bound=_events(spark, sf))
+
+
 def _accepted(spark: SparkSession, sf: str) -> DataFrame:
-    return idempotency.accepted(idempotency.classify(_keyed(spark, sf)))
+    return idempotency.accepted(_classified(spark, sf))
 
 
 def _golden(spark: SparkSession, sf: str, cfg: MasteringConfig = MasteringConfig()) -> DataFrame:
-    return golden.golden_record(_accepted(spark, sf), cfg, sizes=_valid(spark, sf))
+    events, source = _accepted(spark, sf), _events(spark, sf)
+    return golden.golden_record(events, cfg, sizes=_valid(spark, sf), bound=source)
 
 
 def _trace(spark: SparkSession, sf: str, cfg: MasteringConfig = MasteringConfig()) -> DataFrame:
-    return golden.golden_trace(_accepted(spark, sf), cfg, sizes=_valid(spark, sf))
+    events, source = _accepted(spark, sf), _events(spark, sf)
+    return golden.golden_trace(events, cfg, sizes=_valid(spark, sf), bound=source)
 
 
 def _conflicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,17 +270,17 @@ def _classes(df: DataFrame) -> DataFrame:
 
 @query
 def idem_classify(spark, sf):
-    return _classes(idempotency.classify(_keyed(spark, sf)))
+    return _classes(_classified(spark, sf))
 
 
 @query
 def idem_classify_long_ttl(spark, sf):
-    return _classes(idempotency.classify(_keyed(spark, sf, LONG_TTL)))
+    return _classes(_classified(spark, sf, LONG_TTL))
 
 
 @query
 def idem_accepted(spark, sf):
-    return idempotency.replies(idempotency.classify(_keyed(spark, sf, LONG_TTL)))
+    return idempotency.replies(_classified(spark, sf, LONG_TTL))
 
 
 @query
@@ -297,12 +310,12 @@ def idem_rearm_stream(spark, sf):
 
 @query
 def idem_stats(spark, sf):
-    return idempotency.idem_stats(idempotency.classify(_keyed(spark, sf, LONG_TTL)))
+    return idempotency.idem_stats(_classified(spark, sf, LONG_TTL))
 
 
 @query
 def idem_in_flight(spark, sf):
-    return _classes(idempotency.classify(_keyed(spark, sf, LONG_TTL), in_flight=True))
+    return _classes(_classified(spark, sf, LONG_TTL, in_flight=True))
 
 
 # ---- raw-event dedup ------------------------------------------------------
@@ -334,9 +347,10 @@ def golden_record(spark, sf):
 @query
 def golden_upsert(spark, sf):
     """The first half of the month as snapshot, the second half merged into it."""
-    events = _accepted(spark, sf)
+    events = durable(_accepted(spark, sf), "raw")
     split = F.lit(SPLIT_AT).cast("timestamp_ntz")
-    snapshot = golden.golden_record(events.filter(F.col("event_ts") < split))
+    early = events.filter(F.col("event_ts") < split)
+    snapshot = durable(golden.golden_record(early, bound=events), "golden")
     return _golden_out(golden.golden_upsert(snapshot, events.filter(F.col("event_ts") >= split)))
 
 
@@ -430,7 +444,8 @@ def golden_field_provenance(spark, sf):
 def golden_processing_clock(spark, sf):
     """The processing clock: an event is compared with the end of the one before."""
     events = _accepted(spark, sf).withColumn("processed_at", F.col("done_ts"))
-    rows = golden.golden_record(events, MasteringConfig(clock="processing"), sizes=_valid(spark, sf))
+    cfg = MasteringConfig(clock="processing")
+    rows = golden.golden_record(events, cfg, sizes=_valid(spark, sf), bound=_events(spark, sf))
     return rows.select("national_id", "name", "email", "updated_at")
 
 

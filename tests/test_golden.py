@@ -60,7 +60,7 @@ def test_golden_equals_event_by_event_fold(spark, hot_limit, name, limit):
 
 
 @pytest.mark.parametrize("limit", [None, 30], ids=["cold", "hot"])
-@pytest.mark.parametrize("name", [n for n in CONFIGS if n != "field provenance"])
+@pytest.mark.parametrize("name", CONFIGS)
 def test_trace_equals_event_by_event_fold(spark, hot_limit, name, limit):
     if limit:
         hot_limit(limit)
@@ -92,10 +92,11 @@ def test_upsert_goes_on_from_the_snapshot_even_with_late_events(spark, hot_limit
     assert got == expected(second, cfg, states)
 
 
-def test_golden_from_trace_is_the_golden_record(spark):
-    df = frame(spark, brute.events(5))
-    whole = golden.golden_record(df).select(*golden.GOLDEN_COLUMNS)
-    traced = golden.golden_from_trace(golden.golden_trace(df))
+@pytest.mark.parametrize("clock", ["event", "processing"])
+def test_golden_from_trace_is_the_golden_record(spark, clock):
+    df, cfg = frame(spark, brute.events(5)), MasteringConfig(clock=clock)
+    whole = golden.golden_record(df, cfg).select(*golden.GOLDEN_COLUMNS)
+    traced = golden.golden_from_trace(golden.golden_trace(df, cfg))
     assert whole.exceptAll(traced).isEmpty() and traced.exceptAll(whole).isEmpty()
 
 
@@ -182,13 +183,6 @@ def test_one_conflict(spark, strategy, trusted, source, later, wins):
     assert row.email == ("b" if wins else "a")
 
 
-def test_hot_trace_refuses_field_provenance(spark, hot_limit):
-    hot_limit(30)
-    cfg = MasteringConfig(provenance="field")
-    with pytest.raises(ValueError):
-        golden.golden_trace(frame(spark, brute.events(6)), cfg)
-
-
 def test_phone_chunks_settle_for_stubborn_sequences(spark, hot_limit):
     """Cycles of cap + 1 phones: every event evicts the phone that comes next."""
     hot_limit(9)
