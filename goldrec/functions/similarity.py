@@ -96,12 +96,11 @@ def score_email_gmail(a: Column, b: Column) -> Column:
     )
 
 
-def score_name(a: Column, b: Column) -> Column:
-    x, y = norm_name(a), norm_name(b)
+def name_score(x: Column, y: Column) -> Column:
+    """Similarity of two cleaned names."""
     edits = F.levenshtein(x, y)
     return (
-        F.when(a.isNull() | b.isNull(), 0.0)
-        .when(x == y, 1.0)
+        F.when(x == y, 1.0)
         .when((x == "") | (y == ""), 0.0)
         .when(edits <= NAME_EDITS, 1.0 - edits / F.greatest(F.length(x), F.length(y)))
         .when(x.contains(y) | y.contains(x), CONTAINED_NAME)
@@ -109,22 +108,38 @@ def score_name(a: Column, b: Column) -> Column:
     )
 
 
+def score_name(a: Column, b: Column) -> Column:
+    known = a.isNotNull() & b.isNotNull()
+    return F.when(known, name_score(norm_name(a), norm_name(b))).otherwise(0.0)
+
+
+def sound_score(first_a: Column, first_b: Column, last_a: Column, last_b: Column) -> Column:
+    """Mean agreement of the sound codes of first and last names; a null or empty
+    code agrees with nothing."""
+
+    def same(x: Column, y: Column) -> Column:
+        return F.when((x == y) & (x != ""), 1.0).otherwise(0.0)
+
+    return (same(first_a, first_b) + same(last_a, last_b)) / 2.0
+
+
 def score_phonetic(first_a: Column, first_b: Column, last_a: Column, last_b: Column) -> Column:
-    def same_sound(x: Column, y: Column) -> Column:
-        given = (F.length(x) > 0) & (F.length(y) > 0)
-        equal = sound_code(norm_name(x)) == sound_code(norm_name(y))
-        return F.when(given & equal, 1.0).otherwise(0.0)
+    return sound_score(*(_given_sound(c) for c in (first_a, first_b, last_a, last_b)))
+
 
-    return (same_sound(first_a, first_b) + same_sound(last_a, last_b)) / 2.0
+def _given_sound(name: Column) -> Column:
+    return F.when(F.length(name) > 0, sound_code(norm_name(name)))
+
+
+def nickname_score(x: Column, y: Column, canonical_x: Column, canonical_y: Column) -> Column:
+    """Agreement of two cleaned names or of their full forms; null agrees with nothing."""
+    return F.when(x == y, 1.0).when(canonical_x == canonical_y, SAME_NICKNAME).otherwise(0.0)
 
 
 def score_nickname(a: Column, b: Column) -> Column:
-    return (
-        F.when(a.isNull() | b.isNull(), 0.0)
-        .when(norm_name(a) == norm_name(b), 1.0)
-        .when(canonical_name(a) == canonical_name(b), SAME_NICKNAME)
-        .otherwise(0.0)
-    )
+    known = a.isNotNull() & b.isNotNull()
+    score = nickname_score(norm_name(a), norm_name(b), canonical_name(a), canonical_name(b))
+    return F.when(known, score).otherwise(0.0)
 
 
 def last_digits(phone: Column) -> Column:
@@ -132,11 +147,15 @@ def last_digits(phone: Column) -> Column:
     return F.when(F.length(phone) >= LAST_DIGITS, F.right(phone, F.lit(LAST_DIGITS)))
 
 
-def score_phone(a: Column, b: Column) -> Column:
-    x, y = norm_phone(a), norm_phone(b)
+def phone_score(x: Column, y: Column) -> Column:
+    """Agreement of two cleaned phones."""
     return (
         F.when((x == "") | (y == ""), 0.0)
         .when(x == y, 1.0)
         .when(last_digits(x) == last_digits(y), SAME_LAST_DIGITS)
         .otherwise(0.0)
     )
+
+
+def score_phone(a: Column, b: Column) -> Column:
+    return phone_score(norm_phone(a), norm_phone(b))

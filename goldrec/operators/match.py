@@ -14,7 +14,14 @@ from goldrec.functions.text import norm_email, norm_name, norm_phone
 from goldrec.plans.durable import durable
 from goldrec.plans.skew import join_unique, salted_join
 
-BLOCKS = ("email_first", "email_last", "email_phone", "phone_first", "phone_last")
+BLOCKS = (
+    ("email_key", "first_sound"),
+    ("email_key", "last_sound"),
+    ("email_key", "phone_tail"),
+    ("phone_tail", "first_sound"),
+    ("phone_tail", "last_sound"),
+)
+COMPARED = ("email", "name", "phone", "first_name", "last_name", "first_sound", "last_sound", "first_full")
 
 
 def match_email_exact(incoming: DataFrame, golden: DataFrame) -> DataFrame:
@@ -29,7 +36,7 @@ def match_email_exact(incoming: DataFrame, golden: DataFrame) -> DataFrame:
     wanted = incoming.select(
         "incoming_id", norm_email(F.col("email")).alias("email_key")
     ).filter(F.col("email_key").isNotNull())
-    return join_unique(wanted, first, "email_key").select(
+    return join_unique(wanted, first, "email_key", bound=incoming).select(
         "incoming_id",
         "national_id",
         F.lit(1.0).alias("score"),
@@ -62,11 +69,13 @@ def profiles(contacts: DataFrame, row_id: str) -> DataFrame:
             F.min(row_id).alias(row_id),
             F.count(F.lit(1)).alias("copies"),
         )
-        .withColumns(_name_parts())
+        .withColumns(name_parts())
+        .withColumns(_signals())
     )
 
 
-def _name_parts() -> dict[str, Column]:
+def name_parts() -> dict[str, Column]:
+    """First and last word of a cleaned name; a single word is a first name."""
     words = F.split(F.col("name"), r"\s+")
     return {
         "first_name": F.get(words, F.lit(0)),
@@ -74,21 +83,31 @@ def _name_parts() -> dict[str, Column]:
     }
 
 
+def _signals() -> dict[str, Column]:
+    """What blocks and scores compare, worked out once per profile, not per pair."""
+
+    def sound(name: str) -> Column:
+        return F.when(F.length(name) > 0, S.sound_code(F.col(name)))
+
+    gmail = F.col("email").contains("@gmail.com")
+    return {
+        "email_key": F.when(gmail, F.regexp_replace("email", r"\.", "")).otherwise(F.col("email")),
+        "phone_tail": S.last_digits(F.col("phone")),
+        "first_sound": sound("first_name"),
+        "last_sound": sound("last_name"),
+        "first_full": S.canonical_name(F.col("first_name")),
+    }
+
+
 def with_blocks(profile_rows: DataFrame) -> DataFrame:
     """Add ``blocks``: keys of which candidate pairs share at least one. Each key
     joins two signals, because one e-mail, phone tail or surname alone may be
     shared by a large part of all rows."""
-    email = F.when(
-        F.col("email").contains("@gmail.com"), F.regexp_replace("email", r"\.", "")
-    ).otherwise(F.col("email"))
-    tail = S.last_digits(F.col("phone"))
-    first, last = (
-        F.when(F.length(c) > 0, S.sound_code(F.col(c))) for c in ("first_name", "last_name")
-    )
-    pairs = ((email, first), (email, last), (email, tail), (tail, first), (tail, last))
     keys = [
-        F.when(a.isNotNull() & b.isNotNull(), F.concat_ws("\x01", F.lit(name), a, b))
-        for name, (a, b) in zip(BLOCKS, pairs)
+        F.when(
+            F.col(a).isNotNull() & F.col(b).isNotNull(), F.concat_ws("\x01", F.lit(f"{a}+{b}"), a, b)
+        )
+        for a, b in BLOCKS
     ]
     return profile_rows.withColumn("blocks", F.array(*keys))
 
@@ -98,17 +117,14 @@ def match_candidates(incoming: DataFrame, golden: DataFrame) -> DataFrame:
     kept in the first of them only, so no distinct is needed."""
 
     def exploded(df: DataFrame, row_id: str, prefix: str) -> DataFrame:
-        rows = with_blocks(profiles(df, row_id))
+        rows = durable(with_blocks(profiles(df, row_id)), "profiles")
         renamed = rows.select(
             row_id,
-            *(
-                F.col(c).alias(f"{prefix}_{c}")
-                for c in ("profile", "email", "name", "phone", "first_name", "last_name", "copies")
-            ),
+            *(F.col(c).alias(f"{prefix}_{c}") for c in ("profile", "copies", *COMPARED)),
             F.col("blocks").alias(f"{prefix}_blocks"),
             F.posexplode("blocks").alias(f"{prefix}_pos", "block"),
         )
-        return durable(renamed.filter(F.col("block").isNotNull()), "blocks")
+        return renamed.filter(F.col("block").isNotNull())
 
     pairs = salted_join(
         exploded(incoming, "incoming_id", "in"),
@@ -128,15 +144,15 @@ def pair_scores(a: str = "in", b: str = "gold") -> dict[str, Column]:
     def both(field: str) -> tuple[Column, Column]:
         return F.col(f"{a}_{field}"), F.col(f"{b}_{field}")
 
-    similar = S.score_name(*both("name"))
-    nickname = F.when(
-        F.col(f"{a}_last_name") == F.col(f"{b}_last_name"), S.score_nickname(*both("first_name"))
-    ).otherwise(0.0)
+    nickname = S.nickname_score(*both("first_name"), *both("first_full"))
+    same_last = F.col(f"{a}_last_name") == F.col(f"{b}_last_name")
     return {
         "email_score": S.score_email_gmail(*both("email")),
-        "name_score": F.greatest(similar, nickname),
-        "phone_score": S.score_phone(*both("phone")),
-        "phonetic_score": S.score_phonetic(*both("first_name"), *both("last_name")),
+        "name_score": F.greatest(
+            S.name_score(*both("name")), F.when(same_last, nickname).otherwise(0.0)
+        ),
+        "phone_score": S.phone_score(*both("phone")),
+        "phonetic_score": S.sound_score(*both("first_sound"), *both("last_sound")),
     }
 
 
@@ -181,7 +197,7 @@ def best_match(incoming: DataFrame, scored: DataFrame) -> DataFrame:
         ).alias("best")
     )
     rows = with_profile(incoming).select("incoming_id", "profile")
-    joined = join_unique(rows, best, "profile", how="left")
+    joined = join_unique(rows, best, "profile", how="left", bound=incoming)
     score = F.coalesce("best.score", F.lit(0.0))
     return joined.select(
         "incoming_id",

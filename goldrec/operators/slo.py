@@ -265,18 +265,16 @@ def daily_throughput(log: DataFrame) -> DataFrame:
 
 
 def _trailing(log: DataFrame, days: int, *counts: Column) -> DataFrame:
-    """Sums over the ``days`` days that end with each day. Daily counts are sent to
+    """Sums over the ``days`` days that end with each day that has events. Daily counts are sent to
     the days they belong to, so no single ordered pass over all days is needed."""
     daily = log.groupBy(F.window("event_ts", "1 day")["start"].alias("slot")).agg(*counts)
     names = [c for c in daily.columns if c != "slot"]
-    last = daily.agg(F.max("slot").alias("last"))
     ahead = F.expr(f"sequence(slot, slot + interval {days - 1} days, interval 1 day)")
-    spread = daily.select(F.explode(ahead).alias("day"), *names)
-    return (
-        spread.join(F.broadcast(last), F.col("day") <= F.col("last"))
-        .groupBy("day")
-        .agg(*(F.sum(n).alias(n) for n in names))
+    spread = daily.select("slot", F.explode(ahead).alias("day"), *names)
+    sums = spread.groupBy("day").agg(
+        F.max(F.col("slot") == F.col("day")).alias("has_events"), *(F.sum(n).alias(n) for n in names)
     )
+    return sums.filter("has_events").drop("has_events")
 
 
 def slo_latency_compliance(log: DataFrame, bound_ms: int = 100, days: int = 30) -> DataFrame:

@@ -72,14 +72,20 @@ def find_hot_keys(
     return HotKeys(tuple(keys), table, limit) if found else None
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+def join_unique(
+    rows: DataFrame,
+    unique: DataFrame,
+    *keys: str,
+    how: str = "inner",
+    bound: DataFrame | None = None,
+) -> DataFrame:
     """Join many rows with a table that holds at most one row per key.
 
     Rows of hot keys meet their one partner by broadcast and are not shuffled;
     the rest is a plain equi-join.
     """
     on = list(keys)
-    hot = find_hot_keys(rows, *keys)
+    hot = find_hot_keys(rows, *keys, bound=bound)
     if hot is None:
         return rows.join(unique, on, how)
     partners = F.broadcast(hot.hot(unique))

@@ -95,7 +95,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     known = match.with_profile(fx.golden_contacts(spark, sf))
 
     def side(df: DataFrame, row_id: str, prefix: str) -> DataFrame:
-        df = df.withColumns(match._name_parts())
+        df = df.withColumns(match.name_parts())
         fields = ("email", "name", "phone", "first_name", "last_name")
         return df.select(row_id, *(F.col(f).alias(f"{prefix}_{f}") for f in fields))
 

@@ -103,11 +103,9 @@ def run_sli_stream(spark: SparkSession, log: DataFrame) -> DataFrame:
         )
 
     run()
-    last = written.agg(F.max("event_ts").alias("last"))
-    closing = written.limit(1).crossJoin(F.broadcast(last)).withColumn(
-        "event_ts", F.col("last") + F.expr("interval 1 day")
-    )
-    closing.drop("last").write.mode("append").parquet(f"{path}/in")
+    last = written.agg(F.max("event_ts") + F.expr("interval 1 day")).first()[0]
+    closing = written.limit(1).withColumn("event_ts", F.lit(last))
+    closing.write.mode("append").parquet(f"{path}/in")
     run()
     out = spark.read.parquet(f"{path}/out")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

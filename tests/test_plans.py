@@ -112,7 +112,8 @@ def test_a_lookup_filter_reaches_the_scan(spark):
 
 
 def test_no_query_uses_a_cross_join_or_a_python_udf(spark):
-    for name in ("golden_record", "golden_trace", "match_score", "best_match", "idem_classify", "slo_status"):
+    names = ["golden_record", "golden_trace", "match_score", "best_match", "idem_classify"]
+    for name in [*names, "slo_status", "slo_availability", "dlq_alerts", "alert_error_rate"]:
         text = plan(QUERIES[name](spark, SF))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
         assert "ArrowEvalPython" not in text and "BatchEvalPython" not in text
