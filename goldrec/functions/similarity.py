@@ -48,7 +48,7 @@ SOUND_CODES = "111122222222334556"
 # ---------------------------------------------------------------------------
 
 
-def _canonical_of() -> dict[str, str]:
+def nickname_table() -> dict[str, str]:
     table = {}
     for canonical, variants in NICKNAMES.items():
         for name in (canonical, *variants.split()):
@@ -59,7 +59,7 @@ def _canonical_of() -> dict[str, str]:
 def canonical_name(c: Column) -> Column:
     """The full form of a nickname; other names stand for themselves."""
     name = norm_name(c)
-    table = F.create_map(*(F.lit(x) for x in chain.from_iterable(_canonical_of().items())))
+    table = F.create_map(*(F.lit(x) for x in chain.from_iterable(nickname_table().items())))
     return F.coalesce(F.try_element_at(table, name), name)
 
 

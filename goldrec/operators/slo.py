@@ -83,7 +83,7 @@ def severity_text(name: Column) -> Column:
     return chain
 
 
-def _counts() -> list[Column]:
+def log_counts() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("processed"),
         F.count_if(~F.col("ok")).alias("errors"),
@@ -97,7 +97,7 @@ def _counts() -> list[Column]:
 
 
 def sli_totals(log: DataFrame) -> DataFrame:
-    return log.agg(*_counts())
+    return log.agg(*log_counts())
 
 
 def duplicate_rate(log: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def slo_status(log: DataFrame, target: float = C.SLO_TARGET) -> DataFrame:
 
 
 def slo_by_window(log: DataFrame, width: str = "1 day", target: float = C.SLO_TARGET) -> DataFrame:
-    counts = log.groupBy(F.window("event_ts", width)["start"].alias("window_start")).agg(*_counts())
+    counts = log.groupBy(F.window("event_ts", width)["start"].alias("window_start")).agg(*log_counts())
     return counts.select("window_start", "processed", "errors", *_slo_columns(target))
 
 
@@ -238,7 +238,7 @@ def event_rate(log: DataFrame) -> DataFrame:
 
 def golden_rate(log: DataFrame) -> DataFrame:
     """Records created and updated per second in each five minutes."""
-    per = log.groupBy(F.window("event_ts", "5 minutes")["start"].alias("window_start")).agg(*_counts())
+    per = log.groupBy(F.window("event_ts", "5 minutes")["start"].alias("window_start")).agg(*log_counts())
     return per.select(
         "window_start",
         *(F.round(F.col(c) / 300.0, 6).alias(f"{c}_per_sec") for c in ("created", "updated")),
@@ -246,7 +246,7 @@ def golden_rate(log: DataFrame) -> DataFrame:
 
 
 def _ratio_window(log: DataFrame, part: str, width: str) -> DataFrame:
-    per = log.groupBy(F.window("event_ts", width)["start"].alias("window_start")).agg(*_counts())
+    per = log.groupBy(F.window("event_ts", width)["start"].alias("window_start")).agg(*log_counts())
     value = F.round(ratio(F.col(part), F.col("processed")), 6)
     return per.select("window_start", part, "processed", value.alias("ratio"))
 

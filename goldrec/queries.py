@@ -324,8 +324,9 @@ def idem_in_flight(spark, sf):
 @query
 def dedup_event_id(spark, sf):
     """Deliveries, every seventh event twice, against the events stored before."""
-    deliveries = fx.with_copies(_accepted(spark, sf), 7)
-    stored = _accepted(spark, sf).filter(F.col("event_ts") < F.lit("2024-01-08").cast("timestamp_ntz"))
+    events = durable(_accepted(spark, sf), "raw")
+    deliveries = fx.with_copies(events, 7)
+    stored = events.filter(F.col("event_ts") < F.lit("2024-01-08").cast("timestamp_ntz"))
     return dedup.dedup_event_id(deliveries, stored).select("event_id", "national_id", "event_ts")
 
 

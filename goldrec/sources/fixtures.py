@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldrec.functions.similarity import _canonical_of
+from goldrec.functions.similarity import nickname_table
 
 REQUESTS = """
 select event_id,
@@ -112,7 +112,7 @@ def incoming_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nicknames(spark: SparkSession) -> DataFrame:
     """The 65-row nickname dimension."""
-    rows = [(variant, canonical) for variant, canonical in _canonical_of().items()]
+    rows = [(variant, canonical) for variant, canonical in nickname_table().items()]
     return spark.createDataFrame(rows, "variant string, canonical string").coalesce(1)
 
 

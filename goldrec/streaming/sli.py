@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldrec.operators.slo import _counts, ratio
+from goldrec.operators.slo import log_counts, ratio
 
 
 def sli_stream(log: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts, events per second and ratios per window, each window sent once when
     the watermark passes its end."""
     windows = (
-        log.withWatermark("event_ts", late).groupBy(F.window("event_ts", width)).agg(*_counts())
+        log.withWatermark("event_ts", late).groupBy(F.window("event_ts", width)).agg(*log_counts())
     )
     seconds = F.unix_timestamp(F.col("window.end")) - F.unix_timestamp(F.col("window.start"))
     return windows.select(

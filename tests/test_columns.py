@@ -107,4 +107,4 @@ def test_phonetic_score_is_the_mean_of_both_names(spark):
 
 
 def test_nickname_table_has_all_names():
-    assert len(S._canonical_of()) == 65
+    assert len(S.nickname_table()) == 65
