@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry_file
+from goldrec.oracle import SQL
+from goldrec.queries import QUERIES
 from tools.check import duck, rows
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_file.queries(), entry_file.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +19,8 @@ def con():
 
 def test_every_query_has_a_statement():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_file.queries())
+    assert set(SQL) <= set(entry_file.oracle_sql())
 
 
 def test_entry(spark):
