@@ -101,15 +101,9 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def indexed_rows(index: DataFrame) -> DataFrame:
     """``segment, ordinal, key, n_words`` of every indexed row; reads no postings."""
-    return index.select(
-        "segment",
-        F.posexplode(F.arrays_zip("keys", F.slice("starts", 2, F.size("keys")).alias("after"), "starts")),
-    ).select(
-        "segment",
-        F.col("pos").alias("ordinal"),
-        F.col("col.keys").alias("key"),
-        (F.col("col.after") - F.col("col.starts") - 1).alias("n_words"),
-    )
+    rows = index.select("segment", "starts", F.posexplode("keys").alias("ordinal", "key"))
+    n_words = F.get("starts", F.col("ordinal") + 1) - F.get("starts", "ordinal") - 1
+    return rows.select("segment", "ordinal", "key", n_words.alias("n_words"))
 
 
 def term_counts(index: DataFrame, terms: list[bytes]) -> np.ndarray:
