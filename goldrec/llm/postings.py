@@ -51,7 +51,6 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _segment(number: int, keys: pa.Array, words: list[bytes], sizes: list[int]) -> pa.RecordBatch:
-    starts = np.r_[0, np.cumsum(np.array(sizes, np.int64) + 1)]  # one free place after each text
     at = np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)
     coded = pa.array(words, pa.binary()).dictionary_encode()
     terms = coded.dictionary
@@ -63,7 +62,7 @@ def _segment(number: int, keys: pa.Array, words: list[bytes], sizes: list[int])
     row = {
         "segment": pa.array([number], pa.int64()),
         "keys": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-        "starts": pa.array([starts.tolist()], pa.list_(pa.int64())),
+        "sizes": pa.array([sizes], pa.list_(pa.int64())),
         "terms": pa.array([b" ".join(terms.take(pa.array(by_term)).to_pylist())]),
         "counts": pa.array([np.bincount(numbers, minlength=len(terms)).astype("<i4").tobytes()]),
         "positions": pa.array([at[order].astype("<i4").tobytes()]),
@@ -72,8 +71,8 @@ def _segment(number: int, keys: pa.Array, words: list[bytes], sizes: list[int])
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored index: ``segment``, ``keys`` and ``starts`` of its rows (the last start
-    is the end), sorted ``terms``, their ``counts`` and ``positions``."""
+    """The stored index: ``segment``, ``keys`` and ``sizes`` (words) of its rows, sorted
+    ``terms``, their ``counts`` and ``positions``. Rows lie end to end, one place apart."""
     rows = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +92,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     kind = rows.schema[0].dataType.simpleString()
     schema = (
-        f"segment long, keys array<{kind}>, starts array<long>, "
+        f"segment long, keys array<{kind}>, sizes array<long>, "
         "terms binary, counts binary, positions binary"
     )
     return durable(rows.mapInArrow(run, schema), "postings")
@@ -101,9 +100,18 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def indexed_rows(index: DataFrame) -> DataFrame:
     """``segment, ordinal, key, n_words`` of every indexed row; reads no postings."""
-    rows = index.select("segment", "starts", F.posexplode("keys").alias("ordinal", "key"))
-    n_words = F.get("starts", F.col("ordinal") + 1) - F.get("starts", "ordinal") - 1
-    return rows.select("segment", "ordinal", "key", n_words.alias("n_words"))
+    rows = index.select("segment", F.posexplode(F.arrays_zip("keys", "sizes")))
+    return rows.select(
+        "segment",
+        F.col("pos").alias("ordinal"),
+        F.col("col.keys").alias("key"),
+        F.col("col.sizes").alias("n_words"),
+    )
+
+
+def _starts(sizes: list[int]) -> np.ndarray:
+    """Where each row starts; the last one is the end."""
+    return np.r_[0, np.cumsum(np.array(sizes, np.int64) + 1)]
 
 
 def term_counts(index: DataFrame, terms: list[bytes]) -> np.ndarray:
@@ -261,7 +269,7 @@ def _rows(hits: dict) -> list[dict]:
 
 
 def _hits(row: dict, wanted: Phrases) -> dict:
-    starts = np.array(row["starts"])
+    starts = _starts(row["sizes"])
     lists = _Lists(wanted.terms, row)
     mark = np.zeros(int(starts[-1]), bool)
     items: dict[int, set[str]] = {}
@@ -300,7 +308,7 @@ def near_matches(index: DataFrame, texts: list[tuple[object, str]], width: int)
         names, items = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                lists, starts = _Lists(names, row), np.array(row["starts"])
+                lists, starts = _Lists(names, row), _starts(row["sizes"])
                 for item, numbers in items.items():
                     at = _near(lists, starts, numbers, width)
                     own = np.searchsorted(starts, at, "right") - 1
