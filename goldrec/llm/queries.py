@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldrec.llm import postings, repetition, simhash
+from goldrec.llm import exact_repeats, postings, repetition, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +38,21 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), digits, "component_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = exact_repeats.without_repeats(table(spark, sf_dir, "documents"))
+    zero = F.lit(0).cast("long")
+    return cut.select(
+        F.col("key").alias("doc_id"),
+        "n_bytes",
+        F.aggregate("spans", zero, lambda n, x: n + x["e"] - x["s"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
 }

@@ -11,7 +11,7 @@ import numpy as np
 
 def dense_ranks(values: np.ndarray) -> np.ndarray:
     """The group start of every value in sorted order (equal values, equal rank)."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     ordered = values[order]
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(values) else order
     ranks = np.empty(len(values), np.int64)
@@ -19,27 +19,31 @@ def dense_ranks(values: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def suffix_order(
+    symbols: np.ndarray, ends: np.ndarray, width: int = 1, depth: int | None = None
+) -> tuple[np.ndarray, list[np.ndarray]]:
     """Positions in suffix order, and the ranks by their first 1, 2, 4, ... symbols.
 
     Prefix doubling that sorts only suffixes that still share their rank. A suffix
-    that ends sorts before its extensions; equal suffixes keep their order.
+    that ends sorts before its extensions; equal suffixes keep their order. A symbol
+    may stand for ``width`` units from its position on; past ``depth`` units suffixes
+    count as equal.
     """
     n = len(symbols)
     ranks = dense_ranks(symbols)
-    levels, step = [ranks.astype(np.int32)], 1
+    levels, step = [ranks.astype(np.int32)], width
     sizes = np.bincount(ranks, minlength=n) if n else ranks
     active = np.flatnonzero(sizes[ranks] > 1) if n else ranks
-    while len(active) and step < n:
+    while len(active) and step < (depth or n):
         after = active + step
         inside = after < ends[active]
         if not inside.any():
             break
         second = np.where(inside, ranks[np.minimum(after, n - 1)] + 1, 0)
         keys = ranks[active] * (n + 1) + second
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         active, keys = active[order], keys[order]
-        group = ranks[active]
+        group = keys // (n + 1)
         group_at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[at, len(keys)])
@@ -53,21 +57,24 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, lis
     return np.argsort(ranks, kind="stable"), levels
 
 
-def neighbour_lcp(order: np.ndarray, levels: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
-    """``lcp[r]``: symbols that the suffixes at ``r - 1`` and ``r`` share; ``lcp[0]`` is 0."""
-    n = len(order)
-    out = np.zeros(n, np.int64)
-    if n < 2:
+def neighbour_lcp(
+    order: np.ndarray, levels: list[np.ndarray], ends: np.ndarray, width: int = 1
+) -> np.ndarray:
+    """``lcp[r]``: what the suffixes at ``r - 1`` and ``r`` share, in whole symbols of
+    ``width`` units; ``lcp[0]`` is 0. ``order`` may leave suffixes out."""
+    out = np.zeros(len(order), np.int64)
+    if len(order) < 2:
         return out
+    last = len(levels[0]) - 1
     left, right = order[:-1], order[1:]
     room = np.minimum(ends[left] - left, ends[right] - right)
     same = np.flatnonzero(levels[0][left] == levels[0][right])
     left, right, room = left[same], right[same], room[same]
     shared = np.zeros(len(same), np.int64)
     for k in range(len(levels) - 1, -1, -1):
-        a, b = np.minimum(left + shared, n - 1), np.minimum(right + shared, n - 1)
+        a, b = np.minimum(left + shared, last), np.minimum(right + shared, last)
         more = (shared < room) & (levels[k][a] == levels[k][b])
-        shared = np.where(more, shared + (1 << k), shared)
+        shared = np.where(more, shared + (width << k), shared)
     out[1:][same] = np.minimum(shared, room)
     return out
 
@@ -92,7 +99,7 @@ def longest_previous_factor(
     that has not met a smaller owner one link on, along links found so far.
     """
     n = len(order)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(len(owner), np.int64)
     if not n:
         return out
     own = owner[order]
