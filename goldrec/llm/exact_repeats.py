@@ -47,7 +47,7 @@ GRAM = 16
 CHUNK = 1 << 19
 PACK_BYTES = 2 << 20
 #: Pieces in one bucket, about.
-BUCKET_PIECES = 1 << 20
+BUCKET_PIECES = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 
