@@ -77,7 +77,61 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS B
 FROM d LEFT JOIN words_hit h USING (doc_id) LEFT JOIN met USING (doc_id)
 """
 
+OP8 = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(source, '') AS source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens
+  FROM documents
+), src AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens FROM t GROUP BY source),
+tot AS (SELECT sum(tokens) AS total, count(*) AS n FROM src WHERE tokens > 0),
+shares AS (SELECT list(CAST(tokens AS DOUBLE) / total) AS ps, any_value(n) AS n FROM src, tot WHERE tokens > 0),
+bis(lo, hi) AS (
+  SELECT 0, 1000001
+  UNION ALL
+  SELECT CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (
+    SELECT lo, hi, mid,
+      ln(list_sum(list_transform(ps, lambda x: pow(x, mid / 1e6))))
+        - list_sum(list_transform(ps, lambda x: pow(x, mid / 1e6) * (mid / 1e6) * ln(x)))
+          / list_sum(list_transform(ps, lambda x: pow(x, mid / 1e6))) >= 0.99 * ln(n) - 1e-12 AS ok
+    FROM (SELECT lo, hi, (lo + hi) // 2 AS mid FROM bis WHERE hi - lo > 1), shares)
+), a AS (SELECT max(lo) AS step FROM bis),
+w AS (
+  SELECT source, tokens, step,
+    CASE WHEN tokens = 0 THEN 0 ELSE CAST(round(1e9 * pow(CAST(tokens AS DOUBLE), step / 1e6)
+      / (SELECT sum(pow(CAST(tokens AS DOUBLE), step / 1e6)) FROM src, a WHERE tokens > 0)) AS BIGINT) END AS ppb
+  FROM src, a
+), g AS (
+  SELECT *, CASE WHEN tokens = 0 THEN 1 ELSE goal // tokens END AS passes,
+    CASE WHEN tokens = 0 THEN 0 ELSE goal % tokens END AS rest,
+    least(greatest(CAST(ceil(tokens / 262144.0) AS BIGINT), 1), 1048576) AS n_blocks
+  FROM (SELECT w.*, CAST((CAST(ppb AS HUGEINT) * CAST(floor(total * 1.25) AS BIGINT)) // 1000000000 AS BIGINT) AS goal
+    FROM w, tot)
+), rows_ AS (
+  SELECT t.*, passes, rest, step, ppb,
+    CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % n_blocks AS block
+  FROM t JOIN g USING (source)
+), blocks AS (
+  SELECT source, block, passes, rest, sum(tokens) AS n, unnest(range(0, passes + 1)) AS epoch
+  FROM rows_ GROUP BY source, block, passes, rest
+), placed AS (
+  SELECT *, row_number() OVER o - 1 AS block_position, sum(n) OVER (o ROWS UNBOUNDED PRECEDING) AS upto
+  FROM blocks WINDOW o AS (PARTITION BY source, epoch
+    ORDER BY md5(source || ':' || block || ':' || epoch || ':7'), block)
+), each AS (
+  SELECT r.doc_id, r.source, r.tokens, r.step, r.ppb, p.epoch, p.block, p.block_position,
+    p.epoch < p.passes OR p.upto <= p.rest AS whole, p.rest - p.upto + p.n AS room,
+    md5(r.doc_id || ':' || p.epoch || ':7:row') AS k
+  FROM rows_ r JOIN placed p USING (source, block)
+), summed AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY source, block, epoch ORDER BY k) AS upto FROM each
+)
+SELECT doc_id, source, tokens AS n_tokens, epoch, block, block_position,
+  CAST(step AS BIGINT) AS exponent_ppm, ppb AS weight_ppb
+FROM summed WHERE whole OR room > 0 AND upto <= room
+"""
+
 SQL = {
     "op1_quality_rules": OP1,
     "op2_decontamination": OP2,
+    "op8_mixing": OP8,
 }

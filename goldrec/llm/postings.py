@@ -398,9 +398,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
 
     Rows are judged by key and text, so equal keys with different texts stay apart.
     """
-    print_of = F.xxhash64(F.col(text).cast("string"))
-    keyed = docs.select(F.struct(docs[key].alias("k"), print_of.alias("h")).alias("_row"), docs[text])
-    found = contamination(keyed.withColumnRenamed(text, "text"), benchmark, "_row", "text")
-    bad = found.filter("contaminated").select("_row.k", "_row.h").distinct()
-    same = docs[key].eqNullSafe(F.col("k")) & (print_of == F.col("h"))
-    return docs.join(bad, same, "left_anti")
+    print_of = F.xxhash64(docs[text].cast("string"))
+    row = F.struct(docs[key].alias("k"), print_of.alias("h"))
+    found = contamination(docs.select(row.alias("row"), docs[text].alias("text")), benchmark, "row", "text")
+    bad = found.filter("contaminated").select("row.k", "row.h").distinct()
+    return docs.join(bad, docs[key].eqNullSafe(bad["k"]) & (print_of == bad["h"]), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldrec.llm import exact_repeats, postings, repetition, simhash
+from goldrec.llm import exact_repeats, mixing, postings, repetition, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +50,43 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(sharding.reshard(table(spark, sf_dir, "documents")))
+
+
+def shard_rows(placed: DataFrame) -> DataFrame:
+    """The digest of ``sharding.reshard``, read from its files."""
+    text = F.col("row.text")
+    return placed.select(
+        "row.doc_id",
+        sharding.row_size(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.Mix(entropy=0.99, epochs=1.25)
+    return mixing.mixed(table(spark, sf_dir, "documents"), mix).select(
+        "row.doc_id",
+        "source",
+        mixing.n_tokens("row.text").alias("n_tokens"),
+        "epoch",
+        "block",
+        "block_position",
+        "exponent_ppm",
+        "weight_ppb",
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_sharding": op6_sharding,
+    "op8_mixing": op8_mixing,
 }

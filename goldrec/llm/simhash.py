@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldrec.llm.components import components
+from goldrec.llm.names import fresh
 from goldrec.llm.suffixes import sums_by
 from goldrec.plans.durable import durable
 
@@ -250,10 +251,11 @@ def keep_one_of_each(
     name = F.concat_ws(
         "-", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.xxhash64(F.col(text).cast("string"))
     )
-    named = docs.select("*", name.alias("_row"))
+    own = fresh(docs, "_row")
+    named = docs.select("*", name.alias(own))
     row = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("k"), name.alias("r"))
     pairs = docs.select(row.alias("row"), F.col(text).alias("text"))
     found = near_duplicates(pairs, "row", "text", shingle, radius)
     # the smallest (no_key, key, name) of a component is one with the smallest key
-    stay = found.filter("key.r = component_id.r").select(F.col("key.r").alias("_row")).distinct()
-    return named.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    stay = found.filter("key.r = component_id.r").select(F.col("key.r").alias(own)).distinct()
+    return named.join(stay, own, "left_semi").dropDuplicates([own]).drop(own)
