@@ -84,12 +84,16 @@ def row_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text.cast("string")), F.lit(0)).cast("long") + 1
 
 
+PLACE = ("old_shard", "block", "ordinal")
+
+
 # ---- the old layout -------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class Layout:
-    """A stored table of ``row`` (struct), ``rid`` (unique), ``size``, ``old_shard``, ``block``."""
+    """A stored table of ``row`` (struct), ``size``, and its place: ``old_shard``, ``block``
+    and ``ordinal``, gapless from 0 within the block."""
 
     table: DataFrame
     path: str
@@ -104,13 +108,14 @@ def lay_out(docs: DataFrame, key: str, text: str, shards: int, block_bytes: int
     shard = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(shards))
     rows = docs.select(
         F.struct(*(docs[c] for c in docs.columns)).alias("row"),
-        F.monotonically_increasing_id().alias("rid"),
         row_size(F.col(text)).alias("size"),
         shard.cast("int").alias("old_shard"),
         F.pmod(F.xxhash64(F.col(key), F.col(text).cast("string")), F.lit(n_blocks)).cast("int").alias("block"),
     )
+    in_block = W.partitionBy("old_shard", "block").orderBy(F.col("row")[key])
+    rows = rows.withColumn("ordinal", (F.row_number().over(in_block) - 1).cast("long"))
     path = work_path(spark, "layout")
-    rows.repartition("old_shard", "block").write.partitionBy("old_shard", "block").parquet(path)
+    rows.write.partitionBy("old_shard", "block").option("compression", "zstd").parquet(path)
     return Layout(spark.read.schema(rows.schema).parquet(path), path, shards)
 
 
@@ -140,9 +145,9 @@ def _table(spark, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def assign(layout: Layout, shards: int) -> DataFrame:
-    """``rid, old_shard, block, size, shard`` for every row; shard sizes near equal."""
+    """``old_shard, block, ordinal, size, shard`` for every row; shard sizes near equal."""
     spark = layout.table.sparkSession
-    rows = layout.table.select("rid", "old_shard", "block", "size")
+    rows = layout.table.select(*PLACE, "size")
     sizes = _sizes(rows, "old_shard", layout.shards)
     capacities = even(sum(sizes), shards)
     cuts = _table(spark, _cuts(transfers(sizes, capacities)), "old_shard int, shard int, lo long, hi long")
@@ -152,13 +157,13 @@ def assign(layout: Layout, shards: int) -> DataFrame:
         "old_shard", "block", "n", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("block_at")
     )
     parts = blocks.join(cuts, "old_shard").filter("lo < block_at + n and block_at < hi")
-    own = W.partitionBy("old_shard", "block").orderBy("rid").rowsBetween(W.unboundedPreceding, -1)
+    own = W.partitionBy("old_shard", "block").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("at", F.coalesce(F.sum("size").over(own), F.lit(0)))
     middle = F.col("block_at") + F.col("at") + F.expr("size div 2")
     first = (
         placed.join(parts, ["old_shard", "block"])
         .filter((middle >= F.col("lo")) & (middle < F.col("hi")))
-        .select("rid", "old_shard", "block", "size", "shard")
+        .select(*PLACE, "size", "shard")
     )
     path = work_path(spark, "assigned")
     first.write.parquet(path)
@@ -167,7 +172,8 @@ def assign(layout: Layout, shards: int) -> DataFrame:
 
 
 def _even_out(rows: DataFrame, capacities: list[int], shards: int) -> DataFrame:
-    """Move the smallest rows so that shard sizes come as near as rows allow."""
+    """Move the smallest rows, of files that are rewritten anyway, so that shard sizes come
+    as near as rows allow."""
     spark = rows.sparkSession
     sizes = _sizes(rows, "shard", shards)
     flow = transfers(sizes, capacities)
@@ -178,32 +184,38 @@ def _even_out(rows: DataFrame, capacities: list[int], shards: int) -> DataFrame:
     moved = [(s, t, lo - lows[s], hi - lows[s]) for s, t, lo, hi in cuts]
     most = max(hi for *_, hi in moved)
     pools = max(1, max(sizes) // max(POOL_BYTES, 4 * most))
-    pool = rows.filter(F.pmod(F.xxhash64("rid"), F.lit(pools)) == 0)
-    ascending = W.partitionBy("old").orderBy("size", "rid").rowsBetween(W.unboundedPreceding, 0)
-    pool = pool.select("rid", F.col("shard").alias("old"), "size").withColumn("upto", F.sum("size").over(ascending))
+    pool = rows.join(_touched(rows), ["old_shard", "block"], "left_semi")
+    pool = pool.filter(F.pmod(F.xxhash64(*PLACE), F.lit(pools)) == 0)
+    ascending = W.partitionBy("old").orderBy("size", *PLACE).rowsBetween(W.unboundedPreceding, 0)
+    pool = pool.select(*PLACE, F.col("shard").alias("old"), "size").withColumn("upto", F.sum("size").over(ascending))
     table = _table(spark, moved, "old int, to int, lo long, hi long")
     fixes = (
         pool.filter(F.col("upto") <= most)
         .join(table, "old")
         .filter("upto - size >= lo and upto <= hi")
-        .select("rid", "to")
+        .select(*PLACE, "to")
     )
     path = work_path(spark, "evened")
     fixes.write.parquet(path)
     fixes = spark.read.schema(fixes.schema).parquet(path)
-    return rows.join(fixes, "rid", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
+    return rows.join(fixes, list(PLACE), "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
+
+
+def _touched(rows: DataFrame) -> DataFrame:
+    """Files with a row that moves."""
+    return rows.filter("old_shard <> shard").select("old_shard", "block").distinct()
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
-    """Add ``slot``: gapless from 0 within each shard, in order of old block and row."""
+    """Add ``slot``: gapless from 0 within each shard, in order of old block and row, and
+    ``before``, the first slot of the row's block."""
     group = ["shard", "old_shard", "block"]
     counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     along = W.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(*group, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
-    own = F.row_number().over(W.partitionBy(*group).orderBy("rid")) - 1
-    return rows.withColumn("own", own).join(counts, group).withColumn(
-        "slot", (F.col("before") + F.col("own")).cast("long")
-    ).drop("own", "before")
+    counts = counts.select(*group, F.coalesce(F.sum("n").over(along), F.lit(0)).cast("long").alias("before"))
+    own = F.row_number().over(W.partitionBy(*group).orderBy("ordinal")) - 1
+    rows = rows.withColumn("own", own).join(counts, group)
+    return rows.withColumn("slot", (F.col("before") + F.col("own")).cast("long")).drop("own")
 
 
 # ---- files ----------------------------------------------------------------
@@ -222,16 +234,20 @@ def reshard(
     spark = docs.sparkSession
     layout = lay_out(docs, key, text, old_shards, block_bytes)
     path = work_path(spark, "placed")
-    with_slots(assign(layout, shards)).select("rid", "old_shard", "block", "shard", "slot").write.parquet(path)
-    placed = spark.read.schema("rid long, old_shard int, block int, shard int, slot long").parquet(path)
-    touched = placed.filter("old_shard <> shard").select("old_shard", "block").distinct()
+    placed = with_slots(assign(layout, shards)).select(*PLACE, "shard", "slot", "before")
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    touched = _touched(placed)
     moving = layout.table.join(touched, ["old_shard", "block"], "left_semi")
-    target = placed.select("rid", "old_shard", "block", "shard")
-    rewritten = moving.join(target, ["rid", "old_shard", "block"]).select("row", "rid", "old_shard", "block", "shard")
+    target = placed.join(touched, ["old_shard", "block"], "left_semi").drop("before")
+    rewritten = moving.join(target, list(PLACE)).select("row", "slot", "shard")
     new_path = work_path(spark, "rewritten")
-    rewritten.write.partitionBy("shard").parquet(new_path)
+    rewritten.write.partitionBy("shard").option("compression", "zstd").parquet(new_path)
     rewritten = spark.read.schema(rewritten.schema).parquet(new_path)
-    stayed = layout.table.join(touched, ["old_shard", "block"], "left_anti")
-    stayed = stayed.select("row", "rid", "old_shard", "block", F.col("old_shard").alias("shard"))
-    slots = placed.select("rid", "slot")
-    return stayed.unionByName(rewritten).join(slots, "rid").select("row", "shard", "slot")
+    # a file that stays lies whole in its shard: its rows follow from its first slot
+    first = placed.filter("ordinal = 0").join(touched, ["old_shard", "block"], "left_anti")
+    stayed = layout.table.join(first.select("old_shard", "block", "before"), ["old_shard", "block"])
+    stayed = stayed.select(
+        "row", (F.col("before") + F.col("ordinal")).alias("slot"), F.col("old_shard").alias("shard")
+    )
+    return stayed.unionByName(rewritten).select("row", "shard", "slot")
