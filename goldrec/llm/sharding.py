@@ -26,6 +26,9 @@ from goldrec.plans.durable import work_path
 
 #: Bytes of text in one file of the layout, about.
 BLOCK_BYTES = 8 << 20
+#: Files of a layout at most, so that a table with a row a file may be broadcast; where
+#: this bound is met, files are larger.
+MOST_BLOCKS = 1 << 16
 #: Bytes of each shard from which the second flow picks its small rows, about.
 POOL_BYTES = 32 << 20
 
@@ -104,7 +107,7 @@ def lay_out(docs: DataFrame, key: str, text: str, shards: int, block_bytes: int
     """Write ``docs`` as the layout a job starts from: shard by a hash of the key."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(row_size(F.col(text)))).first()[0] or 0
-    n_blocks = max(1, -(-total // (shards * block_bytes)))
+    n_blocks = min(max(1, -(-total // (shards * block_bytes))), MOST_BLOCKS // shards)
     shard = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(shards))
     rows = docs.select(
         F.struct(*(docs[c] for c in docs.columns)).alias("row"),
@@ -202,8 +205,8 @@ def _even_out(rows: DataFrame, capacities: list[int], shards: int) -> DataFrame:
 
 
 def _touched(rows: DataFrame) -> DataFrame:
-    """Files with a row that moves."""
-    return rows.filter("old_shard <> shard").select("old_shard", "block").distinct()
+    """Files with a row that moves: at most ``MOST_BLOCKS``."""
+    return F.broadcast(rows.filter("old_shard <> shard").select("old_shard", "block").distinct())
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
@@ -246,7 +249,8 @@ def reshard(
     rewritten = spark.read.schema(rewritten.schema).parquet(new_path)
     # a file that stays lies whole in its shard: its rows follow from its first slot
     first = placed.filter("ordinal = 0").join(touched, ["old_shard", "block"], "left_anti")
-    stayed = layout.table.join(first.select("old_shard", "block", "before"), ["old_shard", "block"])
+    first = F.broadcast(first.select("old_shard", "block", "before"))  # at most MOST_BLOCKS
+    stayed = layout.table.join(first, ["old_shard", "block"])
     stayed = stayed.select(
         "row", (F.col("before") + F.col("ordinal")).alias("slot"), F.col("old_shard").alias("shard")
     )
