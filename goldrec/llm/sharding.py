@@ -29,6 +29,8 @@ BLOCK_BYTES = 8 << 20
 #: Files of a layout at most, so that a table with a row a file may be broadcast; where
 #: this bound is met, files are larger.
 MOST_BLOCKS = 1 << 16
+#: Ranges of moved rows that are broadcast; longer lists are joined by shuffling.
+MOST_RANGES = 1 << 18
 #: Bytes of each shard from which the second flow picks its small rows, about.
 POOL_BYTES = 32 << 20
 
@@ -221,6 +223,16 @@ def with_slots(rows: DataFrame) -> DataFrame:
     return rows.withColumn("slot", (F.col("before") + F.col("own")).cast("long")).drop("own")
 
 
+def _ranges(placed: DataFrame) -> DataFrame:
+    """Neighbouring rows of a block that go to one shard as ``lo .. hi`` and the ``shift``
+    from ordinal to slot: one row a block, but for blocks on a cut and evened-out rows."""
+    ranges = placed.groupBy("old_shard", "block", "shard", (F.col("slot") - F.col("ordinal")).alias("shift"))
+    ranges = ranges.agg(F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"))
+    path = work_path(placed.sparkSession, "ranges")
+    ranges.write.parquet(path)
+    return placed.sparkSession.read.schema(ranges.schema).parquet(path)
+
+
 # ---- files ----------------------------------------------------------------
 
 
@@ -241,9 +253,11 @@ def reshard(
     placed.write.parquet(path)
     placed = spark.read.schema(placed.schema).parquet(path)
     touched = _touched(placed)
-    moving = layout.table.join(touched, ["old_shard", "block"], "left_semi")
-    target = placed.join(touched, ["old_shard", "block"], "left_semi").drop("before")
-    rewritten = moving.join(target, list(PLACE)).select("row", "slot", "shard")
+    ranges = _ranges(placed.join(touched, ["old_shard", "block"], "left_semi"))
+    if ranges.count() <= MOST_RANGES:
+        ranges = F.broadcast(ranges)
+    rewritten = layout.table.join(ranges, ["old_shard", "block"]).filter("ordinal between lo and hi")
+    rewritten = rewritten.select("row", (F.col("ordinal") + F.col("shift")).alias("slot"), "shard")
     new_path = work_path(spark, "rewritten")
     rewritten.write.partitionBy("shard").option("compression", "zstd").parquet(new_path)
     rewritten = spark.read.schema(rewritten.schema).parquet(new_path)
