@@ -77,6 +77,35 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS B
 FROM d LEFT JOIN words_hit h USING (doc_id) LEFT JOIN met USING (doc_id)
 """
 
+OP5 = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+    coalesce(role, '') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  FROM conversations
+), lasts AS (
+  SELECT conv_id, max(i) AS l FROM t WHERE role = 'assistant' GROUP BY conv_id
+), replies AS (
+  SELECT conv_id, l, max(i) AS p FROM t JOIN lasts USING (conv_id)
+  WHERE role = 'assistant' AND i < l GROUP BY conv_id, l
+), other AS (
+  SELECT lasts.conv_id, lasts.l, coalesce(t.text, '') AS instead
+  FROM lasts LEFT JOIN replies USING (conv_id)
+    LEFT JOIN t ON t.conv_id = lasts.conv_id AND t.i = coalesce(p, lasts.l - 1)
+), pairs AS (
+  SELECT o.conv_id, l, t.text AS reply, instead, CASE WHEN t.text = instead THEN l ELSE l - 1 END AS n_common
+  FROM other o JOIN t ON t.conv_id = o.conv_id AND t.i = l
+), prompts AS (
+  SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY i) AS prompt
+  FROM pairs JOIN t USING (conv_id) WHERE i <= n_common GROUP BY conv_id
+)
+SELECT conv_id, CAST(n_common AS INTEGER) AS n_common, coalesce(prompt, '') AS prompt,
+  CASE WHEN n_common = l THEN '' ELSE '<|assistant|>' || chr(10) || reply || '<|end|>' || chr(10) END AS chosen,
+  CASE WHEN n_common = l THEN '' ELSE '14-' || (22 + length(reply)) END AS chosen_mask,
+  CASE WHEN n_common = l THEN '' ELSE '<|assistant|>' || chr(10) || instead || '<|end|>' || chr(10) END AS rejected,
+  CASE WHEN n_common = l THEN '' ELSE '14-' || (22 + length(instead)) END AS rejected_mask
+FROM pairs LEFT JOIN prompts USING (conv_id)
+"""
+
 OP8 = r"""
 WITH RECURSIVE t AS (
   SELECT doc_id, coalesce(source, '') AS source,
@@ -133,5 +162,6 @@ FROM summed WHERE whole OR room > 0 AND upto <= room
 SQL = {
     "op1_quality_rules": OP1,
     "op2_decontamination": OP2,
+    "op5_preference_format": OP5,
     "op8_mixing": OP8,
 }

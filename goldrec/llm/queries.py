@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldrec.llm import exact_repeats, mixing, postings, repetition, sharding, simhash
+from goldrec.llm import (
+    exact_repeats,
+    latent_votes,
+    mixing,
+    postings,
+    preferences,
+    repetition,
+    sharding,
+    simhash,
+    url_filter,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +60,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = preferences.conversations(table(spark, sf_dir, "conversations"))
+    pairs = preferences.format_preferences(preferences.with_earlier_reply(convs))
+    return pairs.withColumns(
+        {c: preferences.spans_text(c) for c in ("chosen_mask", "rejected_mask")}
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(sharding.reshard(table(spark, sf_dir, "documents")))
 
@@ -68,6 +86,11 @@ def shard_rows(placed: DataFrame) -> DataFrame:
     )
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.labelled_by_rules(pages))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.Mix(entropy=0.99, epochs=1.25)
     return mixing.mixed(table(spark, sf_dir, "documents"), mix).select(
@@ -82,11 +105,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return latent_votes.score(docs, latent_votes.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_preference_format": op5_preference_format,
     "op6_sharding": op6_sharding,
+    "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
+    "op9_quality_votes": op9_quality_votes,
 }
