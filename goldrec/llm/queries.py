@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from goldrec.llm import (
     exact_repeats,
+    html_layout,
     latent_votes,
     mixing,
     postings,
@@ -110,6 +111,10 @@ def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_votes.score(docs, latent_votes.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.visible_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -120,4 +125,5 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_quality_votes": op9_quality_votes,
+    "op10_html_layout": op10_html_layout,
 }
