@@ -30,7 +30,7 @@ from goldrec.llm.suffixes import covered, runs_of
 from goldrec.plans.durable import durable
 
 WINDOW = 13
-SEGMENT_WORDS = 1 << 20
+SEGMENT_WORDS = 1 << 19
 #: Start positions that one step of an intersection holds at once.
 STARTS = 1 << 21
 #: Bytes of benchmark text in one broadcast; a larger benchmark is searched in slices.
