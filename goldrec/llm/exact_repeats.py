@@ -136,8 +136,8 @@ def _pack(docs: DataFrame, key: str, text: str) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts, size, first = [], 0, 0
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                raw = (text or "").encode()
+            for i, text in enumerate(batch.column(1)):
+                raw = (text.as_py() or "").encode()
                 if texts and size + len(raw) > PACK_BYTES:
                     yield packed(number, batch.column(0).slice(first, i - first), texts)
                     number, texts, size, first = number + 1, [], 0, i

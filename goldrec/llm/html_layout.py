@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from goldrec.llm.batches import slices
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(
@@ -367,10 +369,10 @@ def visible_text(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [render(page) for page in batch.column(1).to_pylist()]
+        for part in (p for batch in batches for p in slices(batch, 1)):
+            found = [render(page) for page in part.column(1).to_pylist()]
             out = {
-                "key": batch.column(0),
+                "key": part.column(0),
                 "text": pa.array([r.text for r in found], pa.string()),
                 "n_lines": pa.array([len(r.text.split("\n")) if r.text else 0 for r in found], pa.int64()),
                 "n_items": pa.array([r.n_items for r in found], pa.int64()),

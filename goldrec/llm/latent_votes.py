@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from goldrec.llm.batches import slices
 from goldrec.plans.durable import durable
 
 TERMS = 2048
@@ -108,8 +109,9 @@ def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
         total, n = np.zeros(WIDTH, np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for counts in _blocks(batch.column(0).to_pylist()):
-                total += (counts > 0).sum(axis=0)
+            for part in slices(batch, 0):
+                for counts in _blocks(part.column(0).to_pylist()):
+                    total += (counts > 0).sum(axis=0)
         both = np.r_[total, n]
         yield pa.RecordBatch.from_pydict({"term": pa.array(np.arange(WIDTH + 1, dtype=np.int32)), "n": pa.array(both)})
 
@@ -193,9 +195,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                parts = [shared.value.scores(c) for c in _blocks(batch.column(1).to_pylist())]
-                out = {"key": batch.column(0), "score": pa.array(np.concatenate(parts))}
+            for part in slices(batch, 1):
+                scores = [shared.value.scores(c) for c in _blocks(part.column(1).to_pylist())]
+                out = {"key": part.column(0), "score": pa.array(np.concatenate(scores))}
                 yield pa.RecordBatch.from_pydict(out)
 
     scored = rows.mapInArrow(run, f"key {kind}, score double")

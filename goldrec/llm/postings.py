@@ -79,8 +79,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             words, sizes, first = [], [], 0
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                found = words_of(text)
+            for i, text in enumerate(batch.column(1)):
+                found = words_of(text.as_py())
                 if words and len(words) + len(found) > SEGMENT_WORDS:
                     yield _segment(number, batch.column(0).slice(first, i - first), words, sizes)
                     number, words, sizes, first = number + 1, [], [], i

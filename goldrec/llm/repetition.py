@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from goldrec.llm.batches import slices
 from goldrec.llm.suffixes import (
     covered,
     longest_repeat_at,
@@ -132,9 +133,9 @@ def repetition(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = _measured(batch.column(1), limits)
-                columns = [batch.column(0), *map(pa.array, out.values())]
+            for part in slices(batch, 1):
+                out = _measured(part.column(1), limits)
+                columns = [part.column(0), *map(pa.array, out.values())]
                 yield pa.RecordBatch.from_arrays(columns, [key, *out])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, {MEASURES}")
@@ -146,7 +147,7 @@ def keep_unrepetitive(docs: DataFrame, text: str = "text", limits: Limits = Limi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(_measured(batch.column(at), limits)["kept"]))
+            for part in slices(batch, at):
+                yield part.filter(pa.array(_measured(part.column(at), limits)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)

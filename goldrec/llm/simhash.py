@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from goldrec.llm.batches import slices
 from goldrec.llm.components import components
 from goldrec.llm.names import fresh
 from goldrec.llm.suffixes import sums_by
@@ -94,8 +95,9 @@ def fingerprints(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = _fingerprints(batch.column(1).to_pylist(), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["key", "fp"])
+            for part in slices(batch, 1):
+                fp = _fingerprints(part.column(1).to_pylist(), shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], ["key", "fp"])
 
     return rows.mapInArrow(run, f"key {kind}, fp long")
 
