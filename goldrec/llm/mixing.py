@@ -162,6 +162,7 @@ def schedule(rows: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
             "upto": F.sum("n").over(in_order.rowsBetween(W.unboundedPreceding, 0)),
         }
     )
+    passes = passes.filter("epoch < passes or rest > 0")
     whole = (F.col("epoch") < F.col("passes")) | (F.col("upto") <= F.col("rest"))
     passes = durable(
         passes.filter(whole | (F.col("upto") - F.col("n") < F.col("rest"))).withColumn("whole", whole), "passes"

@@ -151,6 +151,7 @@ w AS (
     p.epoch < p.passes OR p.upto <= p.rest AS whole, p.rest - p.upto + p.n AS room,
     md5(r.doc_id || ':' || p.epoch || ':7:row') AS k
   FROM rows_ r JOIN placed p USING (source, block)
+  WHERE p.epoch < p.passes OR p.rest > 0
 ), summed AS (
   SELECT *, sum(tokens) OVER (PARTITION BY source, block, epoch ORDER BY k) AS upto FROM each
 )
