@@ -11,25 +11,25 @@ from goldrec.functions.text import norm_name, norm_phone
 
 # ---- fixed values ---------------------------------------------------------
 NICKNAMES = {
-    "john": "jon jonny johnny jack jock ian",
-    "robert": "rob bob bobby robbie",
-    "william": "will bill billy willy",
-    "richard": "rich rick ricky dick",
-    "michael": "mike mikey mick",
-    "joseph": "joe joey",
-    "christopher": "chris topher",
-    "daniel": "dan danny",
-    "matthew": "matt matty",
-    "alexander": "alex al",
-    "nicholas": "nick nicky",
-    "anthony": "tony ant",
-    "elizabeth": "liz beth",
-    "katherine": "kate kathy catherine",
-    "jennifer": "jen jenny",
-    "patricia": "pat",
-    "barbara": "barb",
-    "margaret": "maggie",
-    "dorothy": "dot",
+    "john": ("jon", "jonny", "johnny", "jack", "jock", "ian"),
+    "robert": ("rob", "bob", "bobby", "robbie"),
+    "william": ("will", "bill", "billy", "willy"),
+    "richard": ("rich", "rick", "ricky", "dick"),
+    "michael": ("mike", "mikey", "mick"),
+    "joseph": ("joe", "joey"),
+    "christopher": ("chris", "topher"),
+    "daniel": ("dan", "danny"),
+    "matthew": ("matt", "matty"),
+    "alexander": ("alex", "al"),
+    "nicholas": ("nick", "nicky"),
+    "anthony": ("tony", "ant"),
+    "elizabeth": ("liz", "beth"),
+    "katherine": ("kate", "kathy", "catherine"),
+    "jennifer": ("jen", "jenny"),
+    "patricia": ("pat",),
+    "barbara": ("barb",),
+    "margaret": ("maggie",),
+    "dorothy": ("dot",),
 }
 WEIGHT_EMAIL = 0.40
 WEIGHT_NAME = 0.25
@@ -51,7 +51,7 @@ SOUND_CODES = "111122222222334556"
 def nickname_table() -> dict[str, str]:
     table = {}
     for canonical, variants in NICKNAMES.items():
-        for name in (canonical, *variants.split()):
+        for name in (canonical, *variants):
             table[name] = canonical
     return table
 

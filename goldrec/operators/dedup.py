@@ -34,7 +34,7 @@ def duplicates_by_customer(events: DataFrame) -> DataFrame:
     if hot is None:
         return flagged
     firsts = hot.hot(events).groupBy("national_id").agg(first)
-    rest = events.join(F.broadcast(firsts), "national_id")
+    rest = events.join(hot.small(firsts), "national_id")
     is_first = F.col("event_id") == F.col("first.event_id")
     return flagged.unionByName(
         rest.withColumn("is_duplicate", ~is_first).select(*flagged.columns)

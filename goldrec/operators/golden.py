@@ -87,7 +87,7 @@ def _seeded(rows: DataFrame, golden: DataFrame | None, hot: HotKeys | None = Non
         F.col("phones").alias("seed_phones"),
     )
     if hot is not None:
-        seeds = F.broadcast(hot.hot(seeds))
+        seeds = hot.small(hot.hot(seeds))
     return rows.join(seeds, KEY, "left").withColumns(
         {
             "seed_version": F.coalesce("seed_version", F.lit(0)),
@@ -278,16 +278,38 @@ def _golden_cold(rows: DataFrame, cfg: MasteringConfig) -> DataFrame:
 
 def _moves_phones(rule: FieldRule, part: list[str]) -> Column:
     """False for events that cannot change the list: no phone, or the same single
-    phone as the event with phones before it."""
+    phone as the two events with phones before it. One repeat may still count: the
+    first event cuts a list over the cap, and may cut the very phone it brings; the
+    second one brings it back, and from then on the list holds it within the cap."""
     phones = F.col("phones")
     if rule.merge_type != "UNION":
         return F.size(phones) > 0
-    before = W.partitionBy(*part).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
-    last = F.last(some(phones), ignorenulls=True).over(before)
-    repeat = (F.size(phones) == 1) & (phones == last)
+    window = f"over (partition by {', '.join(part)} order by {', '.join(ORDER)})"
+    given = "case when size(phones) > 0 then phones end"
+    last, before = (F.expr(f"lag({given}, {n}) ignore nulls {window}") for n in (1, 2))
+    repeat = (F.size(phones) == 1) & (phones == last) & (phones == before)
     return (F.size(phones) > 0) & ~F.coalesce(repeat, F.lit(False))
 
 
+def pre_rules(trace: DataFrame) -> DataFrame:
+    """How many times each field met each case before a rule was needed."""
+    cases = []
+    for f, column in (("name", "name"), ("email", "email"), ("phone", "phones")):
+        before, value = F.col(f"{column}_before"), F.col(column)
+        if f == "phone":
+            before, value = some(before), some(value)
+        case = (
+            F.when(before.isNull() & value.isNull(), "BOTH_NULL")
+            .when(before.isNull(), "CURRENT_NULL")
+            .when(value.isNull(), "INCOMING_NULL")
+            .when(before == value, "EQUAL")
+            .otherwise("CONFLICT")
+        )
+        cases.append(F.struct(F.lit(f).alias("field_name"), case.alias("outcome")))
+    rows = trace.select(F.inline(F.array(*cases)))
+    return rows.groupBy("field_name", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- the trace: record state around every event ---------------------------
 
 

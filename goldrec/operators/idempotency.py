@@ -76,7 +76,7 @@ def _first_by_broadcast(keyed: DataFrame, hot: HotKeys) -> DataFrame:
     firsts = (
         hot.hot(keyed).groupBy("key_hash").agg(F.min(_first_of_key(keyed, "done_ts")).alias("first"))
     )
-    return keyed.join(F.broadcast(firsts), "key_hash").select(*keyed.columns, "first")
+    return keyed.join(hot.small(firsts), "key_hash").select(*keyed.columns, "first")
 
 
 def classify(
@@ -86,7 +86,8 @@ def classify(
     bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``first_event_id, expires_at, result`` (MISS, HIT, EXPIRED, and with
-    ``in_flight`` also PROCESSING). An expired key is not re-armed. ``stored`` is
+    ``in_flight`` also PROCESSING). An expired key is not re-armed, and a request
+    delivered again is a replay of itself. ``stored`` is
     the keys table of earlier batches; its keys come before any request here.
     ``bound`` is a stored table with at least as many rows (see ``find_hot_keys``)."""
     rows = with_first(keyed, bound)
@@ -101,13 +102,18 @@ def classify(
         rows = join_unique(rows, known, "key_hash", how="left")
         first_id = F.coalesce("stored_id", first_id)
         expires = F.coalesce("stored_expiry", expires)
-    rows = rows.withColumns({"expires_at": expires, "first_event_id": first_id})
+    # only the first delivery of the first request is new; a key from before never is
+    delivery = F.row_number().over(W.partitionBy("key_hash", "event_id").orderBy("event_ts"))
+    new = (F.col("event_id") == first["event_id"]) & (delivery == 1)
+    if stored is not None:
+        new = new & F.col("stored_id").isNull()
+    rows = rows.withColumns({"expires_at": expires, "first_event_id": first_id, "new": new})
     late = F.col("event_ts") > F.col("expires_at")
-    result = F.when(F.col("event_id") == F.col("first_event_id"), "MISS").when(late, "EXPIRED")
+    result = F.when(F.col("new"), "MISS").when(late, "EXPIRED")
     if in_flight:
         result = result.when(F.col("event_ts") < first["done_ts"], "PROCESSING")
     return rows.withColumn("result", result.otherwise("HIT")).drop(
-        "first", "ttl_hours", "stored_id", "stored_expiry"
+        "first", "ttl_hours", "stored_id", "stored_expiry", "new"
     )
 
 

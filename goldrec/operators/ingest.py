@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from goldrec.config import NATIONAL_ID_MAX, NATIONAL_ID_MIN, SOURCE_SYSTEMS
 from goldrec.functions import text as T
 
+# ---- fixed values ---------------------------------------------------------
 REASONS = (
     "nationalId is required",
     f"nationalId must be between {NATIONAL_ID_MIN} and {NATIONAL_ID_MAX} alphanumeric characters",
     "sourceSystem is required",
     "sourceSystem must be one of: " + ", ".join(SOURCE_SYSTEMS),
 )
+# ---------------------------------------------------------------------------
 
 
 def sanitize_requests(requests: DataFrame) -> DataFrame:
@@ -48,15 +50,15 @@ def check_requests(requests: DataFrame) -> DataFrame:
 
 
 def is_valid(national_id: Column, source: Column) -> Column:
-    """``reject_reason`` is null, said so that a filter pushed below the cleaning
-    cleans each value once."""
+    """``reject_reason`` is null, said so that a filter cleans each value once."""
     sizes = range(NATIONAL_ID_MIN, NATIONAL_ID_MAX + 1)
     return F.length(national_id).isin(*sizes) & source.isin(*SOURCE_SYSTEMS)
 
 
 def valid_requests(requests: DataFrame) -> DataFrame:
-    clean = sanitize_requests(requests)
-    return clean.filter(is_valid(F.col("national_id"), F.col("source_system")))
+    """The filter stands below the cleaning: texts of rejected rows are never cleaned."""
+    valid = is_valid(T.norm_national_id(F.col("national_id")), T.norm_source(F.col("source_system")))
+    return sanitize_requests(requests.filter(valid))
 
 
 def invalid_requests(requests: DataFrame) -> DataFrame:

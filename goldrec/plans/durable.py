@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where it is unset a local session gets a folder of its own; a cluster must
-    name one, because a machine-local folder is lost with its machine.
+    Where it is unset a session in one process gets a folder of its own; a cluster
+    must name one, because a machine-local folder is lost with its machine.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder:
         return folder
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="goldrec-"))
     return sc.getCheckpointDir()

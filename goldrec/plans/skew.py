@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from goldrec.plans.durable import durable
 
 HOT_ROWS = 1_000_000
-# The hot list is broadcast, so it must stay small: N rows hold at most N/limit
-# keys above the limit, and the limit is raised until the list is this short.
-MAX_HOT_KEYS = 500_000
+# A list of hot keys is broadcast up to this length (N rows hold at most N/limit keys
+# above the limit); a longer one is joined by a shuffle, in which AQE splits the hot keys.
+MAX_HOT_KEYS = 200_000
 # Keys are counted in buckets first: a key above the limit makes its bucket pass
 # the limit, so usually one small shuffle of bucket counts rules out any hot key.
 BUCKETS = 1 << 18
@@ -34,12 +34,17 @@ class HotKeys:
     keys: tuple[str, ...]
     table: DataFrame
     limit: int
+    count: int = 0
+
+    def small(self, df: DataFrame) -> DataFrame:
+        """``df``, at most one row per hot key, to be broadcast if the keys are few."""
+        return F.broadcast(df) if self.count <= MAX_HOT_KEYS else df
 
     def cold(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.table.select(*self.keys)), list(self.keys), "left_anti")
+        return df.join(self.small(self.table.select(*self.keys)), list(self.keys), "left_anti")
 
     def hot(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.table.select(*self.keys)), list(self.keys), "left_semi")
+        return df.join(self.small(self.table.select(*self.keys)), list(self.keys), "left_semi")
 
 
 def find_hot_keys(
@@ -63,13 +68,11 @@ def find_hot_keys(
     full = bucketed.groupBy("_bucket").agg(size).filter(over)
     if full.isEmpty():
         return None
-    full = F.broadcast(durable(full.select("_bucket"), "full-buckets"))
+    full = F.broadcast(durable(full.select("_bucket"), "full-buckets"))  # at most BUCKETS rows
     counts = bucketed.join(full, "_bucket", "left_semi").groupBy(*keys).agg(size).filter(over)
     table = durable(counts, "hot-keys")
-    while (found := table.count()) > MAX_HOT_KEYS:
-        limit *= 2
-        table = table.filter(F.col("n") > limit)
-    return HotKeys(tuple(keys), table, limit) if found else None
+    found = table.count()
+    return HotKeys(tuple(keys), table, limit, found) if found else None
 
 
 def join_unique(
@@ -88,7 +91,7 @@ def join_unique(
     hot = find_hot_keys(rows, *keys, bound=bound)
     if hot is None:
         return rows.join(unique, on, how)
-    partners = F.broadcast(hot.hot(unique))
+    partners = hot.small(hot.hot(unique))
     return hot.cold(rows).join(unique, on, how).unionByName(hot.hot(rows).join(partners, on, how))
 
 
@@ -104,7 +107,8 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right
         hot = find_hot_keys(df, key, bound=df)
         if hot is None:
             return None
-        return hot.table.select(key, F.ceil(F.col("n") / F.lit(hot.limit)).cast("int").alias(name))
+        n_parts = F.ceil(F.col("n") / F.lit(hot.limit)).cast("int")
+        return hot.small(hot.table.select(key, n_parts.alias(name)))
 
     left_parts, right_parts = parts(left, "_lp"), parts(right, "_rp")
     if left_parts is None and right_parts is None:
@@ -113,7 +117,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right
     def salted(df: DataFrame, row_id: str, own: str, own_salt: str, other: str, other_salt: str):
         for table in (left_parts, right_parts):
             if table is not None:
-                df = df.join(F.broadcast(table), key, "left")
+                df = df.join(table, key, "left")
         for name in ("_lp", "_rp"):
             present = F.coalesce(name, F.lit(1)) if name in df.columns else F.lit(1)
             df = df.withColumn(name, present)

@@ -375,23 +375,7 @@ def field_conflicts(spark, sf):
 
 @query
 def pre_rules(spark, sf):
-    """How many times each field met each case before a rule was needed."""
-    trace = _trace(spark, sf)
-    cases = []
-    for f, column in (("name", "name"), ("email", "email"), ("phone", "phones")):
-        before, value = F.col(f"{column}_before"), F.col(column)
-        if f == "phone":
-            before, value = P.some(before), P.some(value)
-        case = (
-            F.when(before.isNull() & value.isNull(), "BOTH_NULL")
-            .when(before.isNull(), "CURRENT_NULL")
-            .when(value.isNull(), "INCOMING_NULL")
-            .when(before == value, "EQUAL")
-            .otherwise("CONFLICT")
-        )
-        cases.append(F.struct(F.lit(f).alias("field_name"), case.alias("outcome")))
-    rows = trace.select(F.inline(F.array(*cases)))
-    return rows.groupBy("field_name", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    return golden.pre_rules(_trace(spark, sf))
 
 
 def _resolved(strategy: str, **options) -> Query:
@@ -503,18 +487,7 @@ def score_phonetic(spark, sf):
 
 @query
 def score_nickname(spark, sf):
-    """Canonical names by a broadcast join with the 65-row nickname dimension."""
-    names = F.broadcast(fx.nicknames(spark))
-    rows = _pairs(spark, sf)
-    for side in ("in", "gold"):
-        dim = names.select(F.col("variant").alias(f"{side}_first_name"), F.col("canonical").alias(f"{side}_c"))
-        rows = rows.join(dim, f"{side}_first_name", "left").withColumn(
-            f"{side}_c", F.coalesce(f"{side}_c", f"{side}_first_name")
-        )
-    same = F.col("in_first_name") == F.col("gold_first_name")
-    nick = F.col("in_c") == F.col("gold_c")
-    value = F.when(same, 1.0).when(nick, S.SAME_NICKNAME).otherwise(0.0)
-    return rows.select("incoming_id", "national_id", value.alias("score"))
+    return _score(spark, sf, "score", S.score_nickname(*_both("first_name")))
 
 
 @query
@@ -561,9 +534,7 @@ def list_customers(spark, sf):
 
 @query
 def customer_by_id(spark, sf):
-    wanted = golden.golden_id(F.lit("000000000008"))
-    rows = _golden(spark, sf)
-    return read.read_model(rows.filter(F.col("id") == wanted))
+    return read.customer_by_id(_golden(spark, sf), golden.golden_id(F.lit("000000000008")))
 
 
 @query

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldrec.functions.similarity import nickname_table
-
 REQUESTS = """
 select event_id,
   case when event_id % 97 = 0 then 'BAD-' || cast(user_id as string)
@@ -82,7 +80,7 @@ select 'in-' || cast(c_custkey as string) as incoming_id,
   case c_custkey % 3 when 0 then '(212) ' when 1 then '917' else '1212' end ||
      lpad(cast(c_custkey % 1000 as string),3,'0') ||
      lpad(cast((c_custkey * 37) % 10000 as string),4,'0') as phone
-from {customer} where c_custkey % 3 = 0 or c_custkey % 11 = 0
+from {customer}
 """
 
 
@@ -110,12 +108,6 @@ def incoming_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(INCOMING_CONTACTS, customer=table(spark, sf_dir, "customer"))
 
 
-def nicknames(spark: SparkSession) -> DataFrame:
-    """The 65-row nickname dimension."""
-    rows = [(variant, canonical) for variant, canonical in nickname_table().items()]
-    return spark.createDataFrame(rows, "variant string, canonical string").coalesce(1)
-
-
 def with_copies(events: DataFrame, every: int) -> DataFrame:
     """``events`` plus a second delivery of each event whose id divides by ``every``."""
     again = events.filter(F.col("event_id") % every == 0)

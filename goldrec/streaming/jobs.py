@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -41,6 +44,20 @@ def run_idem_stream(spark: SparkSession, keyed: DataFrame, slices: int = 3) -> D
     return spark.read.parquet(f"{path}/classified").drop("batch_id")
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting that is put back afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def run_rearm_stream(spark: SparkSession, keyed: DataFrame, slices: int = 2) -> DataFrame:
     """Accepted requests of the re-arming stream."""
     path = work_path(spark, "rearm-stream")
@@ -53,19 +70,19 @@ def run_rearm_stream(spark: SparkSession, keyed: DataFrame, slices: int = 2) ->
     )
     write_slices(rows, f"{path}/slices", slices, "event_ts")
     rows = rows.drop("event_ts")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    for i in range(slices):
-        part = spark.read.schema(rows.schema).parquet(f"{path}/slices/slice={i}")
-        part.write.mode("append").parquet(f"{path}/in")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
-        _drain(
-            rearm_stream(stream)
-            .writeStream.format("parquet")
-            .option("path", f"{path}/out")
-            .option("checkpointLocation", f"{path}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", STATE_STORE):
+        for i in range(slices):
+            part = spark.read.schema(rows.schema).parquet(f"{path}/slices/slice={i}")
+            part.write.mode("append").parquet(f"{path}/in")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+            _drain(
+                rearm_stream(stream)
+                .writeStream.format("parquet")
+                .option("path", f"{path}/out")
+                .option("checkpointLocation", f"{path}/checkpoint")
+                .trigger(availableNow=True)
+                .start()
+            )
     new = spark.read.parquet(f"{path}/out").filter(F.col("result") != "HIT")
     at = F.timestamp_micros("event_us").cast("timestamp_ntz")
     return new.select("key_hash", at.alias("event_ts"), "event_id")

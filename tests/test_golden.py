@@ -1,4 +1,5 @@
 import itertools
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,3 +223,31 @@ def test_conflict_counts_list_every_strategy(spark):
     assert counts["NON_NULL"] == 0 and counts["MERGE"] > 0 and len(counts) == 5
     log = golden.conflict_log(golden.field_conflicts(trace))
     assert log.filter(~F.col("national_id").startswith("***")).isEmpty()
+
+
+@pytest.mark.parametrize("limit", [None, 2], ids=["cold", "hot"])
+def test_a_repeat_after_a_list_over_the_cap_counts(spark, hot_limit, limit):
+    """The first event's list is not cut, so it may be longer than the cap; the next
+    event cuts it and may cut the phone it brings, and a repeat brings that back."""
+    if limit:
+        hot_limit(limit)
+    at = [brute.START + brute.timedelta(seconds=10 * i) for i in range(12)]
+    lists = {
+        "A": [json.dumps(list("abcdefg")), "a", "a", "a"],
+        "B": [json.dumps(list("abcdefg")), "a", None, "a", "b", "a"],
+        "C": ["x", "x", json.dumps(list("abcdefgh")), "x", "x", "x", "c", "c", "c", "x"],
+        "D": [None, json.dumps(list("abcdef")), "a", json.dumps(["a"]), "a", "f", "a"],
+    }
+    rows = [
+        (100 * k + i, f"0000-0000000{key}", "n", None, phone, "CRM", at[i], at[i])
+        for k, (key, phones) in enumerate(lists.items())
+        for i, phone in enumerate(phones)
+    ]
+    cfg = MasteringConfig()
+    got = golden_rows(golden.golden_record(frame(spark, rows), cfg))
+    assert got == expected(rows, cfg)
+    assert got["00000000000A"][2] == ("d", "e", "f", "g", "a")
+    last = {}
+    for r in golden.golden_trace(frame(spark, rows), cfg).orderBy("national_id", "version").collect():
+        last[r.national_id] = tuple(r.phones_after)
+    assert last == {k: v[2] for k, v in got.items()}

@@ -164,3 +164,22 @@ def test_hot_rows_are_not_shuffled_for_their_first_request(spark, hot_limit):
     plan = idempotency.with_first(df)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
     assert df.filter(F.col("key_hash").isNull()).isEmpty()
+
+
+@pytest.mark.parametrize("limit", [None, 2], ids=["cold", "hot"])
+def test_a_request_delivered_again_is_a_replay(spark, hot_limit, limit):
+    if limit:
+        hot_limit(limit)
+    row = (1, "000000000001", "n", "e", "p", "CRM", None, START, START + timedelta(minutes=20))
+    later = (2, *row[1:7], START + timedelta(minutes=5), START + timedelta(minutes=30))
+    got = idempotency.classify(keyed(spark, [row, row, later]))
+    assert sorted((r.event_id, r.result) for r in got.collect()) == [(1, "HIT"), (1, "MISS"), (2, "HIT")]
+    assert idempotency.accepted(got).count() == 1
+    stored = idempotency.keys_table(keyed(spark, [row]))
+    again = idempotency.classify(keyed(spark, [row, later]), stored=stored)
+    assert {r.result for r in again.collect()} == {"HIT"}
+
+
+def test_rejected_requests_are_not_cleaned(spark):
+    plan = ingest.valid_requests(spark.createDataFrame([], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("reflect") < plan.index("Filter")
