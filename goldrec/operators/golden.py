@@ -485,11 +485,11 @@ def _chunked(rows: DataFrame, hot: HotKeys, cfg: MasteringConfig) -> tuple[DataF
 def _phone_chunks(rows: DataFrame, rule: FieldRule) -> DataFrame:
     """``(key, chunk, start, end)``: the phone list around each chunk with phones.
 
-    Each chunk guesses its start from the chunk before it alone, all chunks fold
-    at once, and only chunks whose guess differs from what their predecessor
-    really ends with are folded again. Every round settles at least one more
-    chunk per customer; a capped list forgets its start quickly, so a few rounds
-    do it.
+    A customer with no more phones than the cap never loses one, so its starts are
+    known (``_uncut_starts``). Other chunks guess theirs from the chunk before them
+    alone. All chunks fold at once, and only chunks whose start differs from what
+    their predecessor really ends with are folded again. A list that is cut forgets
+    its start quickly, so a few rounds do it.
     """
     part = [KEY, "chunk"]
     steps = F.when(_moves_phones(rule, part), F.struct(*ORDER, "phones"))
@@ -512,7 +512,11 @@ def _phone_chunks(rows: DataFrame, rule: FieldRule) -> DataFrame:
         return done.withColumn("want", F.coalesce(F.lag("end").over(by_chunk), F.col("base")))
 
     alone = fold(blocks.select(*part, F.col("base").alias("start")))
-    state = durable(fold(handed_on(alone).select(*part, F.col("want").alias("start"))))
+    starts = handed_on(alone).select(*part, F.col("want").alias("start"))
+    if rule.merge_type == "UNION":
+        known = _uncut_starts(blocks, rule)
+        starts = starts.join(known, part, "left").select(*part, F.coalesce("known", "start").alias("start"))
+    state = durable(fold(starts))
     while True:
         checked = handed_on(state)
         wrong = checked.filter(F.col("want") != F.col("start"))
@@ -523,6 +527,26 @@ def _phone_chunks(rows: DataFrame, rule: FieldRule) -> DataFrame:
         state = durable(settled.unionByName(again))
 
 
+def _uncut_starts(blocks: DataFrame, rule: FieldRule) -> DataFrame:
+    """``(key, chunk, known)`` for customers with no more distinct phones than the cap:
+    the list at a chunk is the base and then the phones met before, by first appearance."""
+    steps = blocks.select(KEY, "chunk", "base", F.explode("steps").alias("s"))
+    seen = steps.select(KEY, "chunk", "base", *(f"s.{c}" for c in ORDER), F.posexplode("s.phones").alias("pos", "phone"))
+    firsts = (
+        seen.filter(~F.array_contains("base", F.col("phone")))
+        .groupBy(KEY, "phone")
+        .agg(F.min(F.struct(*ORDER, "pos", "chunk")).alias("at"), F.first("base").alias("base"))
+    )
+    few = firsts.groupBy(KEY).agg((F.count(F.lit(1)) + F.size(F.first("base"))).alias("n"))
+    few = few.filter(F.col("n") <= rule.max_values).select(KEY)
+    # at most as many phones a customer as the cap
+    lists = firsts.join(few, KEY, "left_semi").groupBy(KEY)
+    lists = lists.agg(F.array_sort(F.collect_list(F.struct("at", "phone"))).alias("met"))
+    before = F.filter("met", lambda m: m["at"]["chunk"] < F.col("chunk"))
+    known = F.concat("base", F.transform(before, lambda m: m["phone"]))
+    return blocks.select(KEY, "chunk", "base").join(lists, KEY).select(KEY, "chunk", known.alias("known"))
+
+
 def _golden_hot(rows: DataFrame, hot: HotKeys, cfg: MasteringConfig) -> DataFrame:
     rows, _ = _chunked(rows, hot, cfg)
     ruled = _with_previous(rows, [KEY, "chunk"], cfg)

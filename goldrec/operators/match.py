@@ -17,10 +17,12 @@ from goldrec.plans.skew import join_unique, salted_join
 BLOCKS = (
     ("email_key", "first_sound"),
     ("email_key", "last_sound"),
-    ("email_key", "phone_tail"),
-    ("phone_tail", "first_sound"),
-    ("phone_tail", "last_sound"),
+    ("email_key", "phone_key"),
+    ("phone_key", "first_sound"),
+    ("phone_key", "last_sound"),
 )
+#: Names up to this length may differ by two edits from one of under six characters.
+SHORT_NAME = 7
 COMPARED = ("email", "name", "phone", "first_name", "last_name", "first_sound", "last_sound", "first_full")
 
 
@@ -92,52 +94,86 @@ def _signals() -> dict[str, Column]:
     gmail = F.col("email").contains("@gmail.com")
     return {
         "email_key": F.when(gmail, F.regexp_replace("email", r"\.", "")).otherwise(F.col("email")),
-        "phone_tail": S.last_digits(F.col("phone")),
+        "phone_key": F.coalesce(S.last_digits(F.col("phone")), F.nullif(F.col("phone"), F.lit(""))),
         "first_sound": sound("first_name"),
         "last_sound": sound("last_name"),
         "first_full": S.canonical_name(F.col("first_name")),
     }
 
 
+def _pieces(text: str, size: int) -> Column:
+    """All runs of ``size`` characters; a shorter text is one piece, none has none."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
+    pieces = F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(size)))
+    return F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>"))
+
+
+def _name_pieces() -> Column:
+    """Two edits leave a pair of neighbours alone in a name of six characters or more; of
+    shorter names they leave a character alone."""
+    short = F.when(F.length("name") <= SHORT_NAME, _pieces("name", 1)).otherwise(F.array().cast("array<string>"))
+    return F.concat(_pieces("name", 2), short)
+
+
+def _email_parts() -> Column:
+    """What a typo leaves alone: either half of the local part beside the domain, or all
+    of the local part."""
+    local, domain = F.substring_index("email", "@", 1), F.substring_index("email", "@", -1)
+    half = F.floor(F.length(local) / 2).cast("int")
+    return F.array(
+        F.concat(F.lit("1 "), F.left(local, half), F.lit("@"), domain),
+        F.concat(F.lit("2 "), F.right(local, half), F.lit("@"), domain),
+        F.concat(F.lit("3 "), local),
+    )
+
+
 def with_blocks(profile_rows: DataFrame) -> DataFrame:
-    """Add ``blocks``: keys of which candidate pairs share at least one. Each key
-    joins two signals, because one e-mail, phone tail or surname alone may be
-    shared by a large part of all rows."""
-    keys = [
-        F.when(
-            F.col(a).isNotNull() & F.col(b).isNotNull(), F.concat_ws("\x01", F.lit(f"{a}+{b}"), a, b)
-        )
-        for a, b in BLOCKS
-    ]
-    return profile_rows.withColumn("blocks", F.array(*keys))
+    """Add ``blocks``: hashes of keys of which candidate pairs share at least one. Each key
+    joins two signals or more, because one e-mail, phone or surname alone may be shared by
+    a large part of all rows."""
+
+    def key(*names: str) -> Column:
+        known = F.lit(True)
+        for n in names:
+            known = known & F.col(n).isNotNull()
+        return F.when(known, F.array(F.xxhash64(F.lit("+".join(names)), *names)))
+
+    def keys(names: tuple[str, ...], parts: Column, label: str) -> Column:
+        return F.transform(parts, lambda p: F.when(key(*names).isNotNull(), F.xxhash64(F.lit(label), *names, p)))
+
+    found = [key(*pair) for pair in BLOCKS]
+    found.append(keys(("email_key",), _name_pieces(), "email_key+name"))
+    found.append(keys(("phone_key",), _pieces("email", 3), "phone_key+email"))
+    found.append(keys(("first_sound", "last_sound"), _email_parts(), "sounds+email"))
+    none = F.array().cast("array<bigint>")
+    together = F.concat(*(F.coalesce(f, none) for f in found))
+    return profile_rows.withColumn("blocks", F.array_distinct(F.array_compact(together)))
+
+
+def match_members(contacts: DataFrame, row_id: str) -> DataFrame:
+    """``row_id, representative``: copies of a contact are matched once, by the smallest id
+    among them; this table gives back all others."""
+    rows = with_profile(contacts).select(row_id, "profile")
+    first = rows.groupBy("profile").agg(F.min(row_id).alias("representative"))
+    return join_unique(rows, first, "profile", bound=contacts).select(row_id, "representative")
 
 
 def match_candidates(incoming: DataFrame, golden: DataFrame) -> DataFrame:
-    """Pairs of profiles that share a block. A pair found in several blocks is
-    kept in the first of them only, so no distinct is needed."""
+    """Pairs of profiles that share a block. Only ids and hashes meet in the blocks; what
+    is compared joins the distinct pairs afterwards."""
 
-    def exploded(df: DataFrame, row_id: str, prefix: str) -> DataFrame:
+    def side(df: DataFrame, row_id: str, prefix: str) -> tuple[DataFrame, DataFrame]:
         rows = durable(with_blocks(profiles(df, row_id)), "profiles")
-        renamed = rows.select(
-            row_id,
-            *(F.col(c).alias(f"{prefix}_{c}") for c in ("profile", "copies", *COMPARED)),
-            F.col("blocks").alias(f"{prefix}_blocks"),
-            F.posexplode("blocks").alias(f"{prefix}_pos", "block"),
+        details = rows.select(
+            row_id, *(F.col(c).alias(f"{prefix}_{c}") for c in ("profile", "copies", *COMPARED))
         )
-        return renamed.filter(F.col("block").isNotNull())
-
-    pairs = salted_join(
-        exploded(incoming, "incoming_id", "in"),
-        exploded(golden, "national_id", "gold").drop("gold_pos"),
-        "block",
-        "in_profile",
-        "gold_profile",
-    )
-    shared = F.zip_with("in_blocks", "gold_blocks", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    first_shared = F.array_position(shared, F.lit(True)) - 1
-    return pairs.filter(first_shared == F.col("in_pos")).drop(
-        "in_blocks", "gold_blocks", "in_pos", "block"
-    )
+        return details, rows.select(row_id, F.explode("blocks").alias("block"))
+
+    left, left_blocks = side(incoming, "incoming_id", "in")
+    right, right_blocks = side(golden, "national_id", "gold")
+    pairs = salted_join(left_blocks, right_blocks, "block", "incoming_id", "national_id")
+    pairs = durable(pairs.select("incoming_id", "national_id").distinct(), "pairs")
+    return join_unique(join_unique(pairs, left, "incoming_id", bound=pairs), right, "national_id", bound=pairs)
 
 
 def pair_scores(a: str = "in", b: str = "gold") -> dict[str, Column]:

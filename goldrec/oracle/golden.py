@@ -127,6 +127,9 @@ MODEL = """id, national_id as "nationalId", name, email, phone_json as phone,
 ONE = "national_id = '000000000008'"
 SQL["list_customers"] = f"""{golden()} select {MODEL} from (
   select * from golden order by updated_at desc, national_id limit 20 offset 20)"""
+SQL["list_customers_by_name"] = f"""{golden()} select {MODEL} from (
+  select * from golden order by name, national_id limit 25 offset 50)"""
+SQL["customers_after"] = SQL["list_customers"]
 SQL["customer_by_id"] = f"{golden()} select {MODEL} from golden where id = sha256('golden|000000000008')"
 SQL["customer_by_national_id"] = f"{golden()} select {MODEL} from golden where {ONE}"
 WANTED = "select lpad(substr(incoming_id, 4), 12, '0') from fx_incoming"

@@ -85,6 +85,13 @@ SQL["idem_key"] = f"{with_(keyed())} select event_id, key_type, key_hash, ttl_ho
 SQL["idem_classify"] = f"{with_(classified())} select {CLASS_COLUMNS} from classified"
 SQL["idem_classify_long_ttl"] = f"{with_(classified(24))} select {CLASS_COLUMNS} from classified"
 SQL["idem_stream"] = SQL["idem_classify_long_ttl"]
+SQL["ingest_stream"] = f"""{with_(classified(24))}
+select event_id as request_id,
+  (case when result = 'HIT' then first_event_id else event_id end)::varchar as event_id,
+  case when result = 'HIT' then 'CACHED' else 'ACCEPTED' end as status, null::varchar as reason from classified
+union all select event_id, null, 'REJECTED', reason from checked where reason is not null"""
+SQL["ingest_stream_events"] = f"""{with_(classified(24))} select event_id::varchar as event_id, national_id,
+  name, email, phone, source_system, event_ts from classified where result in ('MISS', 'EXPIRED')"""
 SQL["idem_in_flight"] = f"{with_(classified(24, True))} select {CLASS_COLUMNS} from classified"
 SQL["idem_accepted"] = f"""{with_(classified(24))} select event_id as request_id,
   case when result = 'HIT' then first_event_id else event_id end as event_id,

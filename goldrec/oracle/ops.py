@@ -206,6 +206,7 @@ SQL["alert_dup_anomaly"] = alerts(
           "duplicates / processed < 0.01 and processed / 3600.0 > 0.0"),
     alert("b", "MDMDuplicateRateAnomalyHigh", 60, 3600, 3600, DUP, "duplicates / processed > 0.5"),
 )
+SQL["alert_dup_anomaly_under_load"] = SQL["alert_dup_anomaly"].replace("3600.0 > 0.0", "3600.0 > 10.0")
 SQL["sli_stream"] = by("5 minutes") + """
 select window_start, processed, errors, duplicates, round(processed / 300.0::double, 6) as events_per_sec,
   round(errors::double / processed, 6) as error_ratio,

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: ContextVar[list[str] | None] = ContextVar("own", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -36,5 +42,24 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     re-read, not the lineage.
     """
     path = work_path(df.sparkSession, name)
+    own = _OWN.get()
+    if own is not None:
+        own.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``durable`` writes inside are deleted at the end, so that a stream
+    leaves none behind; what is read from them must be written by then."""
+    token = _OWN.set([])
+    try:
+        yield
+    finally:
+        paths = _OWN.get() or []
+        _OWN.reset(token)
+        sc = spark.sparkContext
+        hadoop, conf = sc._jvm.org.apache.hadoop.fs, sc._jsc.hadoopConfiguration()
+        for path in map(hadoop.Path, paths):
+            path.getFileSystem(conf).delete(path, True)

@@ -16,6 +16,7 @@ from goldrec.operators import dedup, dlq, golden, idempotency, ingest, match, re
 from goldrec.plans.durable import durable
 from goldrec.sources import fixtures as fx
 from goldrec.sources import raw_events, requests
+from goldrec.sources.snapshot import golden_snapshot
 from goldrec.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +62,17 @@ def _golden(spark: SparkSession, sf: str, cfg: MasteringConfig = MasteringConfig
     return golden.golden_record(events, cfg, sizes=_valid(spark, sf), bound=source)
 
 
+_SNAPSHOTS: dict[tuple[str, str], DataFrame] = {}
+
+
+def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The golden table as the read side sees it: written once per application and folder."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _SNAPSHOTS:
+        _SNAPSHOTS[key] = golden_snapshot(_golden(spark, sf))
+    return _SNAPSHOTS[key]
+
+
 def _trace(spark: SparkSession, sf: str, cfg: MasteringConfig = MasteringConfig()) -> DataFrame:
     events, source = _accepted(spark, sf), _events(spark, sf)
     return golden.golden_trace(events, cfg, sizes=_valid(spark, sf), bound=source)
@@ -303,6 +315,20 @@ def idem_stream(spark, sf):
     return _classes(streams.run_idem_stream(spark, _keyed(spark, sf, LONG_TTL)))
 
 
+@query
+def ingest_stream(spark, sf):
+    """Replies to all requests, valid or not, from the ingestion job."""
+    replies, _ = streams.run_ingest_stream(spark, fx.requests(spark, sf).drop("done_ts"), ttl_factor=LONG_TTL)
+    return replies.withColumn("event_id", F.col("event_id").cast("string"))
+
+
+@query
+def ingest_stream_events(spark, sf):
+    """The raw events that the ingestion job published."""
+    _, events = streams.run_ingest_stream(spark, fx.requests(spark, sf).drop("done_ts"), ttl_factor=LONG_TTL)
+    return events
+
+
 @query
 def idem_rearm_stream(spark, sf):
     return streams.run_rearm_stream(spark, _keyed(spark, sf, LONG_TTL))
@@ -447,6 +473,18 @@ def master_stream(spark, sf):
 # ---- matching -------------------------------------------------------------
 
 
+@query
+def match_members(spark, sf):
+    """Every contact beside the one that stands for it and its copies in the matches."""
+
+    def of(contacts: DataFrame, row_id: str, side: str) -> DataFrame:
+        rows = match.match_members(contacts, row_id)
+        return rows.select(F.col(row_id).alias("contact"), "representative", F.lit(side).alias("side"))
+
+    incoming = of(fx.incoming_contacts(spark, sf), "incoming_id", "incoming")
+    return incoming.unionByName(of(fx.golden_contacts(spark, sf), "national_id", "golden"))
+
+
 @query
 def match_email_exact(spark, sf):
     return match.match_email_exact(fx.incoming_contacts(spark, sf), fx.golden_contacts(spark, sf))
@@ -529,17 +567,31 @@ def review_queue(spark, sf):
 
 @query
 def list_customers(spark, sf):
-    return read.list_customers(_golden(spark, sf), page=1, size=20)
+    return read.list_customers(_snapshot(spark, sf), page=1, size=20)
+
+
+@query
+def list_customers_by_name(spark, sf):
+    return read.list_customers(_snapshot(spark, sf), page=2, size=25, sort="name", descending=False)
+
+
+@query
+def customers_after(spark, sf):
+    """The second page of the default order, from the last row of the first one."""
+    snapshot = _snapshot(spark, sf)
+    last = snapshot.orderBy(F.desc("updated_at"), "national_id").limit(20).select("updated_at", "national_id").tail(1)
+    after = last[0] if last else (None, "")
+    return read.customers_after(snapshot, *after, size=20)
 
 
 @query
 def customer_by_id(spark, sf):
-    return read.customer_by_id(_golden(spark, sf), golden.golden_id(F.lit("000000000008")))
+    return read.customer_by_id(_snapshot(spark, sf), golden.golden_id(F.lit("000000000008")))
 
 
 @query
 def customer_by_national_id(spark, sf):
-    return read.customer_by_national_id(_golden(spark, sf), " 0000-00000008")
+    return read.customer_by_national_id(_snapshot(spark, sf), " 0000-00000008")
 
 
 @query
@@ -547,33 +599,33 @@ def customers_by_national_ids(spark, sf):
     wanted = fx.incoming_contacts(spark, sf).select(
         F.lpad(F.substring("incoming_id", 4, 20), 12, "0").alias("national_id")
     )
-    return read.customers_by_national_ids(_golden(spark, sf), wanted)
+    return read.customers_by_national_ids(_snapshot(spark, sf), wanted)
 
 
 @query
 def search_by_name(spark, sf):
-    return read.search_by_name(_golden(spark, sf), "JON", page=0, size=50)
+    return read.search_by_name(_snapshot(spark, sf), "JON", page=0, size=50)
 
 
 @query
 def exists_by_national_id(spark, sf):
     wanted = fx.golden_contacts(spark, sf).select("national_id")
-    return read.exists_by_national_ids(_golden(spark, sf), wanted)
+    return read.exists_by_national_ids(_snapshot(spark, sf), wanted)
 
 
 @query
 def customer_count(spark, sf):
-    return read.customer_count(_golden(spark, sf))
+    return read.customer_count(_snapshot(spark, sf))
 
 
 @query
 def read_model(spark, sf):
-    return read.read_model(_golden(spark, sf))
+    return read.read_model(_snapshot(spark, sf))
 
 
 @query
 def table_row_counts(spark, sf):
-    return read.table_row_counts(_accepted(spark, sf), _golden(spark, sf))
+    return read.table_row_counts(_accepted(spark, sf), _snapshot(spark, sf))
 
 
 # ---- dead letters ---------------------------------------------------------
@@ -682,6 +734,7 @@ _log_query(
     lambda log: slo.alert_latency(log.withColumn("latency_ms", F.col("latency_ms") * 5)),
 )
 _log_query("alert_dup_anomaly", lambda log: slo.alert_dup_anomaly(log, min_rate=0.0))
+_log_query("alert_dup_anomaly_under_load", slo.alert_dup_anomaly)
 _log_query("daily_throughput", slo.daily_throughput)
 
 

@@ -19,16 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from goldrec.operators import idempotency
-from goldrec.plans.durable import durable
+from goldrec.plans.durable import durable, scratch
 from goldrec.sources.tables import read_table, write_batch
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 REARM_OUTPUT = "key_hash string, event_id bigint, event_us bigint, result string"
 
 
-def idem_batch(keyed: DataFrame, batch_id: int, root: str) -> None:
-    """Classify one micro-batch and store its new keys, both under the batch id."""
-    spark = keyed.sparkSession
+def stored_keys(keyed: DataFrame, batch_id: int, root: str) -> DataFrame:
+    """The keys that batches before ``batch_id`` stored."""
     types = dict(keyed.dtypes)
     schema = ", ".join(
         f"{column} {kind}"
@@ -41,10 +40,16 @@ def idem_batch(keyed: DataFrame, batch_id: int, root: str) -> None:
             ("expires_at", types["event_ts"]),
         )
     )
-    stored = read_table(spark, root, "keys", schema).filter(F.col("batch_id") < batch_id)
-    rows = durable(keyed)
-    write_batch(idempotency.classify(rows, stored=stored), root, "classified", batch_id)
-    write_batch(idempotency.keys_table(rows, stored), root, "keys", batch_id)
+    return read_table(keyed.sparkSession, root, "keys", schema).filter(F.col("batch_id") < batch_id)
+
+
+def idem_batch(keyed: DataFrame, batch_id: int, root: str) -> None:
+    """Classify one micro-batch and store its new keys, both under the batch id."""
+    stored = stored_keys(keyed, batch_id, root)
+    with scratch(keyed.sparkSession):
+        rows = durable(keyed)
+        write_batch(idempotency.classify(rows, stored=stored), root, "classified", batch_id)
+        write_batch(idempotency.keys_table(rows, stored), root, "keys", batch_id)
 
 
 def idem_stream(keyed: DataFrame, root: str, checkpoint: str) -> StreamingQuery:

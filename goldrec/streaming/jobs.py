@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from goldrec.plans.durable import work_path
-from goldrec.sources.raw_events import raw_records, stream_raw
+from goldrec.sources.raw_events import raw_records, read_raw, stream_raw
+from goldrec.sources.requests import FIELDS, stream_requests
 from goldrec.sources.tables import current_golden
 from goldrec.streaming.idem import STATE_STORE, idem_stream, rearm_stream
+from goldrec.streaming.ingest import ingest_stream
 from goldrec.streaming.master import master_stream
 from goldrec.streaming.sli import sli_stream
 
 
+FILE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
@@ -32,6 +37,26 @@ def write_slices(df: DataFrame, path: str, slices: int, ts: str) -> None:
     df.withColumn("slice", number).write.partitionBy("slice").parquet(path)
 
 
+def run_ingest_stream(
+    spark: SparkSession, requests: DataFrame, slices: int = 3, ttl_factor: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """Replies and published events after streaming request files in event-ordered slices."""
+    path = work_path(spark, "ingest-stream")
+    write_slices(requests, f"{path}/slices", slices, "event_ts")
+    for i in range(slices):
+        part = spark.read.schema(requests.schema).parquet(f"{path}/slices/slice={i}")
+        body = part.select(
+            F.col("event_id").alias("requestId"),
+            *(F.col(column).alias(json) for column, json in FIELDS.items()),
+            F.col("client_key").alias("idempotencyKey"),
+            F.col("event_ts").alias("receivedAt"),
+        )
+        body.write.mode("append").option("timestampNTZFormat", FILE_TIME).json(f"{path}/in")
+        stream = stream_requests(spark, f"{path}/in")
+        _drain(ingest_stream(stream, path, f"{path}/checkpoint", ttl_factor))
+    return spark.read.parquet(f"{path}/replies").drop("batch_id"), read_raw(spark, f"{path}/raw_events")
+
+
 def run_idem_stream(spark: SparkSession, keyed: DataFrame, slices: int = 3) -> DataFrame:
     """Classes after streaming the requests in event-ordered slices."""
     path = work_path(spark, "idem-stream")

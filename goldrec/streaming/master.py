@@ -12,7 +12,7 @@ from goldrec.config import MasteringConfig
 from goldrec.functions.text import norm_national_id
 from goldrec.operators import dlq, golden
 from goldrec.operators.dedup import dedup_event_id
-from goldrec.plans.durable import durable
+from goldrec.plans.durable import durable, scratch
 from goldrec.sources.raw_events import raw_audit
 from goldrec.sources.tables import current_golden, read_table, write_batch
 
@@ -22,6 +22,11 @@ def master_batch(
 ) -> None:
     """Master one batch of raw events. Every table is written under the batch id and
     only earlier batches are read, so running a batch again gives the same tables."""
+    with scratch(events.sparkSession):
+        _master_batch(events, batch_id, root, cfg)
+
+
+def _master_batch(events: DataFrame, batch_id: int, root: str, cfg: MasteringConfig) -> None:
     spark = events.sparkSession
     id_type = dict(events.dtypes)["event_id"]
     stored = read_table(spark, root, "raw", f"event_id {id_type}").filter(

@@ -1,5 +1,6 @@
 import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,3 +252,22 @@ def test_a_repeat_after_a_list_over_the_cap_counts(spark, hot_limit, limit):
     for r in golden.golden_trace(frame(spark, rows), cfg).orderBy("national_id", "version").collect():
         last[r.national_id] = tuple(r.phones_after)
     assert last == {k: v[2] for k, v in got.items()}
+
+
+def test_few_phones_settle_at_once_whatever_the_chunks(spark, hot_limit, monkeypatch):
+    """Four phones in random order: the list never forgets its first order."""
+    hot_limit(20)
+    stored, rnd, at = [], random.Random(4), brute.START
+    durable = golden.durable
+    monkeypatch.setattr(golden, "durable", lambda df, *a: stored.append(a) or durable(df, *a))
+    counts = []
+    for n in (200, 800):
+        rows = [
+            (i, "123456789012", None, None, rnd.choice("abcd"), "WEB", at + brute.timedelta(seconds=i), at)
+            for i in range(n)
+        ]
+        stored.clear()
+        got = golden_rows(golden.golden_record(spark.createDataFrame(rows, brute.EVENT_SCHEMA)))
+        assert got == expected(rows, MasteringConfig())
+        counts.append(len(stored))
+    assert counts[0] == counts[1] <= 4

@@ -40,7 +40,7 @@ def test_candidates_are_all_pairs_that_share_a_block(spark, hot_limit, limit):
         (a, b)
         for a, x in left.items()
         for b, y in right.items()
-        if any(p is not None and p == q for p, q in zip(x, y))
+        if set(x) & set(y)
     )
     if limit:
         hot_limit(limit)
@@ -92,3 +92,31 @@ def test_class_limits(spark):
     df = spark.createDataFrame([(0.8,), (0.799999,), (0.5,), (0.499999,)], "score double")
     got = [r[0] for r in df.select(match.match_class(F.col("score"))).collect()]
     assert got == ["DUPLICATE", "POSSIBLE_DUPLICATE", "POSSIBLE_DUPLICATE", "NO_MATCH"]
+
+
+def test_pairs_with_typos_are_found(spark):
+    """Each pair shares one signal whole; of the other only pieces are left."""
+    incoming = [
+        ("i1", "John Smith", "john.smith@acme.com", None),
+        ("i2", "Rob Cane", "r@acme.com", None),
+        ("i3", "Ann Lee", "family.roe@acme.com", "5551234567"),
+        ("i4", "Abe", "z@acme.com", "12"),
+    ]
+    golden = [
+        ("g1", "John Smith", "john.smyth@acme.com", None),
+        ("g2", "Bob Kane", "r@acme.com", None),
+        ("g3", "Mary Poe", "family.poe@acme.com", "5551234567"),
+        ("g4", "Obi", "z@acme.com", "12"),
+        ("g5", "Ann Lee", "other@else.org", "5559999999"),
+    ]
+    incoming, golden = frames(spark, incoming, golden)
+    scored = match.match_score(match.match_candidates(incoming, golden))
+    assert {(r.incoming_id, r.national_id) for r in scored.filter("score >= 0.5").collect()} == {
+        (f"i{n}", f"g{n}") for n in range(1, 5)
+    }
+
+
+def test_members_give_back_all_copies(spark):
+    rows = [("a", "Zoe", "Z@x.org", None), ("b", " zoe", "z@x.org ", None), ("c", None, None, None), ("d", "", "", "")]
+    df = spark.createDataFrame(rows, CONTACT.format("id"))
+    assert sorted(map(tuple, match.match_members(df, "id").collect())) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")]

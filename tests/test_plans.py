@@ -103,12 +103,11 @@ def test_scans_read_only_the_columns_they_need(spark):
     assert set(re.findall(r"(\w+):", schema)) <= {"event_id", "event_type"}
 
 
-def test_a_lookup_filter_reaches_the_scan(spark):
-    contacts = durable(fixtures.golden_contacts(spark, SF))
-    from goldrec.operators.read import norm_national_id
-
-    text = plan(contacts.filter(F.col("national_id") == norm_national_id(F.lit("0000-00000008"))))
-    assert "EqualTo(national_id,000000000008)" in text
+def test_a_lookup_reads_the_snapshot_only(spark):
+    for name, column in (("customer_by_national_id", "national_id"), ("customer_by_id", "id")):
+        text = plan(QUERIES[name](spark, SF))
+        assert f"EqualTo({column}," in text
+        assert "Exchange" not in text and text.count("Scan parquet") <= 2 and "golden-snapshot" in text
 
 
 def test_no_query_uses_a_cross_join_or_a_python_udf(spark):

@@ -1,11 +1,13 @@
+import pathlib
 import random
 
 from pyspark.sql import functions as F
 
 from goldrec.operators import golden
-from goldrec.plans.durable import work_path
-from goldrec.sources.raw_events import parse_raw, raw_audit, raw_records
+from goldrec.plans.durable import shared_dir, work_path
+from goldrec.sources.raw_events import parse_raw, raw_audit, raw_records, read_raw
 from goldrec.sources.tables import compact, current_golden, read_table
+from goldrec.streaming.ingest import ingest_batch
 from goldrec.streaming.master import master_batch
 from tests import brute
 from tests.test_golden import expected, frame, golden_rows
@@ -83,3 +85,34 @@ def test_request_files(spark, tmp_path):
     assert row.event_ts == brute.START
     stream = stream_requests(spark, str(tmp_path))
     assert stream.isStreaming and stream.columns == read_requests(spark, str(tmp_path)).columns
+
+
+def request(i, client_key, seconds, national_id="123456789012", source="CRM"):
+    return (i, national_id, "n", None, None, source, client_key, brute.START + brute.timedelta(seconds=seconds))
+
+
+def test_ingest_batches_equal_one_batch_can_be_repeated_and_leave_no_scratch(spark):
+    schema = (
+        "event_id long, national_id string, name string, email string, phone string, "
+        "source_system string, client_key string, event_ts timestamp_ntz"
+    )
+    rows = [request(1, "a", 0), request(2, "a", 1), request(3, None, 2), request(4, "x", 3, national_id=" "), request(5, "b", 4)]
+    rows += [request(6, "a", 5), request(7, "b", 6), request(5, "b", 7), request(8, "c", 8, source="nope")]
+    folder = pathlib.Path(shared_dir(spark), "goldrec")
+
+    def run(parts, repeat=()):
+        root = work_path(spark, "ingest-test")
+        for i, part in [*enumerate(parts), *repeat]:
+            ingest_batch(spark.createDataFrame(part, schema), i, root)
+        replies = spark.read.parquet(f"{root}/replies").drop("batch_id").collect()
+        return sorted(map(str, replies)), sorted(r.event_id for r in read_raw(spark, f"{root}/raw_events").collect())
+
+    before = {p.name for p in folder.glob("*")}
+    want = run([rows])
+    assert want[1] == ["1", "3", "5"]
+    assert sum("REJECTED" in r for r in want[0]) == 2 and sum("CACHED" in r for r in want[0]) == 4
+    parts = [rows[:4], rows[4:6], rows[6:]]
+    assert run(parts) == want
+    assert run(parts, [(1, parts[1]), (2, parts[2])]) == want
+    left = {p.name for p in folder.glob("*")} - before
+    assert all(name.startswith("ingest-test") for name in left)
