@@ -6,6 +6,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,19 +135,20 @@ def with_blocks(profile_rows: DataFrame) -> DataFrame:
     joins two signals or more, because one e-mail, phone or surname alone may be shared by
     a large part of all rows."""
 
-    def key(*names: str) -> Column:
-        known = F.lit(True)
-        for n in names:
-            known = known & F.col(n).isNotNull()
-        return F.when(known, F.array(F.xxhash64(F.lit("+".join(names)), *names)))
+    def known(names: tuple[str, ...]) -> Column:
+        return reduce(and_, (F.col(n).isNotNull() for n in names))
+
+    def key(names: tuple[str, ...]) -> Column:
+        return F.when(known(names), F.array(F.xxhash64(F.lit("+".join(names)), *names)))
 
     def keys(names: tuple[str, ...], parts: Column, label: str) -> Column:
-        return F.transform(parts, lambda p: F.when(key(*names).isNotNull(), F.xxhash64(F.lit(label), *names, p)))
+        hashed = F.xxhash64(F.lit(label), *names)
+        return F.when(known(names), F.transform(parts, lambda p: F.xxhash64(hashed, p)))
 
-    found = [key(*pair) for pair in BLOCKS]
+    found = [key(pair) for pair in BLOCKS]
     found.append(keys(("email_key",), _name_pieces(), "email_key+name"))
-    found.append(keys(("phone_key",), _pieces("email", 3), "phone_key+email"))
-    found.append(keys(("first_sound", "last_sound"), _email_parts(), "sounds+email"))
+    found.append(keys(("phone_key", "email"), _pieces("email", 3), "phone_key+email"))
+    found.append(keys(("first_sound", "last_sound", "email"), _email_parts(), "sounds+email"))
     none = F.array().cast("array<bigint>")
     together = F.concat(*(F.coalesce(f, none) for f in found))
     return profile_rows.withColumn("blocks", F.array_distinct(F.array_compact(together)))

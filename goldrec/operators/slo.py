@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from goldrec import config as C
 
+# ---- fixed values ---------------------------------------------------------
 SEVERITIES = ((10, "CRITICAL"), (5, "HIGH"), (2, "ELEVATED"))
 SEVERITY_TEXT = {
     "CRITICAL": "10x+ burn rate - Immediate action required",
@@ -20,6 +21,17 @@ SEVERITY_TEXT = {
     "ELEVATED": "2x+ burn rate - Monitor closely",
     "NORMAL": "Normal operations",
 }
+HEALTH_TEXT = {
+    "DOWN": "No events processed recently",
+    "UNKNOWN": "Anomalous duplicate rate",
+    "UP": "healthy",
+}
+ERRORS_HIGH = "MDMProcessingErrorRateHigh"
+LATENCY_HIGH = "MDMProcessingLatencyHigh"
+LATENCY_DEGRADED = "MDMProcessingLatencyDegraded"
+DUPLICATES_LOW = "MDMDuplicateRateAnomalyLow"
+DUPLICATES_HIGH = "MDMDuplicateRateAnomalyHigh"
+# ---------------------------------------------------------------------------
 MAX_DOUBLE = 1.7976931348623157e308
 
 
@@ -214,9 +226,9 @@ def processing_health(log: DataFrame, as_of: Column, timeout_minutes: int = 5) -
     odd = (F.col("processed") > 100) & ((share == 0) | (share > 95))
     return totals.select(
         F.when(quiet, "DOWN").when(odd, "UNKNOWN").otherwise("UP").alias("status"),
-        F.when(quiet, "No events processed recently")
-        .when(odd, "Anomalous duplicate rate")
-        .otherwise("healthy")
+        F.when(quiet, HEALTH_TEXT["DOWN"])
+        .when(odd, HEALTH_TEXT["UNKNOWN"])
+        .otherwise(HEALTH_TEXT["UP"])
         .alias("detail"),
         "last_success",
         "processed",
@@ -355,7 +367,7 @@ def alert_error_rate(log: DataFrame) -> DataFrame:
         log, 30, 300, F.count_if(~F.col("ok")).alias("errors"), F.count(F.lit(1)).alias("processed")
     )
     high = F.col("errors") / F.col("processed") > 0.01
-    return sustained(checks, "MDMProcessingErrorRateHigh", high, 30, 120)
+    return sustained(checks, ERRORS_HIGH, high, 30, 120)
 
 
 def alert_latency(log: DataFrame, buckets: tuple[int, ...] = C.LATENCY_BUCKETS_MS) -> DataFrame:
@@ -367,10 +379,10 @@ def alert_latency(log: DataFrame, buckets: tuple[int, ...] = C.LATENCY_BUCKETS_M
         return histogram_quantile(q, buckets, F.col("total"))
 
     slow = sustained(
-        sliding(log, 30, 300, *counts), "MDMProcessingLatencyHigh", quantile(0.99) > 500, 30, 300
+        sliding(log, 30, 300, *counts), LATENCY_HIGH, quantile(0.99) > 500, 30, 300
     )
     degraded = sustained(
-        sliding(log, 60, 300, *counts), "MDMProcessingLatencyDegraded", quantile(0.95) > 100, 60, 600
+        sliding(log, 60, 300, *counts), LATENCY_DEGRADED, quantile(0.95) > 100, 60, 600
     )
     return slow.unionByName(degraded)
 
@@ -386,6 +398,6 @@ def alert_dup_anomaly(log: DataFrame, min_rate: float = 10.0) -> DataFrame:
     )
     share = F.col("duplicates") / F.col("processed")
     low = (share < 0.01) & (F.col("processed") / 3600.0 > min_rate)
-    return sustained(checks, "MDMDuplicateRateAnomalyLow", low, 60, 3600).unionByName(
-        sustained(checks, "MDMDuplicateRateAnomalyHigh", share > 0.5, 60, 3600)
+    return sustained(checks, DUPLICATES_LOW, low, 60, 3600).unionByName(
+        sustained(checks, DUPLICATES_HIGH, share > 0.5, 60, 3600)
     )
