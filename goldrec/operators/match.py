@@ -115,22 +115,49 @@ def _name_pieces() -> Column:
     return F.concat(_pieces("name", 2), short)
 
 
-def _email_parts() -> Column:
-    """What a typo leaves alone: either half of the local part beside the domain, or all
-    of the local part."""
-    local, domain = F.substring_index("email", "@", 1), F.substring_index("email", "@", -1)
-    half = F.floor(F.length(local) / 2).cast("int")
-    return F.array(
+def _mailbox() -> tuple[Column, Column]:
+    return F.substring_index("email", "@", 1), F.substring_index("email", "@", -1)
+
+
+def _email_halves(shorter: int = 0) -> list[Column]:
+    """Either half of the local part, taken as ``shorter`` characters shorter, beside the
+    domain. A changed character leaves a half alone; an inserted or dropped one leaves
+    alone a half by the smaller of the two lengths."""
+    local, domain = _mailbox()
+    half = F.floor(F.greatest(F.length(local) - shorter, F.lit(0)) / 2).cast("int")
+    return [
         F.concat(F.lit("1 "), F.left(local, half), F.lit("@"), domain),
         F.concat(F.lit("2 "), F.right(local, half), F.lit("@"), domain),
-        F.concat(F.lit("3 "), local),
+    ]
+
+
+def _email_parts() -> Column:
+    """What a changed character leaves alone: either half of the local part beside the
+    domain, or all of the local part."""
+    return F.array(*_email_halves(), F.concat(F.lit("3 "), _mailbox()[0]))
+
+
+def _email_without_one() -> Column:
+    """The e-mail, and the e-mail without any one character of its local part: two that are
+    one typo apart share one of them."""
+    local, domain = _mailbox()
+    places = F.sequence(F.lit(0), F.length(local))
+    return F.transform(
+        places,
+        lambda i: F.concat(
+            F.substring(local, F.lit(1), F.greatest(i - 1, F.lit(0))),
+            F.substring(local, i + 1, F.length(local)),
+            F.lit("@"),
+            domain,
+        ),
     )
 
 
-def with_blocks(profile_rows: DataFrame) -> DataFrame:
+def with_blocks(profile_rows: DataFrame, typos: bool = True) -> DataFrame:
     """Add ``blocks``: hashes of keys of which candidate pairs share at least one. Each key
     joins two signals or more, because one e-mail, phone or surname alone may be shared by
-    a large part of all rows."""
+    a large part of all rows. Without ``typos``: without the keys for an inserted or dropped
+    character of an e-mail and for e-mails beside one sound, as in the SQL of the queries."""
 
     def key(*names: str) -> Column:
         known = F.lit(True)
@@ -145,6 +172,16 @@ def with_blocks(profile_rows: DataFrame) -> DataFrame:
     found.append(keys(("email_key",), _name_pieces(), "email_key+name"))
     found.append(keys(("phone_key",), _pieces("email", 3), "phone_key+email"))
     found.append(keys(("first_sound", "last_sound"), _email_parts(), "sounds+email"))
+    if typos:
+        has_email = F.length("email") > 0
+        both = ("first_sound", "last_sound")
+        shorter = F.array(*_email_halves(1))
+        found.append(F.when(has_email, keys(both, shorter, "sounds+email")))
+        one_word = F.col("last_sound").isNull()
+        every = F.concat(_email_parts(), shorter)
+        found.append(F.when(has_email & one_word, keys(("first_sound",), every, "sound+email")))
+        for sound in both:
+            found.append(F.when(has_email, keys((sound,), _email_without_one(), f"{sound}+email")))
     none = F.array().cast("array<bigint>")
     together = F.concat(*(F.coalesce(f, none) for f in found))
     return profile_rows.withColumn("blocks", F.array_distinct(F.array_compact(together)))
@@ -158,12 +195,12 @@ def match_members(contacts: DataFrame, row_id: str) -> DataFrame:
     return join_unique(rows, first, "profile", bound=contacts).select(row_id, "representative")
 
 
-def match_candidates(incoming: DataFrame, golden: DataFrame) -> DataFrame:
+def match_candidates(incoming: DataFrame, golden: DataFrame, typos: bool = True) -> DataFrame:
     """Pairs of profiles that share a block. Only ids and hashes meet in the blocks; what
     is compared joins the distinct pairs afterwards."""
 
     def side(df: DataFrame, row_id: str, prefix: str) -> tuple[DataFrame, DataFrame]:
-        rows = durable(with_blocks(profiles(df, row_id)), "profiles")
+        rows = durable(with_blocks(profiles(df, row_id), typos), "profiles")
         details = rows.select(
             row_id, *(F.col(c).alias(f"{prefix}_{c}") for c in ("profile", "copies", *COMPARED))
         )

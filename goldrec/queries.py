@@ -126,7 +126,8 @@ def _both(field: str) -> tuple[Column, Column]:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    candidates = match.match_candidates(fx.incoming_contacts(spark, sf), fx.golden_contacts(spark, sf))
+    # the SQL has no typo keys
+    candidates = match.match_candidates(fx.incoming_contacts(spark, sf), fx.golden_contacts(spark, sf), typos=False)
     return match.match_score(candidates)
 
 
@@ -535,7 +536,7 @@ def score_phone(spark, sf):
 
 @query
 def match_candidates(spark, sf):
-    pairs = match.match_candidates(fx.incoming_contacts(spark, sf), fx.golden_contacts(spark, sf))
+    pairs = match.match_candidates(fx.incoming_contacts(spark, sf), fx.golden_contacts(spark, sf), typos=False)
     return pairs.select("incoming_id", "national_id", "in_copies", "gold_copies")
 
 

@@ -120,3 +120,36 @@ def test_members_give_back_all_copies(spark):
     rows = [("a", "Zoe", "Z@x.org", None), ("b", " zoe", "z@x.org ", None), ("c", None, None, None), ("d", "", "", "")]
     df = spark.createDataFrame(rows, CONTACT.format("id"))
     assert sorted(map(tuple, match.match_members(df, "id").collect())) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")]
+
+
+@pytest.mark.parametrize(
+    "names",
+    [("John Smith", "John Smith"), ("John", "John"), ("John", "John Smith"), ("John Smith", "John Smiph")],
+    ids=["both sounds", "one word", "one word and two", "one sound"],
+)
+def test_an_inserted_or_dropped_character_at_any_place_is_found(spark, names):
+    """Against the scores of all pairs; local parts of one to ten characters."""
+    boxes = ["jon.smith"[:n] for n in range(1, 10)] + ["john.smith"]
+    other = {b[:i] + "x" + b[i:] for b in boxes for i in range(len(b) + 1)}
+    other |= {b[:i] + b[i + 1 :] for b in boxes if len(b) > 1 for i in range(len(b))}
+    one_apart = {
+        (a, b) for a in boxes for b in other if a != b and any(b == a[:i] + a[i + 1 :] for i in range(len(a)))
+    } | {(a, b) for a in boxes for b in other if any(a == b[:i] + b[i + 1 :] for i in range(len(b)))}
+    incoming, golden = frames(
+        spark,
+        [(b, names[0], f"{b}@acme.com", None) for b in boxes],
+        [(b, names[1], f"{b}@acme.com", None) for b in sorted(other)],
+    )
+    left = match.profiles(incoming, "incoming_id")
+    right = match.profiles(golden, "national_id")
+    columns = ("profile", "copies", *match.COMPARED)
+    left = left.select("incoming_id", *(F.col(c).alias(f"in_{c}") for c in columns))
+    right = right.select("national_id", *(F.col(c).alias(f"gold_{c}") for c in columns))
+
+    def found(pairs):
+        rows = match.match_score(pairs).filter("score >= 0.5").collect()
+        return {(r.incoming_id, r.national_id): r.score for r in rows}
+
+    every = {pair: score for pair, score in found(left.crossJoin(right)).items() if pair in one_apart}
+    got = found(match.match_candidates(incoming, golden))
+    assert len(every) > 100 and every == {pair: got.get(pair) for pair in every}
