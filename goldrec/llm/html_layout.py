@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from goldrec.llm.batches import slices
 
 # Element names of the HTML standard.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(
     "area audio base canvas datalist head iframe link map meta noscript object param script source style "
     "svg template textarea title track video".split()
@@ -39,6 +39,8 @@ LINED = frozenset(
     "figcaption legend menu optgroup option summary thead tbody tfoot search hgroup dialog".split()
 )
 CLOSES_P = (SPACED | LINED) - frozenset("html body option optgroup tr thead tbody tfoot".split())
+# what stands in an open head; anything else ends it
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 # what an opening tag ends, and what keeps it from looking further out
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -62,7 +64,8 @@ _TOKEN = re.compile(f"{_OTHER}|{_TAG.format(_QUOTED)}|([^<]+)", re.S)
 # for pages with a quote that never ends
 _LENIENT = re.compile(f"{_OTHER}|{_TAG.format('[^>]*+')}|([^<]+)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPACE = re.compile(r"[ \t\n\r\f]+")
+_BLANK = " \t\n\r\f"
+_SPACE = re.compile(f"[{_BLANK}]+")
 _UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))")
 
 
@@ -107,28 +110,40 @@ def parse(page: str) -> Node:
                 return False
         return False
 
+    def end_head() -> None:
+        while open_[-1].tag == "head":
+            count["head"] -= 1
+            open_.pop()
+
+    def write(text: str) -> None:
+        if open_[-1].tag == "head" and text.strip(_BLANK):
+            end_head()
+        open_[-1].children.append(text)
+
     at = 0
     while at < len(page):
         if at > last:  # no tag ends any more; a comment may go on to the end
             rest = page[at:].partition("<!--")[0]
-            open_[-1].children.append(unescape(rest))
+            write(unescape(rest))
             break
         match = token.match(page, at)
         if match is None and token is _TOKEN and page[at + 1 : at + 2].strip("/").isalpha():
             token = _LENIENT
             match = token.match(page, at)
         if match is None:  # a lone angle bracket
-            open_[-1].children.append("<")
+            write("<")
             at += 1
             continue
         at = match.end()
         end, name, attributes, text = match.groups()
         if text:
-            open_[-1].children.append(unescape(text) if "&" in text else text)
+            write(unescape(text) if "&" in text else text)
             continue
         if name is None:
             continue
         tag = name.lower()
+        if open_[-1].tag == "head" and (tag in ("html", "body", "br") if end else tag not in IN_HEAD | {"html"}):
+            end_head()
         if end:
             if tag == "p" and not count["p"]:
                 open_[-1].children.append(Node("p"))
@@ -142,6 +157,8 @@ def parse(page: str) -> Node:
         if tag == "html":
             root.attributes |= _attributes(attributes)
             continue
+        if tag == "head" and open_[-1].tag == "head":
+            continue
         if tag in CLOSES_P:
             close({"p"}, SCOPES)
         if tag == "body":

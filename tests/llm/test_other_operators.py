@@ -226,6 +226,29 @@ def test_render(page, text):
     assert html_layout.render(page).text == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>T</title><h1>Hi</h1><p>text", "Hi\n\ntext"),
+        ("<head><meta charset=x><div>a</div><p>b</head>c", "a\n\nbc"),
+        ("<head><link rel=x> \n bare <b>text</b>", "bare text"),
+        ("<head>&nbsp;a", "\xa0a"),
+        ("<head>1 < 2", "1 < 2"),
+        ("<head>< 2", "< 2"),
+        ("<head><script>s</script><style>p</style>\n<noscript>n</noscript><template><p>t</template><p>a", "a"),
+        ("<head><base><basefont><bgsound><noframes>n</noframes><ul><li>a", "- a"),
+        ("<head><head><title>T</title></title><p>a<head>b", "ab"),
+        ("<head><title>T</title></body>a", "a"),
+        ("<head></br>a", "a"),
+        ("<head><title>T</title> \n </head><body>a", "a"),
+        ("<head><title>T</title>\n", ""),
+        ("<head><table><td>a<td>b", "a | b"),
+    ],
+)
+def test_head_left_open(page, text):
+    assert html_layout.render(page).text == text
+
+
 def test_visible_text(spark):
     data = [(1, "<ul><li>a<li>b</ul><table><td>x</table>"), (1, None), (None, "t"), (2, "t")]
     got = html_layout.visible_text(spark.createDataFrame(data, "page_id long, html string")).collect()
