@@ -10,7 +10,9 @@ key. The work is done in four steps:
    pieces differ, the first holder of each form is asked for its bytes.
 3. The bytes asked for meet in the same buckets. Their suffix array, with previous and
    next smaller owners in suffix order, gives the longest previous factors: windows
-   whose factor reaches 50 bytes go.
+   whose factor reaches 50 bytes go. A hash of which very many forms are asked for (the
+   edge of a passage that stands in very many texts) is left out of this: its windows
+   meet by a hash of their own, the smallest owner of each stays.
 4. The spans go back to the packs, which are cut.
 
 Only 13 bytes and a position travel for a piece, about every eighteenth byte. Copies
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +51,8 @@ CHUNK = 1 << 19
 PACK_BYTES = 2 << 20
 #: Pieces in one bucket, about.
 BUCKET_PIECES = 1 << 18
+#: Pieces of one hash whose bytes may meet in one bucket.
+HOT_PIECES = 1 << 15
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 
@@ -171,6 +176,8 @@ class _Texts:
 
 _TYPES = {"h": "<u4", "content": "<u8", "owner": "<i8", "start": "<i4", "number": "<u1"}
 _BLOBS = ", ".join(f"{c} binary" for c in _TYPES)
+_TYPES |= {"w1": "<u8", "w2": "<u8"}
+_PIECE = ("h", "content", "owner", "start", "number")
 
 
 def _bytes(columns: dict[str, np.ndarray], names: tuple[str, ...]) -> dict:
@@ -204,7 +211,7 @@ def _pieces_of_packs(packs: DataFrame, buckets: int) -> DataFrame:
                 for part in np.split(order, cuts) if len(order) else ():
                     out = {"bucket": pa.array([int(bucket[part[0]])]), "pack": pa.array([row["pack"]])}
                     mine = {c: v[part] for c, v in columns.items()}
-                    yield pa.RecordBatch.from_pydict(out | _bytes(mine, tuple(_TYPES)))
+                    yield pa.RecordBatch.from_pydict(out | _bytes(mine, _PIECE))
 
     return packs.mapInArrow(run, f"bucket long, pack long, {_BLOBS}")
 
@@ -229,30 +236,32 @@ def _starts(*ordered: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else np.arange(0)
 
 
-def _settle(buckets: int):
-    """Per bucket: pieces that go (``ask`` false), and those whose bytes are needed."""
+def _settle(buckets: int, most: int):
+    """Per bucket: pieces that go (``ask`` false), and those whose bytes are needed; ``hot``
+    if more than ``most`` of their hash are."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("bucket", "pack", "ask", "h", "start", "number")}
+        out = {c: [] for c in ("bucket", "pack", "ask", "hot", "h", "start", "number")}
 
-        def give(ask: bool, pack: np.ndarray, columns: dict[str, np.ndarray]) -> None:
+        def give(ask: bool, hot: bool, pack: np.ndarray, columns: dict[str, np.ndarray]) -> None:
             order = np.argsort(pack, kind="stable")
             cuts = np.flatnonzero(np.diff(pack[order])) + 1
             for part in np.split(order, cuts) if len(order) else ():
                 out["bucket"].append(number_of_bucket)
                 out["pack"].append(int(pack[part[0]]))
                 out["ask"].append(ask)
+                out["hot"].append(hot)
                 for c in ("h", "start", "number"):
                     out[c].append(columns[c][part].astype(_TYPES[c]).tobytes())
 
         number_of_bucket = table.column("bucket")[0].as_py()
         columns = {
-            c: np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in _TYPES.items()
+            c: np.frombuffer(b"".join(table.column(c).to_pylist()), _TYPES[c]) for c in _PIECE
         }
         sizes = [len(x) for x in table.column("number").to_pylist()]
         pack = np.repeat(table.column("pack").to_numpy(), sizes)
         if number_of_bucket >= buckets:
-            give(False, pack, columns)
+            give(False, False, pack, columns)
         else:
             order = np.lexsort((columns["owner"], columns["content"], columns["h"]))
             columns, pack = {c: v[order] for c, v in columns.items()}, pack[order]
@@ -260,10 +269,14 @@ def _settle(buckets: int):
             same_h = _starts(h)
             form = _starts(h, columns["content"])
             later = owner > owner[form]
-            give(False, pack[later], {c: v[later] for c, v in columns.items()})
-            ask = ~later & _undecided(same_h, owner, form)
-            give(True, pack[ask], {c: v[ask] for c, v in columns.items()})
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            give(False, False, pack[later], {c: columns[c][later] for c in ("h", "start", "number")})
+            ask = np.flatnonzero(~later & _undecided(same_h, owner, form))
+            of = _starts(same_h[ask])
+            hot = np.bincount(of, minlength=len(of))[of] > most
+            for some in (False, True):
+                mine = ask[hot == some]
+                give(True, some, pack[mine], {c: columns[c][mine] for c in ("h", "start", "number")})
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
 
     return run
@@ -286,24 +299,70 @@ def _blobs_by(rows: pa.Table, *names: str) -> dict[str, np.ndarray]:
     return {c: np.frombuffer(b"".join(rows.column(c).to_pylist()), _TYPES[c]) for c in names}
 
 
-def _fetch(packs: pa.Table, asked: pa.Table) -> pa.Table:
-    """The bytes of the pieces asked for, by bucket."""
-    out = {c: [] for c in ("bucket", "pack", "data", "owner", "start", "number")}
-    if packs.num_rows and asked.num_rows:
-        texts = _Texts(packs.to_pylist()[0])
-        for i in range(asked.num_rows):
-            row = asked.slice(i, 1)
-            piece = _blobs_by(row, "start", "number")
-            start, size = piece["start"].astype(np.int64), piece["number"].astype(np.int64) + LEAST - 1
-            at = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
-            out["bucket"].append(row.column("bucket")[0].as_py())
-            out["pack"].append(row.column("pack")[0].as_py())
-            out["data"].append(texts.data[at].tobytes())
-            out["owner"].append(texts.keys[texts.owner(start)].astype("<i8").tobytes())
-            out["start"].append(row.column("start")[0].as_py())
-            out["number"].append(row.column("number")[0].as_py())
-    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
-    return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
+_FETCHED = "bucket long, pack long, data binary, owner binary, start binary, number binary, w1 binary, w2 binary"
+
+
+def _fetch(buckets: int, spread: int):
+    """The bytes of the pieces asked for, by bucket; of hot ones the windows, in the next
+    ``spread`` buckets by their hash. From ``buckets + spread`` on stand windows of which
+    the pack holds a copy with a smaller owner."""
+
+    def run(packs: pa.Table, asked: pa.Table) -> pa.Table:
+        out = {c: [] for c in ("bucket", "pack", "data", "owner", "start", "number", "w1", "w2")}
+
+        def give(bucket: int, pack: int, **blobs: bytes) -> None:
+            for c, v in {"bucket": bucket, "pack": pack}.items():
+                out[c].append(v)
+            for c in ("data", "owner", "start", "number", "w1", "w2"):
+                out[c].append(blobs.get(c))
+
+        if packs.num_rows and asked.num_rows:
+            pack = packs.to_pylist()[0]
+            texts = _Texts(pack)
+            for row in asked.filter(pc.invert(asked.column("hot"))).to_pylist():
+                start = np.frombuffer(row["start"], _TYPES["start"]).astype(np.int64)
+                size = np.frombuffer(row["number"], _TYPES["number"]).astype(np.int64) + LEAST - 1
+                at = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+                owner = texts.keys[texts.owner(start)].astype(_TYPES["owner"]).tobytes()
+                blobs = {"start": row["start"], "number": row["number"]}
+                give(row["bucket"], row["pack"], data=texts.data[at].tobytes(), owner=owner, **blobs)
+            hot = asked.filter(asked.column("hot"))
+            columns, later = _windows(texts, _blobs_by(hot, "start", "number"))
+            bucket = buckets + (columns["w1"] % np.uint64(spread)).astype(np.int64)
+            bucket[later] = buckets + spread + pack["pack"] % buckets
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            for p in np.split(order, cuts) if len(order) else ():
+                number = np.ones(len(p), _TYPES["number"]).tobytes()
+                names = ("start",) if later[p[0]] else ("start", "owner", "w1", "w2")
+                blobs = {c: columns[c][p].astype(_TYPES[c]).tobytes() for c in names}
+                give(int(bucket[p[0]]), pack["pack"], number=number, **blobs)
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
+
+    return run
+
+
+def window_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the ``LEAST`` bytes from every ``at`` on."""
+    one, two = np.zeros(len(at), np.uint64), np.full(len(at), _ODD)
+    if len(at):
+        word = _words_at(data)
+        for step in (*range(0, LEAST - 8, 8), LEAST - 8):
+            w = word[at + step]
+            one, two = _mixed(one + w), _mixed((two ^ w) * np.uint64(_BASE) + _ODD)
+    return one, two
+
+
+def _windows(texts: _Texts, piece: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The windows of pieces, and of which the pack holds a copy with a smaller owner."""
+    number = piece["number"].astype(np.int64)
+    at = np.arange(int(number.sum())) + np.repeat(piece["start"] - (np.cumsum(number) - number), number)
+    w1, w2 = window_hashes(texts.data, at)
+    owner = texts.keys[texts.owner(at)]
+    order = np.lexsort((owner, w2, w1))
+    columns = {"w1": w1[order], "w2": w2[order], "owner": owner[order], "start": at[order]}
+    return columns, columns["owner"] > columns["owner"][_starts(columns["w1"], columns["w2"])]
 
 
 def _eight(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -330,6 +389,18 @@ def previous_factors(data: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> n
     return np.flatnonzero(longest_previous_factor(order, lcp, owner, LEAST))
 
 
+def _by_pack(pack: np.ndarray, start: np.ndarray) -> dict[str, list]:
+    """Single windows as spans, a row for each pack."""
+    order = np.argsort(pack, kind="stable")
+    cuts = np.flatnonzero(np.diff(pack[order])) + 1
+    parts = np.split(order, cuts) if len(order) else ()
+    return {
+        "pack": [int(pack[p[0]]) for p in parts],
+        "start": [start[p].astype("<i4").tobytes() for p in parts],
+        "number": [np.ones(len(p), "<u1").tobytes() for p in parts],
+    }
+
+
 def _previous_factors(table: pa.Table) -> pa.Table:
     """Windows of the fetched pieces that also start in a smaller owner, by pack."""
     piece = _blobs_by(table, "owner", "start", "number")
@@ -343,15 +414,31 @@ def _previous_factors(table: pa.Table) -> pa.Table:
     start = piece["start"][which[hit]] + at[hit] - begin[which[hit]]
     rows = [len(x) for x in table.column("number").to_pylist()]
     pack = np.repeat(table.column("pack").to_numpy(), rows)[which[hit]]
-    order = np.argsort(pack, kind="stable")
-    cuts = np.flatnonzero(np.diff(pack[order])) + 1
-    parts = np.split(order, cuts) if len(order) else ()
-    out = {
-        "pack": pa.array([int(pack[p[0]]) for p in parts], pa.int64()),
-        "start": pa.array([start[p].astype("<i4").tobytes() for p in parts], pa.binary()),
-        "number": pa.array([np.ones(len(p), "<u1").tobytes() for p in parts], pa.binary()),
-    }
-    return pa.table(out)
+    kinds = (pa.int64(), pa.binary(), pa.binary())
+    return pa.table({c: pa.array(v, t) for (c, v), t in zip(_by_pack(pack, start).items(), kinds, strict=True)})
+
+
+def _later_windows(table: pa.Table) -> pa.Table:
+    """Windows that also start in a smaller owner, by pack."""
+    window = _blobs_by(table, "w1", "w2", "owner", "start")
+    sizes = [len(x) for x in table.column("number").to_pylist()]
+    pack = np.repeat(table.column("pack").to_numpy(), sizes)
+    order = np.lexsort((window["owner"], window["w2"], window["w1"]))
+    owner = window["owner"][order]
+    later = order[owner > owner[_starts(window["w1"][order], window["w2"][order])]]
+    kinds = (pa.int64(), pa.binary(), pa.binary())
+    found = _by_pack(pack[later], window["start"][later])
+    return pa.table({c: pa.array(v, t) for (c, v), t in zip(found.items(), kinds, strict=True)})
+
+
+def _meet(buckets: int, spread: int, factors):
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < buckets:
+            return factors(table)
+        return _later_windows(table) if bucket < buckets + spread else table.select(["pack", "start", "number"])
+
+    return run
 
 
 # ---- cutting --------------------------------------------------------------
@@ -389,17 +476,20 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     settled = durable(
         _pieces_of_packs(packs, buckets)
         .groupBy("bucket")
-        .applyInArrow(_settle(buckets), "bucket long, pack long, ask boolean, h binary, start binary, number binary"),
+        .applyInArrow(
+            _settle(buckets, HOT_PIECES),
+            "bucket long, pack long, ask boolean, hot boolean, h binary, start binary, number binary",
+        ),
         "settled",
     )
-    asked = settled.filter("ask").select("bucket", "pack", "start", "number")
+    hot = settled.filter("hot").select(F.sum(F.length("number"))).first()[0] or 0
+    windows = max(1, -(-hot * spread // BUCKET_PIECES))
+    asked = settled.filter("ask").select("bucket", "pack", "hot", "start", "number")
     fetched = (
-        packs.groupBy("pack")
-        .cogroup(asked.groupBy("pack"))
-        .applyInArrow(_fetch, "bucket long, pack long, data binary, owner binary, start binary, number binary")
+        packs.groupBy("pack").cogroup(asked.groupBy("pack")).applyInArrow(_fetch(buckets, windows), _FETCHED)
     )
     factors = fetched.groupBy("bucket").applyInArrow(
-        _previous_factors, "pack long, start binary, number binary"
+        _meet(buckets, windows, _previous_factors), "pack long, start binary, number binary"
     )
     spans = settled.filter("not ask").select("pack", "start", "number").unionByName(factors)
     return (

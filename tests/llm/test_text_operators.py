@@ -222,3 +222,40 @@ def test_exact_repeats(docs_of, monkeypatch):
     assert sorted(map(str, found)) == sorted(map(str, want))
     assert any(w[2] for w in want)
     assert exact_repeats.without_repeats(docs_of([])).count() == 0
+
+
+def test_edges_of_a_shared_passage_stay_out_of_one_group(docs_of, monkeypatch):
+    """A passage in very many texts: the bytes around its edges differ in almost every text,
+    and must not all meet in one group."""
+    meet = exact_repeats._previous_factors
+
+    def bounded(table):
+        assert sum(len(x) for x in table.column("number").to_pylist()) < 100
+        return meet(table)
+
+    monkeypatch.setattr(exact_repeats, "HOT_PIECES", 20, raising=False)
+    monkeypatch.setattr(exact_repeats, "PACK_BYTES", 4000)
+    monkeypatch.setattr(exact_repeats, "_previous_factors", bounded)
+    rnd = random.Random(5)
+
+    def noise(n):
+        return "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+
+    passage, edges = noise(300), [noise(45) for _ in range(3)]
+    rows = [(i, noise(200) + passage + noise(200)) for i in range(120)]
+    rows += [(200 + i, noise(60) + edges[i % 3] + passage + edges[-i % 3] + noise(60)) for i in range(12)]
+    rows += [(200, rows[-5][1]), (None, passage + edges[0]), (None, rows[3][1])]
+    rnd.shuffle(rows)
+    got = exact_repeats.without_repeats(docs_of(rows)).collect()
+    first = {}
+    for key, text in rows:
+        for i in range(len(text) - 49 if key is not None else 0):
+            first[text[i : i + 50]] = min(key, first.get(text[i : i + 50], key))
+    want = []
+    for key, text in rows:
+        gone = np.zeros(len(text), bool)
+        for i in range(len(text) - 49 if key is not None else 0):
+            if first[text[i : i + 50]] < key:
+                gone[i : i + 50] = True
+        want.append((key, bytes(np.frombuffer(text.encode(), np.uint8)[~gone])))
+    assert sorted(map(str, want)) == sorted(str((r.key, bytes(r.kept))) for r in got)
