@@ -1,5 +1,10 @@
 """Every query against its DuckDB statement, and the shape of the entry file."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry_file
@@ -33,3 +38,16 @@ def test_query(spark, con, name):
     want = con.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_entry_without_the_optional_part(tmp_path):
+    left_out = shutil.ignore_patterns(".git", "llm", "__pycache__", "*.json", "*.md")
+    copy = tmp_path / "repo"
+    shutil.copytree(entry_file.ROOT, copy, ignore=left_out)
+    assert not os.path.exists(copy / "goldrec/llm")
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    for path in (copy, copy / "corpus_pipeline.py"):
+        if path != copy:
+            path.unlink()
+        out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True)
+        assert out.stdout.split() == [str(len(QUERIES)), str(len(SQL))]
