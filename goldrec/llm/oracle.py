@@ -160,9 +160,52 @@ SELECT doc_id, source, tokens AS n_tokens, epoch, block, block_position,
 FROM summed WHERE whole OR room > 0 AND upto <= room
 """
 
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+bad AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+f AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS failed
+  FROM d
+), counts AS (
+  SELECT part, failed, count(*) AS n, count(good.doc_id) AS good, count(bad.doc_id) AS toxic
+  FROM f LEFT JOIN good USING (doc_id) LEFT JOIN bad USING (doc_id) GROUP BY part, failed
+), letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS own,
+    '[' || substr(filter_order, 1, step - 1) || '-]' AS earlier,
+    '[' || substr(filter_order, 1, step) || ']' AS upto
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), each AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN NOT regexp_matches(failed, upto) THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(failed, own) AND NOT regexp_matches(failed, earlier) THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(failed, own) AND regexp_matches(failed, earlier) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(failed, own) AND NOT regexp_matches(failed, earlier) THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(failed, own) AND NOT regexp_matches(failed, earlier) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM each
+"""
+
 SQL = {
     "op1_quality_rules": OP1,
     "op2_decontamination": OP2,
     "op5_preference_format": OP5,
     "op8_mixing": OP8,
+    "op13_filter_audit": OP13,
 }

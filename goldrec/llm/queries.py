@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from goldrec.llm import (
     exact_repeats,
+    filter_audit,
     html_layout,
     latent_votes,
     mixing,
@@ -115,6 +116,11 @@ def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_layout.visible_text(table(spark, sf_dir, "pages"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return filter_audit.audit(filter_audit.failed_sets(docs, labels))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -126,4 +132,5 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality_votes": op9_quality_votes,
     "op10_html_layout": op10_html_layout,
+    "op13_filter_audit": op13_filter_audit,
 }
