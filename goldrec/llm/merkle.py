@@ -12,7 +12,7 @@ and a table of 1/729 of their number, which is broadcast while it is small.
 
 Defined results: a null field hashes as ``-`` and an empty one as ``0:``; a null group comes
 before all others; null keys come first in their group and equal keys follow their leaf's
-hash, so equal rows may stand in any order; other columns are not looked at; an empty table
+hash and their claim, so equal rows may stand in any order; other columns are not looked at; an empty table
 has no leaves and no root.
 """
 
@@ -180,7 +180,7 @@ def build(leaves: DataFrame) -> Manifest:
     hash that is to be folded in its place."""
     tree = F.coalesce(F.concat(F.lit("="), F.col("group").cast("string")), F.lit("-"))
     rows = leaves.select("key", tree.alias("tree"), F.col("leaf").alias("hash"), "claim")
-    rows = _paged(_numbered(rows, "tree", "key", "hash"), "key", "claim")
+    rows = _paged(_numbered(rows, "tree", "key", "hash", "claim"), "key", "claim")
     # a tree's name is the id of its root, which is a leaf of the tree above
     rows = _linked(rows, 0, F.col("tree"))
     rows = rows.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from goldrec.llm import (
     latent_votes,
     merkle,
     mixing,
+    packing,
     postings,
     preferences,
     repetition,
@@ -118,6 +120,16 @@ def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_layout.visible_text(table(spark, sf_dir, "pages"))
 
 
+#: The file that ``public_tokenizers.path`` names.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    placed = packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return placed.withColumnRenamed("key", "doc_id")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -154,6 +166,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality_votes": op9_quality_votes,
     "op10_html_layout": op10_html_layout,
+    "op11_best_fit_packing": op11_best_fit_packing,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_filter_audit": op13_filter_audit,
 }
