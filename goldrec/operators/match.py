@@ -14,15 +14,10 @@ from goldrec.functions.text import norm_email, norm_name, norm_phone
 from goldrec.plans.durable import durable
 from goldrec.plans.skew import join_unique, salted_join
 
-BLOCKS = (
-    ("email_key", "first_sound"),
-    ("email_key", "last_sound"),
-    ("email_key", "phone_key"),
-    ("phone_key", "first_sound"),
-    ("phone_key", "last_sound"),
-)
-#: Names up to this length may differ by two edits from one of under six characters.
-SHORT_NAME = 7
+#: Pieces counted as frequent; which they are changes the work, never the pairs.
+FREQUENT = 64
+#: Names of few different pieces up to this length are found by what two edits leave.
+SHORT_NAME = 8
 COMPARED = ("email", "name", "phone", "first_name", "last_name", "first_sound", "last_sound", "first_full")
 
 
@@ -76,115 +71,157 @@ def profiles(contacts: DataFrame, row_id: str) -> DataFrame:
     )
 
 
-def name_parts() -> dict[str, Column]:
+def name_parts(name: str = "name", prefix: str = "") -> dict[str, Column]:
     """First and last word of a cleaned name; a single word is a first name."""
-    words = F.split(F.col("name"), r"\s+")
+    words = F.split(F.col(name), r"\s+")
     return {
-        "first_name": F.get(words, F.lit(0)),
-        "last_name": F.when(F.size(words) > 1, F.element_at(words, -1)),
+        f"{prefix}first_name": F.get(words, F.lit(0)),
+        f"{prefix}last_name": F.when(F.size(words) > 1, F.element_at(words, -1)),
     }
 
 
-def _signals() -> dict[str, Column]:
-    """What blocks and scores compare, worked out once per profile, not per pair."""
-
+def _name_signals(prefix: str = "") -> dict[str, Column]:
     def sound(name: str) -> Column:
         return F.when(F.length(name) > 0, S.sound_code(F.col(name)))
 
+    return {
+        f"{prefix}first_sound": sound(f"{prefix}first_name"),
+        f"{prefix}last_sound": sound(f"{prefix}last_name"),
+        f"{prefix}first_full": S.canonical_name(F.col(f"{prefix}first_name")),
+    }
+
+
+def _signals() -> dict[str, Column]:
+    """What blocks and scores compare, worked out once per profile, not per pair."""
     gmail = F.col("email").contains("@gmail.com")
     return {
         "email_key": F.when(gmail, F.regexp_replace("email", r"\.", "")).otherwise(F.col("email")),
         "phone_key": F.coalesce(S.last_digits(F.col("phone")), F.nullif(F.col("phone"), F.lit(""))),
-        "first_sound": sound("first_name"),
-        "last_sound": sound("last_name"),
-        "first_full": S.canonical_name(F.col("first_name")),
+        **_name_signals(),
     }
 
 
-def _pieces(text: str, size: int) -> Column:
-    """All runs of ``size`` characters; a shorter text is one piece, none has none."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
-    pieces = F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(size)))
-    return F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>"))
+# ---- edit distance by rare pieces -------------------------------------------
+#
+# Two texts within d edits share all but 2 d of the different two-character pieces of
+# either. In any one order of all pieces, the first that they share is then among the first
+# 2 d + 1 of both. So texts meet on those, and with the rare pieces in front few others do.
+# Texts of 2 d different pieces or less may share none and need another key.
 
 
-def _name_pieces() -> Column:
-    """Two edits leave a pair of neighbours alone in a name of six characters or more; of
-    shorter names they leave a character alone."""
-    short = F.when(F.length("name") <= SHORT_NAME, _pieces("name", 1)).otherwise(F.array().cast("array<string>"))
-    return F.concat(_pieces("name", 2), short)
+def _pieces(text: str) -> Column:
+    """The different pieces of two characters; a single character is a piece."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
+    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(2))))
+    return F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>"))
 
 
-def _mailbox() -> tuple[Column, Column]:
-    return F.substring_index("email", "@", 1), F.substring_index("email", "@", -1)
+def frequent_pieces(rows: DataFrame, text: str) -> list[str]:
+    """The pieces that most rows have, the most frequent last."""
+    pieces = rows.filter(F.length(text) > 0).select(F.explode(_pieces(text)).alias("piece"))
+    counted = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.orderBy(F.desc("n"), "piece").limit(FREQUENT).collect()
+    return [r["piece"] for r in reversed(top)]
 
 
-def _email_halves(shorter: int = 0) -> list[Column]:
-    """Either half of the local part, taken as ``shorter`` characters shorter, beside the
-    domain. A changed character leaves a half alone; an inserted or dropped one leaves
-    alone a half by the smaller of the two lengths."""
-    local, domain = _mailbox()
-    half = F.floor(F.greatest(F.length(local) - shorter, F.lit(0)) / 2).cast("int")
-    return [
-        F.concat(F.lit("1 "), F.left(local, half), F.lit("@"), domain),
-        F.concat(F.lit("2 "), F.right(local, half), F.lit("@"), domain),
-    ]
+def _by_rarity(pieces: Column, frequent: list[str]) -> Column:
+    order = F.array(*map(F.lit, frequent)).cast("array<string>")
+    placed = F.transform(pieces, lambda p: F.struct(F.array_position(order, p).alias("at"), p.alias("p")))
+    return F.transform(F.array_sort(placed), lambda x: x["p"])
 
 
-def _email_parts() -> Column:
-    """What a changed character leaves alone: either half of the local part beside the
-    domain, or all of the local part."""
-    return F.array(*_email_halves(), F.concat(F.lit("3 "), _mailbox()[0]))
+def _near_keys(ordered: Column, edits: Column) -> Column:
+    """Keys of which any two texts share one, if at most ``edits`` of both apart, from
+    pieces with the rare ones in front. The key of texts with too few pieces is empty."""
+    few = F.when(F.size(ordered).between(1, 2 * edits), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.slice(ordered, F.lit(1), 2 * edits + 1), few)
 
 
-def _email_without_one() -> Column:
-    """The e-mail, and the e-mail without any one character of its local part: two that are
-    one typo apart share one of them."""
-    local, domain = _mailbox()
-    places = F.sequence(F.lit(0), F.length(local))
-    return F.transform(
-        places,
-        lambda i: F.concat(
-            F.substring(local, F.lit(1), F.greatest(i - 1, F.lit(0))),
-            F.substring(local, i + 1, F.length(local)),
-            F.lit("@"),
-            domain,
-        ),
+def _without_two(text: str) -> Column:
+    """The text without any two of its characters, any one, and whole."""
+    cut = lambda t: F.transform(
+        F.sequence(F.lit(0), F.length(t)),
+        lambda i: F.concat(F.substring(t, F.lit(1), F.greatest(i - 1, F.lit(0))), F.substring(t, i + 1, F.length(t))),
+    )
+    return F.array_distinct(F.flatten(F.transform(cut(F.col(text)), cut)))
+
+
+def _hashes(label: str, values: Column, *names: str) -> Column:
+    known = F.lit(True)
+    for n in names:
+        known = known & F.col(n).isNotNull()
+    hashed = F.transform(values, lambda v: F.xxhash64(F.lit(label), *names, v))
+    return F.when(known, hashed).otherwise(F.array().cast("array<bigint>"))
+
+
+# ---- names -------------------------------------------------------------------
+
+
+def _name_keys(inner: str, outer: str) -> Column:
+    """Keys that two names share if equal, within two edits, one inside the other (the inner
+    one's rarest piece is in the outer one), or nicknames before one last name."""
+    name, ordered = F.col("name"), F.col("ordered")
+    few = F.size(ordered) <= 2 * S.NAME_EDITS
+    short = F.length("name") <= SHORT_NAME
+    none = F.array().cast("array<string>")
+    single = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.substring(name, i, F.lit(1)))
+    inside = F.array_distinct(F.concat(ordered, single))
+    return F.concat(
+        _hashes("equal", F.array(name)),
+        _hashes("near", F.slice(ordered, 1, 2 * S.NAME_EDITS + 1)),
+        _hashes("short", F.when(few & short, _without_two("name")).otherwise(none)),
+        _hashes("few", F.when(few & (F.length("name") > SHORT_NAME - S.NAME_EDITS), F.array(F.lit(""))).otherwise(none)),
+        _hashes(inner, F.slice(ordered, 1, 1)),
+        _hashes(outer, F.when(F.length("name") > 1, inside).otherwise(none)),
+        _hashes("nickname", F.array(F.col("first_full")), "last_name"),
     )
 
 
-def with_blocks(profile_rows: DataFrame, typos: bool = True) -> DataFrame:
-    """Add ``blocks``: hashes of keys of which candidate pairs share at least one. Each key
-    joins two signals or more, because one e-mail, phone or surname alone may be shared by
-    a large part of all rows. Without ``typos``: without the keys for an inserted or dropped
-    character of an e-mail and for e-mails beside one sound, as in the SQL of the queries."""
-
-    def key(*names: str) -> Column:
-        known = F.lit(True)
-        for n in names:
-            known = known & F.col(n).isNotNull()
-        return F.when(known, F.array(F.xxhash64(F.lit("+".join(names)), *names)))
-
-    def keys(names: tuple[str, ...], parts: Column, label: str) -> Column:
-        return F.transform(parts, lambda p: F.when(key(*names).isNotNull(), F.xxhash64(F.lit(label), *names, p)))
-
-    found = [key(*pair) for pair in BLOCKS]
-    found.append(keys(("email_key",), _name_pieces(), "email_key+name"))
-    found.append(keys(("phone_key",), _pieces("email", 3), "phone_key+email"))
-    found.append(keys(("first_sound", "last_sound"), _email_parts(), "sounds+email"))
-    if typos:
-        has_email = F.length("email") > 0
-        both = ("first_sound", "last_sound")
-        shorter = F.array(*_email_halves(1))
-        found.append(F.when(has_email, keys(both, shorter, "sounds+email")))
-        one_word = F.col("last_sound").isNull()
-        every = F.concat(_email_parts(), shorter)
-        found.append(F.when(has_email & one_word, keys(("first_sound",), every, "sound+email")))
-        for sound in both:
-            found.append(F.when(has_email, keys((sound,), _email_without_one(), f"{sound}+email")))
-    none = F.array().cast("array<bigint>")
-    together = F.concat(*(F.coalesce(f, none) for f in found))
-    return profile_rows.withColumn("blocks", F.array_distinct(F.array_compact(together)))
+def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``in_name, gold_name, name_score, phonetic_score`` of all pairs of names that agree in
+    part. Names are few against contacts, so they are compared once per pair of names."""
+    frequent = frequent_pieces(right, "name")
+
+    def side(rows: DataFrame, own: str, inner: str, outer: str) -> DataFrame:
+        names = rows.select("name").distinct().withColumns(name_parts()).withColumns(_name_signals())
+        names = names.withColumn("ordered", _by_rarity(_pieces("name"), frequent))
+        keys = F.array_distinct(_name_keys(inner, outer))
+        return durable(names.select(F.col("name").alias(own), F.explode(keys).alias("key")), "name-keys")
+
+    pairs = salted_join(side(left, "in_name", "a", "b"), side(right, "gold_name", "b", "a"), "key", "in_name", "gold_name")
+    pairs = pairs.select("in_name", "gold_name").distinct()
+    for prefix in ("in_", "gold_"):
+        pairs = pairs.withColumns(name_parts(f"{prefix}name", prefix)).withColumns(_name_signals(prefix))
+    scores = pair_scores()
+    found = pairs.select("in_name", "gold_name", *(scores[n].alias(n) for n in ("name_score", "phonetic_score")))
+    return durable(found, "name-pairs").filter("name_score > 0")
+
+
+# ---- pairs -------------------------------------------------------------------
+
+
+def with_blocks(profile_rows: DataFrame, frequent: list[str]) -> DataFrame:
+    """Add ``blocks``: hashes of which two profiles with unlike names share one if their
+    score may reach the limit. By the weights such a pair has one phone and one sound; or
+    one phone and e-mails a quarter apart at most; or both sounds and e-mails an eighth
+    apart at most. (By ``gmail`` rule also: and one e-mail but for dots.)"""
+    length = F.length("email")
+    rows = profile_rows.withColumn("ordered", _by_rarity(_pieces("email"), frequent))
+    none = F.array().cast("array<string>")
+    mail = F.when(F.col("email_key").isNotNull(), F.array(F.col("email_key"))).otherwise(none)
+    # e-mails within a quarter (an eighth) of the longer are within a third (a seventh) of either
+    quarter = _near_keys(F.col("ordered"), F.floor(F.coalesce(length, F.lit(0)) / 3).cast("int"))
+    eighth = _near_keys(F.col("ordered"), F.floor(F.coalesce(length, F.lit(0)) / 7).cast("int"))
+    blank = F.array(F.lit(""))
+    found = F.concat(
+        _hashes("phone first", blank, "phone_key", "first_sound"),
+        _hashes("phone last", blank, "phone_key", "last_sound"),
+        _hashes("phone e-mail", mail, "phone_key"),
+        _hashes("phone near", quarter, "phone_key"),
+        _hashes("sounds e-mail", mail, "first_sound", "last_sound"),
+        _hashes("sounds near", eighth, "first_sound", "last_sound"),
+    )
+    return rows.withColumn("blocks", F.array_distinct(found)).drop("ordered")
 
 
 def match_members(contacts: DataFrame, row_id: str) -> DataFrame:
@@ -195,22 +232,65 @@ def match_members(contacts: DataFrame, row_id: str) -> DataFrame:
     return join_unique(rows, first, "profile", bound=contacts).select(row_id, "representative")
 
 
-def match_candidates(incoming: DataFrame, golden: DataFrame, typos: bool = True) -> DataFrame:
-    """Pairs of profiles that share a block. Only ids and hashes meet in the blocks; what
-    is compared joins the distinct pairs afterwards."""
+SCORES = ("email_score", "name_score", "phone_score", "phonetic_score")
 
-    def side(df: DataFrame, row_id: str, prefix: str) -> tuple[DataFrame, DataFrame]:
-        rows = durable(with_blocks(profiles(df, row_id), typos), "profiles")
-        details = rows.select(
-            row_id, *(F.col(c).alias(f"{prefix}_{c}") for c in ("profile", "copies", *COMPARED))
-        )
-        return details, rows.select(row_id, F.explode("blocks").alias("block"))
 
-    left, left_blocks = side(incoming, "incoming_id", "in")
-    right, right_blocks = side(golden, "national_id", "gold")
-    pairs = salted_join(left_blocks, right_blocks, "block", "incoming_id", "national_id")
-    pairs = durable(pairs.select("incoming_id", "national_id").distinct(), "pairs")
-    return join_unique(join_unique(pairs, left, "incoming_id", bound=pairs), right, "national_id", bound=pairs)
+def scored_pairs(incoming: DataFrame, golden: DataFrame) -> DataFrame:
+    """All pairs of profiles whose score reaches ``POSSIBLE_AT``: ids, numbers of copies,
+    scores and rules.
+
+    A pair whose names agree in part is found through its pair of names, any other one
+    through a block. Only ids and hashes meet in the blocks; names, blocks and pairs of
+    names that very many rows share are split between tasks. Every pair is scored once.
+    """
+    left = durable(_spread(profiles(incoming, "incoming_id"), "incoming_id"), "profiles")
+    right = durable(_spread(profiles(golden, "national_id"), "national_id"), "profiles")
+    ids = ("incoming_id", "national_id")
+    found = durable(_unlike_names(left, right, *ids), "scored").filter("name_score = 0")
+    found = found.unionByName(durable(_like_names(left, right, *ids), "scored"))
+    return _with_total(found).filter(F.col("score") >= S.POSSIBLE_AT)
+
+
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows in as many tasks as a shuffle has: they are small, the work on each is not."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys)
+
+
+def _side(rows: DataFrame, row_id: str, prefix: str, *columns: str) -> DataFrame:
+    return rows.select(row_id, *(F.col(c).alias(f"{prefix}_{c}") for c in columns))
+
+
+def _unlike_names(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    frequent = frequent_pieces(right, "email")
+
+    def blocks(rows: DataFrame, row_id: str) -> DataFrame:
+        keyed = with_blocks(rows, frequent).select(row_id, F.explode("blocks").alias("block"))
+        return durable(keyed, "blocks")
+
+    pairs = salted_join(blocks(left, left_id), blocks(right, right_id), "block", left_id, right_id)
+    pairs = durable(_spread(pairs.select(left_id, right_id), left_id, right_id).distinct(), "pairs")
+    compared = ("copies", *COMPARED)
+    pairs = join_unique(pairs, _side(left, left_id, "in", *compared), left_id, bound=pairs)
+    pairs = join_unique(pairs, _side(right, right_id, "gold", *compared), right_id, bound=pairs)
+    scores = [c.alias(n) for n, c in pair_scores().items()]
+    return pairs.select(left_id, right_id, "in_copies", "gold_copies", *scores)
+
+
+def _like_names(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    names = near_names(left, right)
+    compared = ("copies", "name", "email", "phone")
+    mine = salted_join(_side(left, left_id, "in", *compared), names, "in_name", left_id, "gold_name")
+    mine = durable(_spread(mine.drop("in_name"), left_id, "gold_name"), "named")
+    pairs = salted_join(mine, _side(right, right_id, "gold", *compared), "gold_name", left_id, right_id)
+    own = pair_scores()
+    scores = [own[n].alias(n) for n in ("email_score", "phone_score")]
+    return pairs.select(left_id, right_id, "in_copies", "gold_copies", "name_score", "phonetic_score", *scores)
+
+
+def match_candidates(incoming: DataFrame, golden: DataFrame) -> DataFrame:
+    """The pairs of profiles that are no certain mismatch, with their numbers of copies."""
+    return scored_pairs(incoming, golden).select("incoming_id", "national_id", "in_copies", "gold_copies")
 
 
 def pair_scores(a: str = "in", b: str = "gold") -> dict[str, Column]:
@@ -229,9 +309,12 @@ def pair_scores(a: str = "in", b: str = "gold") -> dict[str, Column]:
     }
 
 
-def match_score(candidates: DataFrame) -> DataFrame:
-    """Weighted score of each candidate pair and the rules that contributed."""
-    scored = candidates.withColumns(pair_scores())
+def match_score(pairs: DataFrame) -> DataFrame:
+    """Weighted score of each given pair of profiles and the rules that contributed."""
+    return _with_total(pairs.withColumns(pair_scores()))
+
+
+def _with_total(scored: DataFrame) -> DataFrame:
     total = (
         S.WEIGHT_EMAIL * F.col("email_score")
         + S.WEIGHT_NAME * F.col("name_score")
@@ -261,16 +344,16 @@ def match_classify(scored: DataFrame) -> DataFrame:
 
 
 def best_match(incoming: DataFrame, scored: DataFrame) -> DataFrame:
-    """The best golden record for every incoming contact, NO_MATCH when none
-    scores. Ties go to the smallest id; pairs are reduced by a partial maximum."""
-    best = scored.groupBy(F.col("in_profile").alias("profile")).agg(
+    """The best golden record for every incoming contact; NO_MATCH, with a score of 0, when
+    none reaches ``POSSIBLE_AT``. Ties go to the smallest id; pairs are reduced by a partial maximum."""
+    best = scored.groupBy(F.col("incoming_id").alias("representative")).agg(
         F.min_by(
             F.struct("national_id", "score", "matched_rules"),
             F.struct(-F.col("score"), F.col("national_id")),
         ).alias("best")
     )
-    rows = with_profile(incoming).select("incoming_id", "profile")
-    joined = join_unique(rows, best, "profile", how="left", bound=incoming)
+    members = match_members(incoming, "incoming_id")
+    joined = join_unique(members, best, "representative", how="left", bound=incoming)
     score = F.coalesce("best.score", F.lit(0.0))
     return joined.select(
         "incoming_id",

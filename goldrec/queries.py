@@ -126,9 +126,7 @@ def _both(field: str) -> tuple[Column, Column]:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    # the SQL has no typo keys
-    candidates = match.match_candidates(fx.incoming_contacts(spark, sf), fx.golden_contacts(spark, sf), typos=False)
-    return match.match_score(candidates)
+    return match.scored_pairs(fx.incoming_contacts(spark, sf), fx.golden_contacts(spark, sf))
 
 
 def _golden_out(df: DataFrame) -> DataFrame:
@@ -536,7 +534,7 @@ def score_phone(spark, sf):
 
 @query
 def match_candidates(spark, sf):
-    pairs = match.match_candidates(fx.incoming_contacts(spark, sf), fx.golden_contacts(spark, sf), typos=False)
+    pairs = match.match_candidates(fx.incoming_contacts(spark, sf), fx.golden_contacts(spark, sf))
     return pairs.select("incoming_id", "national_id", "in_copies", "gold_copies")
 
 

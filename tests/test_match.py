@@ -26,26 +26,85 @@ def frames(spark, incoming, golden):
     )
 
 
-def blocks_of(spark, df, row_id):
-    """The block keys of each profile, to compare all pairs in plain Python."""
-    rows = match.with_blocks(match.profiles(df, row_id)).collect()
-    return {r[row_id]: r.blocks for r in rows}
-
-
-@pytest.mark.parametrize("limit", [None, 4], ids=["plain", "salted"])
-def test_candidates_are_all_pairs_that_share_a_block(spark, hot_limit, limit):
-    incoming, golden = frames(spark, contacts(1, 80, "i"), contacts(2, 90, "g"))
-    left, right = blocks_of(spark, incoming, "incoming_id"), blocks_of(spark, golden, "national_id")
-    want = sorted(
-        (a, b)
-        for a, x in left.items()
-        for b, y in right.items()
-        if set(x) & set(y)
+def edited(rnd, text, most, letters):
+    """The text after up to ``most`` changed, inserted or dropped characters."""
+    for _ in range(rnd.randint(0, most)):
+        i = rnd.randint(0, len(text))
+        cut = rnd.choice((0, 1))
+        text = text[:i] + rnd.choice((rnd.choice(letters), "")) + text[i + cut :]
+    return text
+
+
+def odd_contacts(seed, count, prefix):
+    """Contacts derived from few names, e-mails and phones, so that pairs come near all limits."""
+    rnd, base = random.Random(seed), random.Random(1)
+    names = ["john smith", "bob roe", "robert roe", "al", "é", "aaaa aaaa aaaa", "mary-ann van der berg", "jo", "bo li"]
+    mails = ["j.smith@gmail.com", "jsmith@gmail.com", "a@b", "aaaaaaaa@aaaa", "robert.roe.1970@example.org", "x@y.z", "marie@firm.fr"]
+    phones = ["5551234567", "7771234567", "12", "", None, "1-555-123-4567", "0000000"]
+    base.shuffle(names)
+    out = []
+    for i in range(count):
+        name = edited(rnd, rnd.choice(names), 3, "ajoe b") if rnd.random() < 0.95 else None
+        mail = edited(rnd, rnd.choice(mails), 5, "ajm.1") if rnd.random() < 0.9 else None
+        out.append((f"{prefix}{i:03d}", name, mail, rnd.choice(phones)))
+    return out
+
+
+def scores_of(scored):
+    rows = scored.select("incoming_id", "national_id", "score", "matched_rules").collect()
+    found = {(r.incoming_id, r.national_id): (r.score, r.matched_rules) for r in rows}
+    assert len(found) == len(rows)
+    return found
+
+
+def every_pair(incoming, golden):
+    """All profiles of one side with all of the other, scored."""
+
+    def side(df, row_id, prefix):
+        columns = ("profile", "copies", *match.COMPARED)
+        return match.profiles(df, row_id).select(row_id, *(F.col(c).alias(f"{prefix}_{c}") for c in columns))
+
+    pairs = side(incoming, "incoming_id", "in").crossJoin(side(golden, "national_id", "gold"))
+    return scores_of(match.match_score(pairs).filter(F.col("score") >= 0.5))
+
+
+@pytest.mark.parametrize("seed,limit", [(1, None), (4, 25)])
+def test_scored_pairs_are_all_pairs_that_reach_the_limit(spark, hot_limit, seed, limit):
+    incoming, golden = frames(
+        spark,
+        odd_contacts(seed, 260, "i") + contacts(seed, 30, "j"),
+        odd_contacts(seed + 50, 240, "g") + contacts(seed + 9, 30, "h"),
     )
+    want = every_pair(incoming, golden)
     if limit:
         hot_limit(limit)
-    got = match.match_candidates(incoming, golden).select("incoming_id", "national_id", "in_copies").collect()
-    assert sorted((r.incoming_id, r.national_id) for r in got) == want and want
+    got = match.scored_pairs(incoming, golden)
+    assert scores_of(got) == want and len(want) > 300
+    assert {s >= 0.8 for s, _ in want.values()} == {True, False}
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_near_names_against_all_names(spark, seed):
+    rnd = random.Random(seed)
+    words = ["", "a", "ab", "aba", "anan anan anan", "bo lee", "robert lee", "ann o'neil-smith", "Çelik öz"]
+    left = sorted({edited(rnd, rnd.choice(words), 3, "abno ") for _ in range(220)})
+    right = sorted({edited(rnd, rnd.choice(words), 3, "abno ") for _ in range(220)})
+    a, b = (match.profiles(spark.createDataFrame([(n, n, None, None) for n in x], CONTACT.format("id")), "id") for x in (left, right))
+    got = match.near_names(a, b).collect()
+    a, b = (x.select("name").distinct().withColumns(match.name_parts()).withColumns(match._name_signals()) for x in (a, b))
+    a, b = (x.select(*(F.col(c).alias(f"{p}_{c}") for c in x.columns)) for x, p in ((a, "in"), (b, "gold")))
+    score = match.pair_scores()["name_score"]
+    want = a.crossJoin(b).select("in_name", "gold_name", score.alias("s")).filter("s > 0").collect()
+    assert sorted((r.in_name, r.gold_name, r.name_score) for r in got) == sorted(map(tuple, want))
+
+
+def test_no_task_gets_all_pairs_of_a_hot_name(spark, hot_limit):
+    """Every contact has one name and one phone; pairs are made in several tasks."""
+    hot_limit(20)
+    rows = [(str(i), "john smith", f"u{i}@x.org", "5551234567") for i in range(120)]
+    incoming, golden = frames(spark, rows, rows)
+    pairs = match.scored_pairs(incoming, golden)
+    assert pairs.count() == 120 * 120
 
 
 def test_copies_of_a_contact_meet_the_other_side_once(spark):
@@ -55,7 +114,7 @@ def test_copies_of_a_contact_meet_the_other_side_once(spark):
     )
     pair = match.match_candidates(incoming, golden).collect()
     assert len(pair) == 1 and (pair[0].in_copies, pair[0].gold_copies) == (50, 60)
-    best = match.best_match(incoming, match.match_score(match.match_candidates(incoming, golden)))
+    best = match.best_match(incoming, match.scored_pairs(incoming, golden))
     assert best.count() == 50
     assert {r.national_id for r in best.collect()} == {"g0"}
 
@@ -66,7 +125,7 @@ def test_best_match_covers_every_incoming_contact(spark):
         [("i1", "Jon Smith", "j@x.org", "5551234567"), ("i2", "Zed", None, None), ("i3", "Ann Roe", "q@x.org", "9995551234")],
         [("g1", "John Smyth", "j@x.org", "1-555-123-4567"), ("g2", "John Smith", "k@x.org", "5551234567"), ("g3", "Ann Doe", "w@y.net", "1115551234")],
     )
-    scored = match.match_score(match.match_candidates(incoming, golden))
+    scored = match.scored_pairs(incoming, golden)
     best = {r.incoming_id: r for r in match.best_match(incoming, scored).collect()}
     assert best["i1"].national_id == "g1" and best["i1"].match_type == "DUPLICATE"
     assert best["i2"].match_type == "NO_MATCH" and best["i2"].national_id is None
@@ -110,7 +169,7 @@ def test_pairs_with_typos_are_found(spark):
         ("g5", "Ann Lee", "other@else.org", "5559999999"),
     ]
     incoming, golden = frames(spark, incoming, golden)
-    scored = match.match_score(match.match_candidates(incoming, golden))
+    scored = match.scored_pairs(incoming, golden)
     assert {(r.incoming_id, r.national_id) for r in scored.filter("score >= 0.5").collect()} == {
         (f"i{n}", f"g{n}") for n in range(1, 5)
     }
@@ -122,34 +181,25 @@ def test_members_give_back_all_copies(spark):
     assert sorted(map(tuple, match.match_members(df, "id").collect())) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")]
 
 
-@pytest.mark.parametrize(
-    "names",
-    [("John Smith", "John Smith"), ("John", "John"), ("John", "John Smith"), ("John Smith", "John Smiph")],
-    ids=["both sounds", "one word", "one word and two", "one sound"],
-)
-def test_an_inserted_or_dropped_character_at_any_place_is_found(spark, names):
-    """Against the scores of all pairs; local parts of one to ten characters."""
-    boxes = ["jon.smith"[:n] for n in range(1, 10)] + ["john.smith"]
-    other = {b[:i] + "x" + b[i:] for b in boxes for i in range(len(b) + 1)}
-    other |= {b[:i] + b[i + 1 :] for b in boxes if len(b) > 1 for i in range(len(b))}
-    one_apart = {
-        (a, b) for a in boxes for b in other if a != b and any(b == a[:i] + a[i + 1 :] for i in range(len(a)))
-    } | {(a, b) for a in boxes for b in other if any(a == b[:i] + b[i + 1 :] for i in range(len(b)))}
+def test_best_match_equals_that_of_all_pairs(spark):
+    incoming, golden = frames(spark, odd_contacts(7, 150, "i"), odd_contacts(8, 150, "g"))
+    best = {}
+    for (i, g), (score, _) in every_pair(incoming, golden).items():
+        best[i] = min(best.get(i, (0, "")), (-score, g))
+    copies = {r["incoming_id"]: r["representative"] for r in match.match_members(incoming, "incoming_id").collect()}
+    for r in match.best_match(incoming, match.scored_pairs(incoming, golden)).collect():
+        want = best.get(copies[r["incoming_id"]], (0, None))
+        assert (r["score"], r["national_id"]) == (-want[0], want[1])
+
+
+@pytest.mark.parametrize("box", ["jon.smith"])
+def test_one_changed_character_at_any_place_is_found(spark, box):
+    other = {box[:i] + "x" + box[i:] for i in range(len(box) + 1)}
+    other |= {box[:i] + rest + box[i + 1 :] for i in range(len(box)) for rest in ("", "y")}
     incoming, golden = frames(
         spark,
-        [(b, names[0], f"{b}@acme.com", None) for b in boxes],
-        [(b, names[1], f"{b}@acme.com", None) for b in sorted(other)],
+        [("i", "John Smith", f"{box}@acme.com", None)],
+        [(b, "John Smith", f"{b}@acme.com", None) for b in sorted(other)],
     )
-    left = match.profiles(incoming, "incoming_id")
-    right = match.profiles(golden, "national_id")
-    columns = ("profile", "copies", *match.COMPARED)
-    left = left.select("incoming_id", *(F.col(c).alias(f"in_{c}") for c in columns))
-    right = right.select("national_id", *(F.col(c).alias(f"gold_{c}") for c in columns))
-
-    def found(pairs):
-        rows = match.match_score(pairs).filter("score >= 0.5").collect()
-        return {(r.incoming_id, r.national_id): r.score for r in rows}
-
-    every = {pair: score for pair, score in found(left.crossJoin(right)).items() if pair in one_apart}
-    got = found(match.match_candidates(incoming, golden))
-    assert len(every) > 100 and every == {pair: got.get(pair) for pair in every}
+    got = {r["national_id"]: r["score"] for r in match.scored_pairs(incoming, golden).collect()}
+    assert set(got) == other and min(got.values()) > 0.7
