@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from goldrec.plans.skew import find_hot_keys
+from goldrec.plans.skew import find_hot_keys, mark_first
 
 
 def dedup_event_id(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -25,7 +25,8 @@ def dedup_event_id(events: DataFrame, stored: DataFrame | None = None) -> DataFr
 
 
 def duplicates_by_customer(events: DataFrame) -> DataFrame:
-    """Flag every event whose customer already has an earlier one."""
+    """Flag every event whose customer already has an earlier one; of a first event that
+    was delivered again one delivery is not flagged."""
     first = F.min(F.struct("event_ts", "event_id")).alias("first")
     hot = find_hot_keys(events, "national_id")
     cold = events if hot is None else hot.cold(events)
@@ -35,7 +36,6 @@ def duplicates_by_customer(events: DataFrame) -> DataFrame:
         return flagged
     firsts = hot.hot(events).groupBy("national_id").agg(first)
     rest = events.join(hot.small(firsts), "national_id")
-    is_first = F.col("event_id") == F.col("first.event_id")
-    return flagged.unionByName(
-        rest.withColumn("is_duplicate", ~is_first).select(*flagged.columns)
-    )
+    is_first = F.struct("event_ts", "event_id") == F.col("first")
+    rest = mark_first(rest, hot, is_first, "is_first")
+    return flagged.unionByName(rest.withColumn("is_duplicate", ~F.col("is_first")).select(*flagged.columns))

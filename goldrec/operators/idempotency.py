@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from goldrec.config import CLIENT_TTL_HOURS, DETERMINISTIC_TTL_HOURS
 from goldrec.functions import text as T
-from goldrec.plans.durable import durable, work_path
-from goldrec.plans.skew import HotKeys, find_hot_keys, join_unique
+from goldrec.plans.durable import durable
+from goldrec.plans.skew import HotKeys, find_hot_keys, join_unique, mark_first
 
 ORDER = ("event_ts", "event_id")
 
@@ -79,6 +79,23 @@ def _first_by_broadcast(keyed: DataFrame, hot: HotKeys) -> DataFrame:
     return keyed.join(hot.small(firsts), "key_hash").select(*keyed.columns, "first")
 
 
+def _with_new(keyed: DataFrame, bound: DataFrame | None) -> DataFrame:
+    """Add ``first`` and ``new``: true for one delivery of the key's first request. Hot
+    rows are not shuffled for it."""
+    hot = _hot_keys(keyed, bound)
+
+    def by_window(rows: DataFrame) -> DataFrame:
+        delivery = F.row_number().over(W.partitionBy("key_hash", "event_id").orderBy("event_ts"))
+        new = (F.col("event_id") == F.col("first.event_id")) & (delivery == 1)
+        return _first_by_window(rows).withColumn("new", new)
+
+    if hot is None:
+        return by_window(keyed)
+    rows = _first_by_broadcast(keyed, hot)
+    is_first = (F.col("event_id") == F.col("first.event_id")) & (F.col("event_ts") == F.col("first.event_ts"))
+    return by_window(hot.cold(keyed)).unionByName(mark_first(rows, hot, is_first, "new"))
+
+
 def classify(
     keyed: DataFrame,
     in_flight: bool = False,
@@ -90,7 +107,7 @@ def classify(
     delivered again is a replay of itself. ``stored`` is
     the keys table of earlier batches; its keys come before any request here.
     ``bound`` is a stored table with at least as many rows (see ``find_hot_keys``)."""
-    rows = with_first(keyed, bound)
+    rows = _with_new(keyed, bound)
     first = F.col("first")
     first_id, expires = first["event_id"], first["event_ts"] + _ttl(F.col("ttl_hours"))
     if stored is not None:
@@ -102,10 +119,8 @@ def classify(
         rows = join_unique(rows, known, "key_hash", how="left")
         first_id = F.coalesce("stored_id", first_id)
         expires = F.coalesce("stored_expiry", expires)
-    # only the first delivery of the first request is new; a key from before never is
-    delivery = F.row_number().over(W.partitionBy("key_hash", "event_id").orderBy("event_ts"))
-    new = (F.col("event_id") == first["event_id"]) & (delivery == 1)
-    if stored is not None:
+    new = F.col("new")
+    if stored is not None:  # a key from before is never new
         new = new & F.col("stored_id").isNull()
     rows = rows.withColumns({"expires_at": expires, "first_event_id": first_id, "new": new})
     late = F.col("event_ts") > F.col("expires_at")
@@ -161,15 +176,14 @@ def rearmed(keyed: DataFrame) -> DataFrame:
     """Requests accepted when every accepted one re-arms its key's expiry.
 
     The chain of accepted requests is sequential per key. A cold key folds its
-    ordered requests in one expression. A hot key is walked in time slots as
-    wide as its shortest time to live: a slot holds at most one accepted
-    request, which is the smallest request after the carried expiry, so each
-    slot is one partial aggregate over that slot's rows only.
+    ordered requests in one expression. Of a hot key every request gets its next
+    acceptable one, and pointer doubling follows the chain from the first request,
+    so the number of jobs grows with the logarithm of the time spanned.
     """
     hot = _hot_keys(keyed)
     if hot is None:
         return _rearm_by_fold(keyed)
-    return _rearm_by_fold(hot.cold(keyed)).unionByName(_rearm_by_slots(hot.hot(keyed)))
+    return _rearm_by_fold(hot.cold(keyed)).unionByName(_rearm_by_doubling(hot.hot(keyed)))
 
 
 def _rearm_by_fold(keyed: DataFrame) -> DataFrame:
@@ -186,31 +200,47 @@ def _rearm_by_fold(keyed: DataFrame) -> DataFrame:
     return grouped.select("key_hash", F.inline(kept)).select("key_hash", *ORDER)
 
 
-def _rearm_by_slots(keyed: DataFrame) -> DataFrame:
-    spark = keyed.sparkSession
-    hours = keyed.agg(F.min("ttl_hours")).first()[0]
-    seconds = F.unix_timestamp(F.col("event_ts").cast("timestamp"))
-    slot = F.floor(seconds / F.lit(hours * 3600)).alias("slot")
-    path = work_path(spark, "rearm")
-    keyed.select("key_hash", *ORDER, "ttl_hours", slot).repartition("slot", F.pmod(
-        F.xxhash64("event_id"), F.lit(16)
-    )).write.partitionBy("slot").parquet(f"{path}/requests")
-    rows = spark.read.parquet(f"{path}/requests")
-    low, high = rows.agg(F.min("slot"), F.max("slot")).first()
-    state = None
-    for number in range(low, high + 1):
-        here = rows.filter(F.col("slot") == number)
-        if state is not None:
-            here = here.join(F.broadcast(state), "key_hash", "left").filter(
-                F.col("expiry").isNull() | (F.col("event_ts") > F.col("expiry"))
-            )
-        found = here.groupBy("key_hash").agg(F.min(F.struct(*ORDER, "ttl_hours")).alias("r"))
-        found = durable(found.select("key_hash", "r.*"))
-        found.select("key_hash", *ORDER).write.mode("append").parquet(f"{path}/accepted")
-        fresh = found.select(
-            "key_hash", (F.col("event_ts") + _ttl(F.col("ttl_hours"))).alias("expiry")
-        )
-        if state is not None:
-            fresh = fresh.unionByName(state.join(fresh, "key_hash", "left_anti"))
-        state = durable(fresh.coalesce(8))
-    return spark.read.parquet(f"{path}/accepted").select("key_hash", *ORDER)
+def _next_acceptable(moments: DataFrame) -> DataFrame:
+    """``key_hash, event_ts, next_ts``: the first later moment of the key behind the expiry.
+
+    Moments and expiries are sorted together by ranges. The next moment behind an expiry is
+    in its own range, or the first one of a later range of the key, which is looked up among
+    one row per key and range.
+    """
+    asked = moments.select("key_hash", (F.col("event_ts") + _ttl(F.col("ttl_hours"))).alias("at"), F.lit(1).alias("kind"), "event_ts")
+    given = moments.select("key_hash", F.col("event_ts").alias("at"), F.lit(0).alias("kind"), "event_ts")
+    order = ("key_hash", "at", "kind")
+    rows = asked.unionByName(given).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = durable(rows.withColumn("part", F.spark_partition_id()), "moments")
+    moment = F.when(F.col("kind") == 0, F.col("at"))
+    firsts = rows.groupBy("key_hash", "part").agg(F.min(moment).alias("first"))
+    after = W.partitionBy("key_hash").orderBy("part").rowsBetween(1, W.unboundedFollowing)
+    firsts = firsts.select("key_hash", "part", F.min("first").over(after).alias("later"))
+    within = W.partitionBy("key_hash", "part").orderBy("at", "kind").rowsBetween(1, W.unboundedFollowing)
+    rows = rows.withColumn("own", F.min(moment).over(within)).filter("kind = 1")
+    rows = rows.join(firsts, ["key_hash", "part"])
+    return rows.select("key_hash", "event_ts", F.coalesce("own", "later").alias("next_ts"))
+
+
+def _rearm_by_doubling(keyed: DataFrame) -> DataFrame:
+    """Requests of one key at one moment are one node, of which the smallest id counts."""
+    grouped = keyed.groupBy("key_hash", "event_ts")
+    nodes = durable(grouped.agg(F.min("event_id").alias("event_id"), F.first("ttl_hours").alias("ttl_hours")), "nodes")
+    jump = durable(_next_acceptable(nodes).filter("next_ts is not null"), "jump")
+    span = nodes.groupBy("key_hash").agg(
+        F.min("event_ts").alias("event_ts"),
+        (F.unix_seconds(F.max("event_ts").cast("timestamp")) - F.unix_seconds(F.min("event_ts").cast("timestamp"))).alias("seconds"),
+        F.min("ttl_hours").alias("hours"),
+    )
+    span = durable(span, "spans")
+    steps = span.agg(F.max(F.expr("seconds div (hours * 3600)"))).first()[0] or 0  # of the longest chain
+    jumps = [jump]
+    for _ in range(int(steps).bit_length()):
+        ahead = jumps[-1].select("key_hash", F.col("event_ts").alias("next_ts"), F.col("next_ts").alias("then_ts"))
+        jump = jumps[-1].join(ahead, ["key_hash", "next_ts"]).select("key_hash", "event_ts", F.col("then_ts").alias("next_ts"))
+        jumps.append(durable(jump, "jump"))
+    reached = span.select("key_hash", "event_ts")
+    for jump in reversed(jumps):  # what is reached doubles with every step
+        found = reached.join(jump, ["key_hash", "event_ts"]).select("key_hash", F.col("next_ts").alias("event_ts"))
+        reached = durable(reached.unionByName(found).distinct(), "reached")
+    return nodes.join(reached, ["key_hash", "event_ts"]).select("key_hash", *ORDER)

@@ -95,6 +95,20 @@ def join_unique(
     return hot.cold(rows).join(unique, on, how).unionByName(hot.hot(rows).join(partners, on, how))
 
 
+def mark_first(rows: DataFrame, hot: HotKeys, candidate: Column, name: str) -> DataFrame:
+    """Add ``name``: true for exactly one of the ``candidate`` rows of each hot key.
+
+    Candidates are equal rows, of which there may be many, so they are numbered where they
+    lie and the smallest number is a partial aggregate; no other row is shuffled.
+    """
+    candidate = F.coalesce(candidate, F.lit(False))
+    found = durable(rows.filter(candidate).withColumn("_row", F.monotonically_increasing_id()), "first-rows")
+    best = found.groupBy(*hot.keys).agg(F.min("_row").alias("_best"))
+    marked = found.join(hot.small(best), list(hot.keys)).withColumn(name, F.col("_row") == F.col("_best"))
+    others = rows.filter(~candidate).withColumn(name, F.lit(False))
+    return others.unionByName(marked.select(*others.columns))
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:
     """Inner join on ``key`` where either side may hold very many rows per key.
 

@@ -82,6 +82,26 @@ def test_rearmed_chain(spark, hot_limit, limit):
     assert {r.event_id for r in idempotency.rearmed(keyed(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("years", [0, 30])
+def test_rearming_takes_no_more_jobs_for_a_longer_time(spark, hot_limit, monkeypatch, years):
+    """Against a plain loop; the stored tables are counted."""
+    hot_limit(10)
+    rnd, made = random.Random(years), []
+    at = [START + timedelta(hours=rnd.choice((0, 1, 6, 7)) * i, seconds=rnd.choice((0, 0, 1))) for i in range(120)]
+    at += [START + timedelta(days=365 * years), START + timedelta(days=365 * years, hours=6)]
+    rows = [(i, "1" * 12, "n", "e", "p", "CRM", None, t, t) for i, t in enumerate(at)]
+    rows += [(500 + i, "2" * 12, "n", "e", "p", "CRM", "k", t, t) for i, t in enumerate(at[::2])]
+    expiry, want = {}, set()
+    for r in ordered(rows):
+        if key_of(r) not in expiry or r[7] > expiry[key_of(r)]:
+            expiry[key_of(r)] = r[7] + ttl_of(r)
+            want.add(r[0])
+    own = idempotency.durable
+    monkeypatch.setattr(idempotency, "durable", lambda df, name="step": made.append(name) or own(df, name))
+    assert {r.event_id for r in idempotency.rearmed(keyed(spark, rows)).collect()} == want
+    assert len(made) <= 4 + 2 * 18  # 30 years have 43,800 times to live of six hours
+
+
 def test_replay_names_the_first_event(spark):
     rows = requests(3)
     out = idempotency.replies(idempotency.classify(keyed(spark, rows))).collect()
@@ -158,6 +178,28 @@ def test_dedup(spark, hot_limit, limit):
     assert {r.event_id: r.is_duplicate for r in flags} == want
 
 
+@pytest.mark.parametrize("limit", [None, 3], ids=["cold", "hot"])
+def test_a_first_event_delivered_again_is_a_duplicate_once(spark, hot_limit, limit):
+    if limit:
+        hot_limit(limit)
+    rows = requests(8, 60)
+    first = ordered(rows)[0]
+    rows += [first] * 7
+    flags = dedup.duplicates_by_customer(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(flags) == len(rows)
+    new = [r for r in flags if not r.is_duplicate]
+    assert sorted(r.national_id for r in new) == sorted({r[1] for r in rows})
+    assert all((r.event_ts, r.event_id) == min((x[7], x[0]) for x in rows if x[1] == r.national_id) for r in new)
+
+
+def test_hot_rows_are_not_shuffled_by_the_delivery_test(spark, hot_limit):
+    hot_limit(15)
+    got = idempotency.classify(keyed(spark, requests(7)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert exchanges and all("event_id" not in line.split("hashpartitioning")[1] for line in exchanges)
+
+
 def test_hot_rows_are_not_shuffled_for_their_first_request(spark, hot_limit):
     hot_limit(15)
     df = keyed(spark, requests(7))
