@@ -6,18 +6,26 @@ lines, paragraphs and headings keep a blank line, lists are indented and numbere
 tables have aligned columns, preformatted text keeps its spaces. Nothing that a browser
 would not show is emitted.
 
+Hidden are elements that a browser does not show, ``display: none`` with all below it, and
+``visibility: hidden`` but for what is made visible again below. The text of a ``textarea``
+and of ``text`` elements in a drawing is shown.
+
 Defined results: a null or empty page gives empty text and zero counts; broken markup
 never fails, text is kept; rows are rendered one by one, equal rows alike; other columns
 are not read. Pages are taken whole, and neither depth nor length is bounded: the tree
-is walked with a stack of its own.
+is walked with a stack of its own. Layout is bounded so that the output grows with the
+page's text: from ``MOST_INDENT`` characters on a deeper level indents no further, and a
+table whose padding would be over ``MOST_PADDING`` times its text has its rows' cells
+joined without it; in more than ``MOST_NESTED`` nested tables a cell is a line.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect
 from collections.abc import Iterator, Set
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 from html import unescape
 
 import pyarrow as pa
@@ -29,8 +37,8 @@ from goldrec.llm.batches import slices
 # Element names of the HTML standard.
 VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(
-    "area audio base canvas datalist head iframe link map meta noscript object param script source style "
-    "svg template textarea title track video".split()
+    "area audio base canvas clippath datalist defs desc head iframe link map mask meta metadata noscript object "
+    "param pattern script source style symbol template title track video".split()
 )
 RAW = frozenset("script style textarea title noscript iframe".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure hr details fieldset".split())
@@ -66,7 +74,11 @@ _LENIENT = re.compile(f"{_OTHER}|{_TAG.format('[^>]*+')}|([^<]+)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANK = " \t\n\r\f"
 _SPACE = re.compile(f"[{_BLANK}]+")
-_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))")
+_NO_BOX = re.compile(r"display\s*:\s*none")
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
+
+#: Bounds of the layout, see above.
+MOST_INDENT, MOST_PADDING, MOST_NESTED = 64, 8, 8
 
 
 @dataclass(slots=True)
@@ -87,32 +99,33 @@ def parse(page: str) -> Node:
     """The tree of a page; the root is ``html``. Each character is looked at a fixed
     number of times, however broken the markup."""
     root = Node("html")
-    open_, count = [root], Counter(["html"])
+    open_ = [root]
+    places: dict[str, list[int]] = {}  # of every tag's open elements, the root left out
     last = page.rfind(">")
     token = _TOKEN
 
     def push(node: Node) -> Node:
         open_[-1].children.append(node)
+        places.setdefault(node.tag, []).append(len(open_))
         open_.append(node)
-        count[node.tag] += 1
         return node
 
+    def innermost(tags: Set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(tags: Set[str], stop: Set[str]) -> bool:
-        if not any(count[t] for t in tags):
+        """Close the innermost element of ``tags`` unless one of ``stop`` is further in."""
+        at = innermost(tags)
+        if not at or innermost(stop) > at:
             return False
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in tags:
-                for node in open_[i:]:
-                    count[node.tag] -= 1
-                del open_[i:]
-                return True
-            if open_[i].tag in stop:
-                return False
-        return False
+        for node in reversed(open_[at:]):
+            places[node.tag].pop()
+        del open_[at:]
+        return True
 
     def end_head() -> None:
         while open_[-1].tag == "head":
-            count["head"] -= 1
+            places["head"].pop()
             open_.pop()
 
     def write(text: str) -> None:
@@ -145,7 +158,7 @@ def parse(page: str) -> Node:
         if open_[-1].tag == "head" and (tag in ("html", "body", "br") if end else tag not in IN_HEAD | {"html"}):
             end_head()
         if end:
-            if tag == "p" and not count["p"]:
+            if tag == "p" and not places.get("p"):
                 open_[-1].children.append(Node("p"))
             elif tag == "br":
                 open_[-1].children.append(Node("br"))
@@ -171,20 +184,28 @@ def parse(page: str) -> Node:
         node = push(Node(tag, _attributes(attributes) if attributes else {}))
         if tag in RAW:
             finish = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-            at = finish.start() if finish else len(page)
+            at, begin = finish.start() if finish else len(page), at
+            if tag == "textarea":
+                node.children.append(unescape(page[begin:at]).removeprefix("\n"))
         if tag in VOID:
             open_.pop()
-            count[tag] -= 1
+            places[tag].pop()
     return root
 
 
-def visible(node: Node) -> bool:
+def has_box(node: Node) -> bool:
+    """Whether an element and what is below it can be shown at all."""
     a = node.attributes
     if node.tag in HIDDEN or "hidden" in a:
         return False
     if node.tag == "dialog" and "open" not in a:
         return False
-    return not ("style" in a and _UNSEEN.search(a["style"].lower()))
+    return not ("style" in a and _NO_BOX.search(a["style"].lower()))
+
+
+def _visibility(node: Node, inherited: bool) -> bool:
+    found = _VISIBILITY.findall(node.attributes["style"].lower()) if "style" in node.attributes else ()
+    return found[-1] == "visible" if found else inherited
 
 
 # ---- layout ---------------------------------------------------------------
@@ -240,34 +261,88 @@ class Lines:
 
 @dataclass(slots=True)
 class Table:
-    rows: list[list[list[str]]] = field(default_factory=list)
-    taken: dict[tuple[int, int], bool] = field(default_factory=dict)
+    """Cells by row and column. Only cells are stored, and the columns that no cell of an
+    earlier row reaches into, as runs; every cell takes and gives back its columns once. Of
+    two that overlap the earlier one keeps them."""
+
+    rows: list[list[tuple[int, list[str]]]] = field(default_factory=list)
+    free: list[tuple[int, int]] = field(default_factory=lambda: [(0, 1 << 60)])
+    held: list[tuple[int, int, int]] = field(default_factory=list)  # a heap: last row, from, upto
+    fresh: list[tuple[int, int, int]] = field(default_factory=list)
+    at: int = 0  # the next column of the row
+    run: int = 0  # the free run to look at
+
+    def row(self) -> None:
+        y = len(self.rows)
+        self.rows.append([])
+        self.at = self.run = 0
+        while self.held and self.held[0][0] < y:
+            self._give(*heappop(self.held)[1:])
+        for until, first, upto in self.fresh:
+            self._take(until, first, upto)
+        self.fresh = []
+
+    def group(self) -> None:
+        """Cells end with their group of rows."""
+        self.free, self.held, self.fresh = [(0, 1 << 60)], [], []
+
+    def _take(self, until: int, first: int, upto: int) -> None:
+        i = max(bisect(self.free, (first, 1 << 61)) - 1, 0)
+        j, kept = i, []
+        while j < len(self.free) and self.free[j][0] < upto:
+            a, b = self.free[j]
+            if b > first:
+                heappush(self.held, (until, max(a, first), min(b, upto)))
+                kept += [x for x in ((a, first), (upto, b)) if x[0] < x[1]]
+            else:
+                kept.append((a, b))
+            j += 1
+        self.free[i:j] = kept
+
+    def _give(self, first: int, upto: int) -> None:
+        i = bisect(self.free, (first, upto))
+        if i < len(self.free) and self.free[i][0] == upto:
+            upto = self.free.pop(i)[1]
+        if i and self.free[i - 1][1] == first:
+            i -= 1
+            first = self.free.pop(i)[0]
+        self.free.insert(i, (first, upto))
 
     def add(self, cell: Node, lines: list[str]) -> None:
         if not self.rows:
-            self.rows.append([])
-        row, y = self.rows[-1], len(self.rows) - 1
-        while (y, len(row)) in self.taken:
-            row.append([])
+            self.row()
+        while self.free[self.run][1] <= self.at:
+            self.run += 1
+        self.at = max(self.at, self.free[self.run][0])
         across, down = (_number(cell.attributes.get(k), 1) for k in ("colspan", "rowspan"))
-        for dy in range(1, min(down, 1000)):
-            for dx in range(min(across, 1000)):
-                self.taken[y + dy, len(row) + dx] = True
-        row += [lines, *([] for _ in range(min(across, 1000) - 1))]
+        if lines:
+            self.rows[-1].append((self.at, lines))
+        upto = self.at + max(1, min(across, 1000))
+        if down > 1:
+            self.fresh.append((len(self.rows) - 2 + min(down, 1000), self.at, upto))
+        self.at = upto
 
     def aligned(self) -> list[str]:
         """Columns padded to their widest line, cells apart by two spaces and a bar."""
-        n = max(map(len, self.rows), default=0)
-        width = [0] * n
+        width: dict[int, int] = {}
+        text = height = 0
         for row in self.rows:
-            for x, lines in enumerate(row):
-                width[x] = max([width[x], *map(len, lines)])
-        shown = [x for x in range(n) if width[x]]
+            for x, lines in row:
+                width[x] = max([width.get(x, 0), *map(len, lines)])
+                text += sum(map(len, lines))
+            height += max((len(lines) for _, lines in row), default=0)
+        shown = sorted(x for x in width if width[x])
+        padded = height * sum(width[x] + 3 for x in shown) <= MOST_PADDING * text + 4096
         out = []
         for row in self.rows:
-            for k in range(max(map(len, row), default=0)):
-                cells = (row[x][k] if x < len(row) and k < len(row[x]) else "" for x in shown)
-                out.append(" | ".join(c.ljust(width[x]) for x, c in zip(shown, cells, strict=True)).rstrip())
+            cells = dict(row)
+            if padded:
+                pairs = [(cells.get(x, []), width[x]) for x in shown]
+            else:
+                pairs = [(lines, 0) for _, lines in row]
+            for k in range(max(map(len, cells.values()), default=0)):
+                line = (lines[k].ljust(n) if k < len(lines) else " " * n for lines, n in pairs if n or k < len(lines))
+                out.append(" | ".join(line).rstrip())
         return out
 
 
@@ -289,20 +364,26 @@ def render(page: str | None) -> Rendered:
     out, done = Lines(), Rendered("")
     # what is open: node, next child, and what to restore when it ends
     lists: list[list] = []
-    tables: list[Table] = []
+    tables: list[Table | None] = []  # None: nested too deep
     outer: list[Lines] = []
-    stack: list[tuple[Node, Iterator[Node | str], bool, str]] = []
+    stack: list[tuple[Node, Iterator[Node | str], bool, tuple[str, bool]]] = []
     root = parse(page or "")
-    pre = 0
+    pre = drawing = lettering = 0
+    seen = True
+
+    def indented(more: str) -> str:
+        return out.indent + more if len(out.indent + more) <= MOST_INDENT else out.indent
 
     def enter(node: Node) -> None:
-        nonlocal out, pre
+        nonlocal out, pre, drawing, lettering, seen
         tag, indent = node.tag, out.indent
-        cell = tag in ("td", "th") and bool(tables)
+        before, seen = seen, _visibility(node, seen)
+        state = (indent, before)
+        cell = tag in ("td", "th") and bool(tables) and tables[-1] is not None
         if cell:
             outer.append(out)
             out = Lines()
-            done.n_cells += 1
+            done.n_cells += seen
         elif tag == "br":
             out.end(keep=True)
         elif tag in SPACED or tag in LINED:
@@ -311,31 +392,41 @@ def render(page: str | None) -> Rendered:
             if tag in SPACED and not (tag in ("ul", "ol") and lists):
                 out.gap = True
         if tag == "hr":
-            out.rows(["---"])
+            out.rows(["---"] if seen else [])
             out.gap = True
         elif tag in ("ul", "ol", "menu", "dir"):
             lists.append([tag, _number(node.attributes.get("start"), 1)])
         elif tag == "li":
-            done.n_items += 1
+            done.n_items += seen
             mark = "- "
             if lists and lists[-1][0] == "ol":
                 number = _number(node.attributes.get("value"), lists[-1][1])
                 lists[-1][1], mark = number + 1, f"{number}. "
-            out.indent, out.mark = indent + " " * len(mark), mark
+            out.indent, out.mark = indented(" " * len(mark)), mark
         elif tag in ("dd", "blockquote"):
-            out.indent = indent + "  "
+            out.indent = indented("  ")
         elif tag == "table":
-            tables.append(Table())
+            tables.append(Table() if len(tables) < MOST_NESTED else None)
+        elif tag in ("td", "th", "tr", "thead", "tbody", "tfoot") and tables and tables[-1] is None:
+            out.end()
         elif tag == "tr" and tables:
-            done.n_rows += 1
-            tables[-1].rows.append([])
-        elif tag == "pre":
+            done.n_rows += seen
+            tables[-1].row()
+        elif tag in ("thead", "tbody", "tfoot") and tables:
+            tables[-1].group()
+        elif tag in ("pre", "textarea"):
             pre += 1
-        stack.append((node, iter(_shown(node)), cell, indent))
+        elif tag == "svg":
+            drawing += 1
+        elif drawing and tag in ("text", "foreignobject"):
+            out.end()
+            lettering += 1
+        stack.append((node, iter(_shown(node)), cell, state))
 
-    def leave(node: Node, cell: bool, indent: str) -> None:
-        nonlocal out, pre
+    def leave(node: Node, cell: bool, state: tuple[str, bool]) -> None:
+        nonlocal out, pre, drawing, lettering, seen
         tag = node.tag
+        indent, seen = state
         if cell:
             out.end()
             lines, out = out.lines, outer.pop()
@@ -344,11 +435,18 @@ def render(page: str | None) -> Rendered:
         if tag in SPACED or tag in LINED:
             out.end()
         if tag == "table":
-            out.rows(tables.pop().aligned())
+            done_table = tables.pop()
+            if done_table:
+                out.rows(done_table.aligned())
         elif tag in ("ul", "ol", "menu", "dir"):
             lists.pop()
-        elif tag == "pre":
+        elif tag in ("pre", "textarea"):
             pre -= 1
+        elif tag == "svg":
+            drawing -= 1
+        elif drawing and tag in ("text", "foreignobject"):
+            out.end()
+            lettering -= 1
         out.indent = indent
         if tag == "li":
             out.mark = ""
@@ -357,16 +455,18 @@ def render(page: str | None) -> Rendered:
 
     enter(root)
     while stack:
-        node, children, cell, indent = stack[-1]
+        node, children, cell, state = stack[-1]
         child = next(children, None)
         if child is None:
             stack.pop()
-            leave(node, cell, indent)
+            leave(node, cell, state)
         elif isinstance(child, str):
-            # space between table parts is not text
+            # space between table parts is not text, nor is a drawing outside its lettering
+            if not seen or drawing and not lettering:
+                continue
             if node.tag not in ("table", "tr", "thead", "tbody", "tfoot") or child.strip():
                 out.write(child, pre > 0)
-        elif visible(child):
+        elif has_box(child):
             enter(child)
     out.end()
     done.text = "\n".join(out.lines).strip("\n")

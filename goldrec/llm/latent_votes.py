@@ -3,8 +3,8 @@
 Texts become hashed term vectors (words as they stand, runs of punctuation, and a few
 terms for the text's shape), weighted by inverse document frequency over all texts. The
 right singular vectors of a bounded sample of labelled texts give the latent space. The
-sample's vectors and labels are broadcast; every text meets all of them in blocked
-matrix products, and its nearest ones vote by similarity.
+sample's vectors and labels are broadcast; every text meets all of them in products with
+blocks of them, and its nearest ones vote by similarity.
 
 Bounds: ``SAMPLE`` labelled texts (smallest hashes of their keys), ``TERMS`` hashed
 terms, ``LATENT`` dimensions; the broadcast is about two megabytes whatever the input.
@@ -35,8 +35,10 @@ SAMPLE = 4096
 NEIGHBOURS = 15
 #: Weight of a shape term beside the unit-length word part.
 SHAPE = 0.5
-#: Texts whose term vectors are dense at once.
+#: Texts whose term vectors are dense at once, and labelled vectors in one product.
 BLOCK = 512
+#: Similarities count to so many digits; of equal ones the smaller key is nearer.
+LIKE_DIGITS = 6
 SHAPE_STEPS = 8
 SHAPES = ("fresh", "upper", "marks", "long", "letters", "lines")
 WIDTH = TERMS + len(SHAPES) * SHAPE_STEPS
@@ -130,19 +132,30 @@ class Model:
     labels: np.ndarray
     prior: float
 
-    def latent(self, counts: np.ndarray) -> np.ndarray:
-        out = weighted(counts, self.idf) @ self.basis
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    def score(self, counts: np.ndarray) -> float:
+        """The vote on one text, a row of counts. The labelled vectors are what is blocked:
+        in a product of many texts the last bits would depend on the texts beside."""
+        if not len(self.labels):
+            return self.prior
+        latent = weighted(counts[None], self.idf)[0] @ self.basis
+        latent = latent / max(float(np.linalg.norm(latent)), 1e-12)
+        blocks = range(0, len(self.vectors), BLOCK)
+        like = np.concatenate([self.vectors[i : i + BLOCK] @ latent for i in blocks])
+        like = np.round(like, LIKE_DIGITS)
+        near = nearest(like, min(NEIGHBOURS, len(like)))
+        weight = np.maximum(like[near], 0).astype(np.float64) ** 4
+        vote = (weight * self.labels[near]).sum() + 1e-6 * self.prior
+        return float(np.clip(vote / (weight.sum() + 1e-6), 0, 1))
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        if not len(self.labels):
-            return np.full(len(counts), self.prior)
-        like = self.latent(counts) @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-like, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(like, near, axis=1), 0).astype(np.float64) ** 4
-        vote = (weight * self.labels[near]).sum(axis=1) + 1e-6 * self.prior
-        return np.clip(vote / (weight.sum(axis=1) + 1e-6), 0, 1)
+        return np.array([self.score(row) for row in counts], np.float64)
+
+
+def nearest(like: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest values; of equal ones the first count."""
+    least = np.partition(like, len(like) - k)[len(like) - k]
+    above = np.flatnonzero(like > least)
+    return np.concatenate([above, np.flatnonzero(like == least)[: k - len(above)]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:

@@ -16,6 +16,7 @@ their names; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,8 @@ BLOCK_BYTES = 8 << 20
 MOST_BLOCKS = 1 << 16
 #: Ranges of moved rows that are broadcast; longer lists are joined by shuffling.
 MOST_RANGES = 1 << 18
+#: Smallest rows of each shard that the last moves choose from.
+LAST_ROWS = 256
 #: Bytes of each shard from which the second flow picks its small rows, about.
 POOL_BYTES = 32 << 20
 
@@ -203,7 +206,59 @@ def _even_out(rows: DataFrame, capacities: list[int], shards: int) -> DataFrame:
     path = work_path(spark, "evened")
     fixes.write.parquet(path)
     fixes = spark.read.schema(fixes.schema).parquet(path)
-    return rows.join(fixes, list(PLACE), "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
+    rows = rows.join(fixes, list(PLACE), "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
+
+    # what is left is less than a row or two: single moves among the smallest rows
+    rank = F.row_number().over(W.partitionBy("shard").orderBy("size", *PLACE))
+    smallest = pool.select(*PLACE).join(rows, list(PLACE)).withColumn("rank", rank)
+    smallest = smallest.filter(F.col("rank") <= LAST_ROWS).select(*PLACE, "size", "shard")
+    moves = _single_moves(_sizes(rows, "shard", shards), [tuple(r) for r in smallest.collect()])
+    if not moves:
+        return rows
+    places = "old_shard int, block int, ordinal long, to int"
+    last = F.broadcast(spark.createDataFrame(moves, places))  # at most LAST_ROWS a shard
+    return rows.join(last, list(PLACE), "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
+
+
+def _single_moves(sizes: list[int], rows: list[tuple]) -> list[tuple]:
+    """``old_shard, block, ordinal, to`` of rows (``.., size, shard``) whose moves bring shard
+    sizes nearer to each other, one move at a time, until none does.
+
+    A move or an exchange from a larger to a smaller shard is the better the nearer it comes
+    to half of the difference; the pair of shards furthest apart goes first.
+    """
+    sizes, held = list(sizes), {s: [] for s in range(len(sizes))}
+    for *place, size, shard in rows:
+        held[shard].append((size, tuple(place)))
+    for own in held.values():
+        own.sort()
+    start = {place: s for s, own in held.items() for _, place in own}
+    for _ in range(4 * len(rows)):
+        best = None
+        order = sorted(range(len(sizes)), key=sizes.__getitem__)
+        for a, b in [(order[-1], t) for t in order[:-1]] + [(s, order[0]) for s in order[1:-1]]:
+            gap = sizes[a] - sizes[b]
+            for size, place in held[a]:
+                others = [(0, None)]
+                at = bisect_left(held[b], (size - gap // 2,))
+                others += held[b][max(at - 1, 0) : at + 1]
+                for other, back in others:
+                    gain = gap - abs(gap - 2 * (size - other))
+                    if 0 < size - other < gap and (best is None or gain > best[0]):
+                        best = gain, a, b, (size, place), (other, back)
+            if best:
+                break
+        if not best:
+            break
+        _, a, b, out, back = best
+        held[a].remove(out)
+        insort(held[b], out)
+        sizes[a] -= out[0] - back[0]
+        sizes[b] += out[0] - back[0]
+        if back[1] is not None:
+            held[b].remove(back)
+            insort(held[a], back)
+    return [(*place, s) for s, own in held.items() for _, place in own if start[place] != s]
 
 
 def _touched(rows: DataFrame) -> DataFrame:

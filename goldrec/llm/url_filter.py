@@ -2,8 +2,8 @@
 
 Everything is DataFrame code and Spark's own tree learner. Features: length, depth,
 digit ratio, entropy, parameter counts, and statistics of the host's suffix taken from
-all labelled URLs. The trees are fitted on at most ``TRAIN_ROWS`` labelled URLs, those
-with the smallest hashes.
+all labelled URLs. The trees are fitted on at most ``TRAIN_ROWS`` different labelled URLs,
+of each label those with the smallest hashes, weighted by how often they occur.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no
 rule and is judged by its (mostly zero) features; without labels of both kinds every
@@ -119,15 +119,27 @@ def _vectors(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, suffixes: DataFrame, rows: int = TRAIN_ROWS) -> GBTClassificationModel | None:
-    """Trees from labelled, featurised URLs; None where only one label occurs."""
-    sample = labelled.orderBy(F.xxhash64("url"), "url").limit(rows)
-    vectors = _vectors(sample, suffixes).select("features", F.col("label").cast("double")).cache()
+    """Trees from labelled, featurised URLs; None where only one label occurs.
+
+    Each label gives the same number of different URLs at most, weighted by their rows and
+    so that the labels keep their shares, however often one URL occurs.
+    """
+    totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not (totals.get(0) and totals.get(1)):  # labels are 0 and 1
+        return None
+    urls = labelled.groupBy("url", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    each = [urls.filter(F.col("label") == x).orderBy(F.xxhash64("url"), "url").limit(rows // 2) for x in (0, 1)]
+    sample = each[0].unionByName(each[1]).cache()
     try:
-        if vectors.select("label").distinct().count() < 2:
-            return None
-        return GBTClassifier(maxIter=12, maxDepth=4, maxBins=32, stepSize=0.3, seed=1).fit(vectors)
+        sums = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+        share = F.when(F.col("label") == 1, totals[1] / sums[1]).otherwise(totals[0] / sums[0])
+        host, path = host_and_path(F.col("url"))
+        featured = lexical(sample.withColumns({"host": host, "path": path, "weight": F.col("n") * share}))
+        vectors = _vectors(featured, suffixes).select("features", F.col("label").cast("double"), "weight")
+        trees = GBTClassifier(maxIter=12, maxDepth=4, maxBins=32, stepSize=0.3, seed=1, weightCol="weight")
+        return trees.fit(vectors)
     finally:
-        vectors.unpersist()
+        sample.unpersist()
 
 
 def judge(
