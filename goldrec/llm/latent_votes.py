@@ -132,12 +132,11 @@ class Model:
     labels: np.ndarray
     prior: float
 
-    def score(self, counts: np.ndarray) -> float:
-        """The vote on one text, a row of counts. The labelled vectors are what is blocked:
-        in a product of many texts the last bits would depend on the texts beside."""
-        if not len(self.labels):
-            return self.prior
-        latent = weighted(counts[None], self.idf)[0] @ self.basis
+    def score(self, row: np.ndarray) -> float:
+        """The vote on one text, a row of weighted terms. The labelled vectors are what is
+        blocked: in a product of many texts the last bits would depend on the texts beside."""
+        terms = np.flatnonzero(row)
+        latent = row[terms] @ self.basis[terms]
         latent = latent / max(float(np.linalg.norm(latent)), 1e-12)
         blocks = range(0, len(self.vectors), BLOCK)
         like = np.concatenate([self.vectors[i : i + BLOCK] @ latent for i in blocks])
@@ -148,7 +147,9 @@ class Model:
         return float(np.clip(vote / (weight.sum() + 1e-6), 0, 1))
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        return np.array([self.score(row) for row in counts], np.float64)
+        if not len(self.labels):
+            return np.full(len(counts), self.prior)
+        return np.array([self.score(row) for row in weighted(counts, self.idf)], np.float64)
 
 
 def nearest(like: np.ndarray, k: int) -> np.ndarray:
