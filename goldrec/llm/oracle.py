@@ -70,11 +70,28 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT item_id) AS n,
     string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
   FROM hits GROUP BY doc_id
+), terms AS (
+  SELECT win, unnest(list_distinct(string_split(win, ' '))) AS word, len(list_distinct(string_split(win, ' '))) AS n
+  FROM (SELECT DISTINCT win FROM items)
+), places AS (
+  SELECT doc_id, p, words[p] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM d)
+), holding AS (
+  SELECT doc_id, win FROM (SELECT DISTINCT doc_id, word FROM places) JOIN terms USING (word)
+  GROUP BY doc_id, win, n HAVING count(*) = n
+), close AS (
+  SELECT doc_id, win, n, count(DISTINCT word)
+    OVER (PARTITION BY doc_id, win ORDER BY p RANGE BETWEEN CURRENT ROW AND 25 FOLLOWING) AS together
+  FROM holding JOIN terms USING (win) JOIN places USING (doc_id, word)
+), near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n,
+    string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, win FROM close WHERE together = n) JOIN items USING (win) GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(met.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(words) AS contaminated
-FROM d LEFT JOIN words_hit h USING (doc_id) LEFT JOIN met USING (doc_id)
+  CAST(coalesce(met.n, 0) AS BIGINT) AS n_items, sha256(coalesce(met.ids, '')) AS items_sha256,
+  coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(words) AS contaminated,
+  CAST(coalesce(near.n, 0) AS BIGINT) AS n_near_items, sha256(coalesce(near.ids, '')) AS near_items_sha256
+FROM d LEFT JOIN words_hit h USING (doc_id) LEFT JOIN met USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 OP5 = r"""

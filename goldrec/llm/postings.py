@@ -7,11 +7,13 @@ frequent passage is spread over all segments that hold it.
 
 A phrase is looked up by its rarest word (counts over the whole index); the list of
 start positions is then intersected with the offset-adjusted list of the next rarest
-word, and so on. Proximity search starts from the rarest word as well.
+word, and so on. Proximity search starts from the rarest word as well: of every other
+word only the nearest places on both sides of it decide which windows are left.
 
 Defined results: a null text has no words; rows are judged one by one, equal rows
 alike; items without words match nothing; a null item id marks hits but is not
-listed; empty tables give no hits; columns other than key and text are not read.
+listed; items of one id or one text are all listed; empty tables give no hits; columns
+other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ from goldrec.plans.durable import durable
 WINDOW = 13
 SEGMENT_WORDS = 1 << 19
 #: Start positions that one step of an intersection holds at once.
-STARTS = 1 << 21
+STARTS = 1 << 19
+#: The widest proximity: where a window may begin is a set of bits in one long.
+MOST_NEAR = 62
 #: Bytes of benchmark text in one broadcast; a larger benchmark is searched in slices.
 SLICE_BYTES = 4 << 20
 
@@ -213,41 +217,83 @@ def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(first - before, size)
 
 
-def _occurrences(lists: _Lists, wanted: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Phrase numbers and start positions of exact occurrences, some phrases at a time."""
+def _candidates(lists: _Lists, wanted: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of phrases all whose words are there and the places of their rarest word,
+    some phrases at a time."""
     there = (wanted.terms_of < 0) | (lists.size[wanted.terms_of] > 0)
     rows = np.flatnonzero(there.all(axis=1))
     sizes = lists.size[wanted.terms_of[rows, 0]]
     part = (np.cumsum(sizes) - 1) // STARTS
     for p in np.unique(part):
         mine, n = rows[part == p], sizes[part == p]
-        phrase = np.repeat(mine, n)
         rarest = wanted.terms_of[mine, 0]
-        start = lists.entries[_spread(lists.first[rarest], n)] & 0xFFFFFFFF
-        start = start - wanted.offset_of[phrase, 0]
-        ok = start >= 0
+        yield np.repeat(mine, n), lists.entries[_spread(lists.first[rarest], n)] & 0xFFFFFFFF
+
+
+def _exact(
+    lists: _Lists, wanted: Phrases, phrase: np.ndarray, anchor: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase numbers and start positions of exact occurrences around the anchors."""
+    start = anchor - wanted.offset_of[phrase, 0]
+    ok = start >= 0
+    phrase, start = phrase[ok], start[ok]
+    for k in range(1, wanted.terms_of.shape[1]):
+        terms = wanted.terms_of[phrase, k]
+        ok = (terms < 0) | lists.has(np.maximum(terms, 0), start + wanted.offset_of[phrase, k])
         phrase, start = phrase[ok], start[ok]
-        for k in range(1, wanted.terms_of.shape[1]):
-            terms = wanted.terms_of[phrase, k]
-            ok = (terms < 0) | lists.has(np.maximum(terms, 0), start + wanted.offset_of[phrase, k])
-            phrase, start = phrase[ok], start[ok]
-        yield phrase, start
+    return phrase, start
 
 
-def phrase_hits(index: DataFrame, wanted: Phrases) -> DataFrame:
-    """Rows with exact matches: ``segment, ordinal``, the ``spans`` of hit words
-    (``[start, end)`` within the row) and the ``items`` that hold a matched phrase."""
+def _near(
+    lists: _Lists, starts: np.ndarray, wanted: Phrases, phrase: np.ndarray, anchor: np.ndarray, near: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases and anchors with all words of the phrase, in any order, within ``near``
+    neighbouring words of one row.
+
+    A window may begin 0 to ``near - 1`` words before the anchor. A word whose nearest
+    places are ``back`` before and ``ahead`` after the anchor bars the beginnings that lie
+    too late for the one and too early for the other: a run of bits.
+    """
+    own = np.searchsorted(starts, anchor, "right") - 1
+    room_back, room_ahead = anchor - starts[own], starts[own + 1] - anchor
+    barred = np.zeros(len(anchor), np.int64)
+    last = len(lists.entries) - 1
+    for k in range(1, wanted.terms_of.shape[1]):
+        terms = wanted.terms_of[phrase, k]
+        here = (np.maximum(terms, 0) << 32) | anchor
+        at = np.searchsorted(lists.entries, here)
+        ahead = lists.entries[np.minimum(at, last)] - here
+        ahead = np.where((ahead >= 0) & (ahead < room_ahead), np.minimum(ahead, near), near)
+        back = here - lists.entries[np.maximum(at - 1, 0)]
+        back = np.where((back >= 0) & (back <= room_back), np.minimum(back, near), near)
+        bits = (1 << back) - (1 << np.minimum(near - ahead, back))
+        barred |= np.where(terms < 0, 0, bits)
+        left = barred != (1 << near) - 1
+        phrase, anchor, barred = phrase[left], anchor[left], barred[left]
+        room_back, room_ahead = room_back[left], room_ahead[left]
+    return phrase, anchor
+
+
+def phrase_hits(index: DataFrame, wanted: Phrases, near: int = 0) -> DataFrame:
+    """Rows with matches: ``segment, ordinal``, the ``spans`` of words hit by exact ones
+    (``[start, end)`` within the row), the ``items`` that hold a phrase matched exactly and
+    ``near_items``, whose phrase has all its words, in any order, within ``near``
+    neighbouring words (0: none are looked for; at most 62)."""
+    if not 0 <= near <= MOST_NEAR:
+        raise ValueError(f"near must be 0 to {MOST_NEAR}")
     shared: Broadcast = index.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                hits = _hits(batch.slice(i, 1).to_pylist()[0], shared.value)
+                hits = _hits(batch.slice(i, 1).to_pylist()[0], shared.value, near)
                 if hits["ordinal"]:
                     yield pa.RecordBatch.from_pylist(_rows(hits), schema=_HITS)
 
     return index.drop("keys").mapInArrow(
-        run, "segment long, ordinal int, spans array<struct<s: long, e: long>>, items array<string>"
+        run,
+        "segment long, ordinal int, spans array<struct<s: long, e: long>>, "
+        "items array<string>, near_items array<string>",
     )
 
 
@@ -257,66 +303,81 @@ _HITS = pa.schema(
         ("ordinal", pa.int32()),
         ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
         ("items", pa.list_(pa.string())),
+        ("near_items", pa.list_(pa.string())),
     ]
 )
 
 
 def _rows(hits: dict) -> list[dict]:
     return [
-        {"segment": hits["segment"], "ordinal": o, "spans": hits["spans"][o], "items": sorted(hits["items"][o])}
+        {
+            "segment": hits["segment"],
+            "ordinal": o,
+            "spans": hits["spans"].get(o, []),
+            "items": sorted(hits["items"].get(o, ())),
+            "near_items": sorted(hits["near_items"].get(o, ())),
+        }
         for o in hits["ordinal"]
     ]
 
 
-def _hits(row: dict, wanted: Phrases) -> dict:
+def _hits(row: dict, wanted: Phrases, near: int) -> dict:
     starts = _starts(row["sizes"])
     lists = _Lists(wanted.terms, row)
     mark = np.zeros(int(starts[-1]), bool)
     items: dict[int, set[str]] = {}
+    near_items: dict[int, set[str]] = {}
+
+    def note(found: dict[int, set[str]], phrase: np.ndarray, at: np.ndarray) -> None:
+        holder = np.searchsorted(starts, at, "right") - 1
+        for pair in np.unique(holder * len(wanted.items) + phrase):
+            o, p = divmod(int(pair), len(wanted.items))
+            found.setdefault(o, set()).update(wanted.items[p])
+
     if len(lists.entries):
-        for phrase, start in _occurrences(lists, wanted):
+        for phrase, anchor in _candidates(lists, wanted):
+            if near:
+                close = _near(lists, starts, wanted, phrase, anchor, near)
+                note(near_items, *close)
+                if near >= wanted.terms_of.shape[1]:  # then exact matches are among the near ones
+                    phrase, anchor = close
+            phrase, start = _exact(lists, wanted, phrase, anchor)
             mark |= covered(start, wanted.length[phrase], len(mark))
-            holder = np.searchsorted(starts, start, "right") - 1
-            for pair in np.unique(holder * len(wanted.items) + phrase):
-                o, p = divmod(int(pair), len(wanted.items))
-                items.setdefault(o, set()).update(wanted.items[p])
+            note(items, phrase, start)
     spans: dict[int, list[dict]] = {}
     first, last = runs_of(mark)
     for s, e, o in zip(first, last, np.searchsorted(starts, first, "right") - 1, strict=True):
         spans.setdefault(int(o), []).append({"s": int(s - starts[o]), "e": int(e - starts[o])})
-    return {"segment": row["segment"], "ordinal": sorted(spans), "spans": spans, "items": items}
+    ordinal = sorted(spans.keys() | near_items.keys())
+    return {"segment": row["segment"], "ordinal": ordinal, "spans": spans, "items": items, "near_items": near_items}
 
 
 # ---- proximity ------------------------------------------------------------
 
 
-def near_matches(index: DataFrame, texts: list[tuple[object, str]], width: int) -> DataFrame:
+def near_matches(index: DataFrame, texts: list[tuple[object, str | None]], width: int) -> DataFrame:
     """``segment, ordinal, item, position`` where all distinct words of a text stand, in
     any order, within ``width`` neighbouring words; position: of the rarest word."""
-    wanted = {str(item): sorted(set(words_of(text))) for item, text in texts}
-    terms = sorted({w for words in wanted.values() for w in words})
-    counts = dict(zip(terms, term_counts(index, terms), strict=True))
-    place = {w: i for i, w in enumerate(terms)}
-    by_rarity = {
-        item: [place[w] for w in sorted(words, key=lambda w: (counts[w], w))]
-        for item, words in wanted.items()
-        if words
-    }
-    shared = index.sparkSession.sparkContext.broadcast((terms, by_rarity))
+    if not 0 < width <= MOST_NEAR:
+        raise ValueError(f"width must be 1 to {MOST_NEAR}")
+    longest = max((len(words_of(text)) for _, text in texts), default=0)
+    shared = index.sparkSession.sparkContext.broadcast(phrases(index, texts, max(longest, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, items = shared.value
+        wanted = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                lists, starts = _Lists(names, row), _starts(row["sizes"])
-                for item, numbers in items.items():
-                    at = _near(lists, starts, numbers, width)
+                lists, starts = _Lists(wanted.terms, row), _starts(row["sizes"])
+                for phrase, anchor in _candidates(lists, wanted) if len(lists.entries) else ():
+                    phrase, at = _near(lists, starts, wanted, phrase, anchor, width)
                     own = np.searchsorted(starts, at, "right") - 1
+                    items = pa.array([wanted.items[p] for p in phrase], pa.list_(pa.string()))
+                    of = pc.list_parent_indices(items).to_numpy()
                     out = {
-                        "segment": pa.array([row["segment"]] * len(at), pa.int64()),
-                        "ordinal": pa.array(own.astype(np.int32)),
-                        "item": pa.array([item] * len(at), pa.string()),
-                        "position": pa.array(at - starts[own]),
+                        "segment": pa.array([row["segment"]] * len(of), pa.int64()),
+                        "ordinal": pa.array(own[of].astype(np.int32)),
+                        "item": items.flatten(),
+                        "position": pa.array((at - starts[own])[of]),
                     }
                     yield pa.RecordBatch.from_pydict(out)
 
@@ -324,23 +385,6 @@ def near_matches(index: DataFrame, texts: list[tuple[object, str]], width: int)
     return index.drop("keys").mapInArrow(run, schema)
 
 
-def _near(lists: _Lists, starts: np.ndarray, terms: list[int], width: int) -> np.ndarray:
-    if not lists.size[terms].all():
-        return np.empty(0, np.int64)
-    anchor = lists.of(terms[0])
-    own = np.searchsorted(starts, anchor, "right") - 1
-    low, high = starts[own], starts[own + 1]
-    found = np.zeros(len(anchor), bool)
-    for back in range(width):  # windows by where they start before the rarest word
-        left = np.flatnonzero(~found & (anchor - back >= low))
-        for term in terms[1:]:
-            place, begin = lists.of(term), anchor[left] - back
-            at = place[np.minimum(np.searchsorted(place, begin), len(place) - 1)]
-            left = left[(at >= begin) & (at < np.minimum(begin + width, high[left]))]
-        found[left] = True
-    return anchor[found]
-
-
 # ---- contamination --------------------------------------------------------
 
 
@@ -352,9 +396,12 @@ def contamination(
     item: str = "item_id",
     window: int = WINDOW,
     percent: int = 5,
+    near: int = 0,
 ) -> DataFrame:
     """Per row of ``docs``: ``n_words``, ``n_hit`` words inside windows of the benchmark,
-    the sorted ``items`` met, and ``contaminated``: at least ``percent`` of the words hit."""
+    the sorted ``items`` met, and ``contaminated``: at least ``percent`` of the words hit.
+    ``near_items``: with a window of which all words stand, in any order, within ``near``
+    neighbouring words (0: not looked for); they do not make a row contaminated."""
     index = build_index(docs, key, text)
     test = benchmark.select(benchmark[item].alias("item"), benchmark["text"].alias("text"))
     n_bytes = test.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -363,19 +410,20 @@ def contamination(
     hits = None
     for i in range(slices):
         texts = [tuple(r) for r in test.filter(part == i).collect()]  # about SLICE_BYTES
-        found = phrase_hits(index, phrases(index, texts, window))
+        found = phrase_hits(index, phrases(index, texts, window), near)
         hits = found if hits is None else hits.unionByName(found)
     rows = indexed_rows(index)
-    empty = F.array().cast("array<struct<s: long, e: long>>"), F.array().cast("array<string>")
+    kinds = {"spans": "array<struct<s: long, e: long>>", "items": "array<string>", "near_items": "array<string>"}
+    empty = {c: F.array().cast(kind) for c, kind in kinds.items()}
     if hits is None:
-        rows = rows.select("*", empty[0].alias("spans"), empty[1].alias("items"))
+        rows = rows.withColumns(empty)
     else:
         if slices > 1:
-            both = (F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("spans", "items"))
+            both = (F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in kinds)
             hits = hits.groupBy("segment", "ordinal").agg(*both)
-        rows = rows.join(hits, ["segment", "ordinal"], "left").withColumns(
-            {"spans": F.coalesce("spans", empty[0]), "items": F.array_distinct(F.coalesce("items", empty[1]))}
-        )
+        rows = rows.join(hits, ["segment", "ordinal"], "left")
+        rows = rows.withColumns({c: F.coalesce(c, e) for c, e in empty.items()})
+        rows = rows.withColumns({c: F.array_distinct(c) for c in ("items", "near_items")})
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
     n_hit = F.aggregate(
         "spans",
@@ -386,8 +434,9 @@ def contamination(
         ),
         lambda a: a["n"],
     )
+    lists = (F.array_sort(c).alias(c) for c in ("items", "near_items"))
     return rows.select(
-        F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), F.array_sort("items").alias("items")
+        F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), *lists
     ).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent)
     )

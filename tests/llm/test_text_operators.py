@@ -90,10 +90,10 @@ def test_contamination(spark, docs_of, monkeypatch, slice_bytes):
                     hit |= set(range(i, i + n))
                     met |= {str(x) for x in windows[tuple(words[i : i + n])] if x is not None}
         bad = bool(hit) and 20 * len(hit) >= len(words)
-        want.append((key, len(words), len(hit), sorted(met), bad))
+        want.append((key, len(words), len(hit), sorted(met), [], bad))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     kept = postings.drop_contaminated(docs_of(rows), bench)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(w[0]) for w in want if not w[4])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(w[0]) for w in want if not w[5])
     empty = postings.contamination(docs_of(rows), bench.limit(0))
     assert {(r.n_hit, r.contaminated) for r in empty.collect()} == {(0, False)}
     assert postings.contamination(docs_of([]), bench).count() == 0
@@ -107,6 +107,32 @@ def test_proximity(docs_of):
     assert sorted((keys[r.segment, r.ordinal], r.item) for r in near.collect()) == [(1, "7"), (2, "7")]
 
 
+@pytest.mark.parametrize(("near", "slice_bytes"), [(4, 1 << 20), (17, 100), (26, 1 << 20), (62, 1 << 20)])
+def test_proximity_by_brute_force(spark, docs_of, monkeypatch, near, slice_bytes):
+    monkeypatch.setattr(postings, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(postings, "SEGMENT_WORDS", 700)
+    monkeypatch.setattr(postings, "STARTS", 64)
+    letters = [f"v{i}" for i in range(25)]
+    passage = prose(40, letters)
+    items = [(1, passage), (2, "v1 v1 v2"), (3, None), (4, "v3"), (5, "v4 none"), (1, prose(14, letters)), (None, "v5 v6")]
+    items += [(6, "v1 v1 v2")]
+    words = passage.split()
+    rows = [(i, prose(20 + 7 * i, letters)) for i in range(40)]
+    rows += [(50, " ".join(reversed(words[:13]))), (51, " x ".join(words[:13])), (52, passage), (53, None), (53, "v2 y v1")]
+    got = postings.contamination(docs_of(rows), spark.createDataFrame(items, "item_id long, text string"), near=near)
+    want = []
+    for key, text in rows:
+        own, met = bench_words(text), set()
+        for item, other in items:
+            of = bench_words(other)
+            for i in range(max(len(of) - 13, 0) + 1 if of and item is not None else 0):
+                window = set(of[i : i + 13])
+                if any(window <= set(own[s : s + near]) for s in range(len(own))):
+                    met.add(str(item))
+        want.append((key, sorted(met)))
+    assert sorted((r.doc_id, r.near_items) for r in got.collect()) == sorted(want)
+
+
 def simhash_of(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", lower)
