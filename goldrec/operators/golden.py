@@ -448,7 +448,7 @@ def _chunked(rows: DataFrame, hot: HotKeys, cfg: MasteringConfig) -> tuple[DataF
     """Rows of hot customers with ``chunk`` and the previous source and time handed
     over from earlier chunks; also one row per chunk."""
     clock = "event_ts" if cfg.clock == "event" else "processed_at"
-    rows = durable(assign_chunks(rows, hot, "event_ts"))
+    rows = durable(assign_chunks(rows, hot, "event_ts", then="event_id"))
     order = F.struct(*ORDER)
     vouched = _vouched_fields(cfg)
     chunks = rows.groupBy(KEY, "chunk").agg(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from goldrec.config import FieldRule, MasteringConfig
 from goldrec.operators import golden
+from goldrec.plans.chunks import assign_chunks
+from goldrec.plans.skew import find_hot_keys
 from tests import brute
 
 TRUSTED = FieldRule("TRUSTED_SOURCE", trusted=("BANK", "GOVERNMENT"))
@@ -271,3 +273,28 @@ def test_few_phones_settle_at_once_whatever_the_chunks(spark, hot_limit, monkeyp
         assert got == expected(rows, MasteringConfig())
         counts.append(len(stored))
     assert counts[0] == counts[1] <= 4
+
+
+@pytest.mark.parametrize("name", ["default", "field provenance", "append", "keep first"])
+def test_a_customer_with_all_events_at_one_time(spark, hot_limit, name):
+    """Ten times the limit under one key and one timestamp: bounded chunks in order of the
+    event id, and the rows of the event-by-event fold."""
+    hot_limit(30)
+    cfg, rnd, at = CONFIGS[name], random.Random(5), brute.START
+    rows = [
+        (i, "123456789012", rnd.choice(["a", "b", None]), rnd.choice(["x", "y"]), rnd.choice("0123456"),
+         rnd.choice(["CRM", "BANK", "WEB"]), at, at)
+        for i in range(300)
+    ]
+    rows += [(1000 + i, "123456789012", "z", None, None, "CRM", at + brute.timedelta(seconds=i + 1), at) for i in range(40)]
+    rows += [(2000 + i, f"{i % 20:012d}", "n", None, "1", "CRM", at, at) for i in range(100)]
+    events = golden.prepare(frame(spark, rows))
+    chunks = assign_chunks(events, find_hot_keys(events, "national_id", limit=30), "event_ts", then="event_id")
+    spans = chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    spans = spans.orderBy("chunk").collect()
+    assert sum(s.n for s in spans) == 340 and max(s.n for s in spans) < 60 and len(spans) > 5
+    assert all(a.hi < b.lo for a, b in zip(spans, spans[1:]))
+    assert golden_rows(golden.golden_record(frame(spark, rows), cfg)) == expected(rows, cfg)
+    got = {r.event_id: (r.name_after, r.email_after, tuple(r.phones_after), r.version)
+           for r in golden.golden_trace(frame(spark, rows), cfg).collect()}
+    assert got == {e: brute.as_row(s)[:4] for _, e, s in brute.fold(rows, cfg)[1]}
