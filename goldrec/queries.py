@@ -13,9 +13,9 @@ from goldrec.functions import phones as P
 from goldrec.functions import similarity as S
 from goldrec.functions import text as T
 from goldrec.operators import dedup, dlq, golden, idempotency, ingest, match, read, slo
-from goldrec.plans.durable import durable
+from goldrec.plans.durable import durable, work_path
 from goldrec.sources import fixtures as fx
-from goldrec.sources import raw_events, requests
+from goldrec.sources import names, raw_events, requests, tables
 from goldrec.sources.snapshot import golden_snapshot
 from goldrec.streaming import jobs as streams
 
@@ -380,6 +380,17 @@ def golden_upsert(spark, sf):
     return _golden_out(golden.golden_upsert(snapshot, events.filter(F.col("event_ts") >= split)))
 
 
+@query
+def golden_upsert_stored(spark, sf):
+    """The same two halves as two batches of a stored golden table."""
+    root = work_path(spark, "golden-store")
+    events = durable(_accepted(spark, sf), "raw")
+    split = F.lit(SPLIT_AT).cast("timestamp_ntz")
+    tables.upsert_golden(spark, root, events.filter(F.col("event_ts") < split), 0)
+    tables.upsert_golden(spark, root, events.filter(F.col("event_ts") >= split), 1)
+    return _golden_out(tables.current_golden(spark, root))
+
+
 @query
 def golden_trace(spark, sf):
     return _trace(spark, sf).select(
@@ -606,6 +617,15 @@ def search_by_name(spark, sf):
     return read.search_by_name(_snapshot(spark, sf), "JON", page=0, size=50)
 
 
+@query
+def search_by_name_indexed(spark, sf):
+    root = work_path(spark, "names")
+    rows = _snapshot(spark, sf)
+    tables.golden_store(spark, root).write(rows, 0)
+    names.index_names(spark, root, rows, 0)
+    return names.search_indexed(spark, root, "JON", page=0, size=50)
+
+
 @query
 def exists_by_national_id(spark, sf):
     wanted = fx.golden_contacts(spark, sf).select("national_id")
@@ -715,6 +735,10 @@ _log_query(
     lambda log: slo.latency_histogram(log, C.LOOKUP_BUCKETS_MS),
 )
 _log_query("latency_quantiles", lambda log: slo.latency_quantiles(log, "1 hour"))
+_log_query(
+    "latency_quantiles_sketched",
+    lambda log: slo.sketch_quantiles(durable(slo.latency_sketches(log), "sketches"), "1 day"),
+)
 _log_query("slo_status", slo.slo_status)
 _log_query("slo_by_window", slo.slo_by_window)
 _log_query(

@@ -15,19 +15,19 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from goldrec.operators import idempotency
 from goldrec.plans.durable import durable, scratch
-from goldrec.sources.tables import read_table, write_batch
+from goldrec.sources.store import Store
+from goldrec.sources.tables import write_batch
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 REARM_OUTPUT = "key_hash string, event_id bigint, event_us bigint, result string"
 
 
-def stored_keys(keyed: DataFrame, batch_id: int, root: str) -> DataFrame:
-    """The keys that batches before ``batch_id`` stored."""
+def keys_store(keyed: DataFrame, root: str) -> Store:
+    """The stored keys, for requests of the types of ``keyed``."""
     types = dict(keyed.dtypes)
     schema = ", ".join(
         f"{column} {kind}"
@@ -40,16 +40,18 @@ def stored_keys(keyed: DataFrame, batch_id: int, root: str) -> DataFrame:
             ("expires_at", types["event_ts"]),
         )
     )
-    return read_table(keyed.sparkSession, root, "keys", schema).filter(F.col("batch_id") < batch_id)
+    return Store(keyed.sparkSession, f"{root}/keys", "key_hash", schema)
 
 
 def idem_batch(keyed: DataFrame, batch_id: int, root: str) -> None:
     """Classify one micro-batch and store its new keys, both under the batch id."""
-    stored = stored_keys(keyed, batch_id, root)
     with scratch(keyed.sparkSession):
         rows = durable(keyed)
+        store = keys_store(rows, root)
+        store.merge(batch_id)
+        stored = durable(store.matching(rows, batch_id), "stored")
         write_batch(idempotency.classify(rows, stored=stored), root, "classified", batch_id)
-        write_batch(idempotency.keys_table(rows, stored), root, "keys", batch_id)
+        store.write(idempotency.keys_table(rows, stored), batch_id)
 
 
 def idem_stream(keyed: DataFrame, root: str, checkpoint: str) -> StreamingQuery:

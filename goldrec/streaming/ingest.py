@@ -11,7 +11,7 @@ from goldrec.operators import idempotency, ingest
 from goldrec.plans.durable import durable, scratch
 from goldrec.sources.raw_events import raw_records
 from goldrec.sources.tables import write_batch
-from goldrec.streaming.idem import stored_keys
+from goldrec.streaming.idem import keys_store
 
 
 def all_replies(classified: DataFrame, invalid: DataFrame) -> DataFrame:
@@ -33,13 +33,15 @@ def ingest_batch(requests: DataFrame, batch_id: int, root: str, ttl_factor: int
         checked = durable(ingest.check_requests(requests), "checked")
         invalid = checked.filter(F.col("reason").isNotNull())
         keyed = idempotency.with_idem_key(checked.filter(F.col("reason").isNull()).drop("reason"), ttl_factor)
-        stored = stored_keys(keyed, batch_id, root)
+        store = keys_store(keyed, root)
+        store.merge(batch_id)
+        stored = durable(store.matching(keyed, batch_id), "stored")
         classified = durable(idempotency.classify(keyed, stored=stored), "classified")
         write_batch(raw_records(idempotency.accepted(classified)), root, "raw_events", batch_id)
         write_batch(invalid, root, "quarantine", batch_id)
         write_batch(all_replies(classified, invalid), root, "replies", batch_id)
         # Last: a stored key means that its request is published.
-        write_batch(idempotency.keys_table(keyed, stored), root, "keys", batch_id)
+        store.write(idempotency.keys_table(keyed, stored), batch_id)
 
 
 def ingest_stream(requests: DataFrame, root: str, checkpoint: str, ttl_factor: int = 1) -> StreamingQuery:

@@ -14,7 +14,7 @@ from goldrec.operators import dlq, golden
 from goldrec.operators.dedup import dedup_event_id
 from goldrec.plans.durable import durable, scratch
 from goldrec.sources.raw_events import raw_audit
-from goldrec.sources.tables import current_golden, read_table, write_batch
+from goldrec.sources.tables import golden_store, seen_store, write_batch
 
 
 def master_batch(
@@ -29,21 +29,23 @@ def master_batch(
 def _master_batch(events: DataFrame, batch_id: int, root: str, cfg: MasteringConfig) -> None:
     spark = events.sparkSession
     id_type = dict(events.dtypes)["event_id"]
-    stored = read_table(spark, root, "raw", f"event_id {id_type}").filter(
-        F.col("batch_id") < batch_id
-    )
-    fresh = durable(dlq.check_mastering(dedup_event_id(events, stored)))
+    seen, known = seen_store(spark, root, id_type), golden_store(spark, root)
+    seen.merge(batch_id)
+    known.merge(batch_id)
+    events = durable(events, "batch")
+    fresh = durable(dlq.check_mastering(dedup_event_id(events, seen.matching(events, batch_id))))
     good = fresh.filter(F.col("error_type").isNull()).drop("error_type", "error_message")
     ids = good.select(norm_national_id(F.col("national_id")).alias("national_id")).distinct()
-    touched = current_golden(spark, root, batch_id, ids)
+    touched = known.matching(ids, batch_id)
     trace = durable(golden.golden_trace(good, cfg, touched))
-    write_batch(golden.golden_from_trace(trace), root, "golden", batch_id)
+    known.write(golden.golden_from_trace(trace), batch_id)
     write_batch(golden.mastered_events(trace), root, "mastered", batch_id)
     conflicts = golden.field_conflicts(trace, cfg)
     write_batch(golden.conflict_log(conflicts), root, "conflicts", batch_id)
     write_batch(fresh.filter(F.col("error_type").isNotNull()), root, "dlq", batch_id)
-    # Last: once an event is listed as stored, its effects are all written.
     write_batch(raw_audit(fresh.drop("error_type", "error_message")), root, "raw", batch_id)
+    # Last: once an event is listed as seen, its effects are all written.
+    seen.write(fresh.select("event_id"), batch_id)
 
 
 def master_stream(

@@ -175,3 +175,22 @@ def test_mastering_rejects_blank_ids_and_long_values(spark):
     df = spark.createDataFrame(rows, "event_id int, national_id string, name string, email string, phone string, source_system string")
     got = {r.event_id: r.error_type for r in dlq.mastering_errors(df).collect()}
     assert got == {1: "BUSINESS", 2: "BUSINESS", 3: "PERMANENT"}
+
+
+def test_sketched_quantiles_have_the_rank_asked_for(spark):
+    """Over merged sketches of six-minute windows; three times the error that 99 % of
+    sketches keep to, as sketches are random."""
+    rows = spark.range(40000).select(
+        (F.lit(brute.START) + F.make_dt_interval(secs=F.col("id") * 3)).cast("timestamp_ntz").alias("event_ts"),
+        F.when(F.col("id") % 7 != 0, F.pmod(F.xxhash64("id"), F.lit(5000)) * (F.col("id") % 3)).alias("latency_ms"),
+    )
+    sketches = slo.latency_sketches(rows, "6 minutes")
+    got = slo.sketch_quantiles(sketches, "1 day").collect()
+    assert sum(r.n for r in got) == rows.filter("latency_ms is not null").count() and len(got) == 2
+    day = F.date_trunc("day", "event_ts").cast("timestamp_ntz")
+    for r in got:
+        values = rows.filter((day == r.window_start) & F.col("latency_ms").isNotNull())
+        for q, v in ((0.50, r.p50), (0.95, r.p95), (0.99, r.p99)):
+            low, high = values.agg(F.avg((F.col("latency_ms") < v).cast("int")), F.avg((F.col("latency_ms") <= v).cast("int"))).first()
+            assert low - 3 * slo.SKETCH_ERROR <= q <= high + 3 * slo.SKETCH_ERROR
+    assert slo.latency_sketches(rows.filter("latency_ms is null")).count() == 0
