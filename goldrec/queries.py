@@ -16,7 +16,7 @@ from goldrec.operators import dedup, dlq, golden, idempotency, ingest, match, re
 from goldrec.plans.durable import durable, work_path
 from goldrec.sources import fixtures as fx
 from goldrec.sources import names, raw_events, requests, tables
-from goldrec.sources.snapshot import golden_snapshot
+from goldrec.sources.snapshot import folder_state, golden_snapshot
 from goldrec.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,12 +62,13 @@ def _golden(spark: SparkSession, sf: str, cfg: MasteringConfig = MasteringConfig
     return golden.golden_record(events, cfg, sizes=_valid(spark, sf), bound=source)
 
 
-_SNAPSHOTS: dict[tuple[str, str], DataFrame] = {}
+_SNAPSHOTS: dict[tuple, DataFrame] = {}
 
 
 def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    """The golden table as the read side sees it: written once per application and folder."""
-    key = spark.sparkContext.applicationId, sf
+    """The golden table as the read side sees it: written once per application and
+    state of the folder."""
+    key = spark.sparkContext.applicationId, sf, folder_state(spark, sf)
     if key not in _SNAPSHOTS:
         _SNAPSHOTS[key] = golden_snapshot(_golden(spark, sf))
     return _SNAPSHOTS[key]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from goldrec.plans.durable import work_path
 
@@ -28,3 +28,11 @@ def golden_snapshot(golden: DataFrame) -> DataFrame:
     path = work_path(spark, "golden-snapshot")
     write_snapshot(golden, path)
     return spark.read.schema(golden.schema).parquet(path)
+
+
+def folder_state(spark: SparkSession, folder: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of everything in a folder; differs after a rewrite."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))

@@ -5,6 +5,7 @@ import shutil
 import subprocess
 import sys
 
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry_file
@@ -52,3 +53,11 @@ def test_entry_without_the_optional_part(tmp_path):
             path.unlink()
         out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True)
         assert out.stdout.split() == [str(len(QUERIES)), str(len(SQL))]
+
+
+def test_a_rewritten_folder_is_read_again(spark, tmp_path):
+    copy = tmp_path / "sf"
+    shutil.copytree(SF, copy)
+    before = QUERIES["customer_count"](spark, str(copy)).first().customers
+    pq.write_table(pq.read_table(f"{SF}/events.parquet").slice(0, 50), copy / "events.parquet")
+    assert 0 < QUERIES["customer_count"](spark, str(copy)).first().customers < before
