@@ -32,6 +32,14 @@ def test_text_cleaning(spark):
     assert values(spark, ["abcd", "abc", None], T.truncate_text(col(A), 3)) == ["abc...", "abc", None]
 
 
+def test_truncation_counts_no_more_than_it_may_keep(spark):
+    texts = ["a" * 12, "a" * 13, "é" * 4, "𝄞" * 3, "𝄞" * 4, "a𝄞é日b", "日" * 5, "", None, "ab\U0001f600" * 9]
+    want = [t if t is None or len(t) <= 3 else t[:3] + "..." for t in texts]
+    cut = T.truncate_text(F.col(A), 3)
+    assert values(spark, texts, cut) == want
+    assert f"length({A})" not in str(cut).replace(f"octet_length({A})", "")
+
+
 def test_nfc_agrees_with_the_unicode_tables(spark):
     texts = ["plain", "é", "Å", "가", "ñö", "̈́", "日本", None, ""]
     want = [t if t is None else unicodedata.normalize("NFC", t) for t in texts]
