@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 
 from goldrec.operators import dlq, read, slo
 from goldrec.operators.golden import golden_record
+from goldrec.queries import QUERIES, _failed
+from goldrec.sources import fixtures as fx
 from tests import brute
 from tests.brute import START
 
+SF = "/root/testdata/sf0.001"
 LOG = (
     "event_id bigint, event_ts timestamp_ntz, processed_at timestamp_ntz, latency_ms double, "
     "ok boolean, is_duplicate boolean, action string"
@@ -62,6 +65,21 @@ def test_dlq_record_round_trip(spark):
     assert again[None].reason.startswith("No original")
 
 
+@pytest.mark.parametrize("name", ["dlq_events", "dlq_reprocess", "sink_dlq"])
+def test_messages_are_made_after_the_join_of_failed_events(spark, name):
+    """A long message is neither broadcast nor shuffled; the work on it has many tasks."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("repeat(x") == 1
+    assert plan.index("repeat(x") < plan.index("RepartitionByExpression") < plan.index("Join ")
+
+
+def test_failed_events_have_the_messages_of_the_errors(spark):
+    want = {(r.event_id, r.message) for r in fx.errors(spark, SF).collect()}
+    failed = _failed(spark, SF)
+    assert set(failed.columns) >= set(fx.errors(spark, SF).columns)
+    assert {(r.event_id, r.message) for r in failed.collect()} == want
+
+
 def test_dlq_rate_of_98_good_and_2_dead(spark):
     row = dlq.dlq_rate(log(spark, [(i, 1, i >= 2, False) for i in range(100)])).first()
     assert row.dlq_rate == 2.0
