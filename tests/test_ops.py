@@ -80,6 +80,11 @@ def test_failed_events_have_the_messages_of_the_errors(spark):
     assert {(r.event_id, r.message) for r in failed.collect()} == want
 
 
+def test_sink_dlq_reads_its_value_once(spark):
+    plan = QUERIES["sink_dlq"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 0 and plan.count("from_json") + plan.count("JsonToStructs") == 1
+
+
 def test_dlq_rate_of_98_good_and_2_dead(spark):
     row = dlq.dlq_rate(log(spark, [(i, 1, i >= 2, False) for i in range(100)])).first()
     assert row.dlq_rate == 2.0
