@@ -3,28 +3,24 @@
 Without re-arming, a request's class depends on its key's first request only, so
 each micro-batch is classified by the batch operators against the stored keys;
 a key that fills a micro-batch is handled as it is in a batch. With re-arming
-the accepted requests form a chain per key, kept as a small state in RocksDB; a
-key's rows of one micro-batch meet in one task, so the trigger must bound the
-micro-batch (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
+the accepted requests form a chain per key, of which the stored state is the
+expiry. A micro-batch folds it over its requests inside Spark: a call of a Python
+state processor cost some milliseconds a key. A key's rows of one micro-batch meet
+in one task, so the trigger must bound the micro-batch (``maxFilesPerTrigger``,
+``maxBytesPerTrigger``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from goldrec.operators import idempotency
 from goldrec.plans.durable import durable, scratch
 from goldrec.sources.store import Store
 from goldrec.sources.tables import write_batch
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-REARM_OUTPUT = "key_hash string, event_id bigint, event_us bigint, result string"
-
 
 def keys_store(keyed: DataFrame, root: str) -> Store:
     """The stored keys, for requests of the types of ``keyed``."""
@@ -64,41 +60,62 @@ def idem_stream(keyed: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def _rearm_state() -> StatefulProcessor:
-    """The processor is made inside a function so that it travels to the workers by
-    value and they need no installed package."""
+def expiry_store(keyed: DataFrame, root: str) -> Store:
+    """When each key expires; an accepted request only moves that on."""
+    schema = "key_hash string, expires_us bigint"
+    latest = lambda rows: rows.groupBy("key_hash").agg(F.max("expires_us").alias("expires_us"))
+    return Store(keyed.sparkSession, f"{root}/expiry", "key_hash", schema, latest)
+
 
-    class RearmState(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("expiry", "expires_us bigint")
+def _fold_requests() -> Column:
+    """``expires_us`` and the places (from 0) in ``reqs`` of the accepted requests."""
+    start = F.struct(F.col("expires_us"), F.array().cast("array<int>").alias("kept"))
 
-        def handleInputRows(
-            self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-        ) -> Iterator[pd.DataFrame]:
-            batch = pd.concat(list(rows)).sort_values(["event_us", "event_id"], ignore_index=True)
-            expires = self.state.get()[0] if self.state.exists() else None
-            results = []
-            for us, ttl in zip(batch["event_us"], batch["ttl_us"]):
-                new = expires is None or us > expires
-                results.append("HIT" if not new else "MISS" if expires is None else "EXPIRED")
-                if new:
-                    expires = int(us + ttl)
-            self.state.update((expires,))
-            yield batch[["key_hash", "event_id", "event_us"]].assign(result=results)
+    def step(state: Column, req: Column) -> Column:
+        new = state["expires_us"].isNull() | (req["event_us"] > state["expires_us"])
+        moved = F.struct(
+            (req["event_us"] + req["ttl_us"]).alias("expires_us"),
+            F.concat(state["kept"], F.array(req["place"])).alias("kept"),
+        )
+        return F.when(new, moved).otherwise(state)
+
+    placed = F.transform("reqs", lambda r, i: r.withField("place", i))
+    return F.aggregate(placed, start, step)
 
-        def close(self) -> None:
-            pass
 
-    return RearmState()
+def rearm(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row per key of ``rows``: its requests in time order as ``reqs``, the expiry that it
+    had as ``before``, and ``after``, the expiry and the places of the accepted requests."""
+    order = (F.col("event_us"), F.col("event_id").isNull().alias("no_id"), F.col("event_id"), F.col("ttl_us"))
+    grouped = rows.groupBy("key_hash").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("reqs"))
+    folded = grouped.join(stored, "key_hash", "left").withColumn("after", _fold_requests())
+    return folded.withColumnRenamed("expires_us", "before")
 
 
-def rearm_stream(keyed: DataFrame) -> DataFrame:
-    """Streaming classes with re-arming: the state is a key's expiry, moved on by
-    every accepted request. Requests of a micro-batch are taken in time order.
+def rearm_batch(keyed: DataFrame, batch_id: int, root: str) -> None:
+    """Classes of one micro-batch and the new expiries of its keys, under the batch id."""
+    with scratch(keyed.sparkSession):
+        rows = durable(keyed)
+        store = expiry_store(rows, root)
+        store.merge(batch_id)
+        folded = durable(rearm(rows, store.matching(rows, batch_id)), "rearmed")
+        first = F.col("before").isNull() & (F.col("place") == 0)
+        kept = F.array_contains("after.kept", F.col("place"))
+        result = F.when(~kept, "HIT").when(first, "MISS").otherwise("EXPIRED")
+        requests = folded.select("key_hash", "before", "after", F.posexplode("reqs").alias("place", "r"))
+        classes = requests.select("key_hash", "r.event_id", "r.event_us", result.alias("result"))
+        write_batch(classes, root, "rearmed", batch_id)
+        moved = folded.filter(F.size("after.kept") > 0)
+        store.write(moved.select("key_hash", "after.expires_us"), batch_id)
+
+
+def rearm_stream(keyed: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Start classifying with re-arming: the state is a key's expiry, moved on by every
+    accepted request and stored by key. Requests of a micro-batch are taken in time order.
     Input: ``key_hash, event_id, event_us, ttl_us``."""
-    return keyed.groupBy("key_hash").transformWithStateInPandas(
-        statefulProcessor=_rearm_state(),
-        outputStructType=REARM_OUTPUT,
-        outputMode="Append",
-        timeMode="None",
+    return (
+        keyed.writeStream.foreachBatch(lambda df, batch_id: rearm_batch(df, batch_id, root))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )

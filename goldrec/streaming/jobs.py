@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from goldrec.plans.durable import work_path
+from goldrec.plans.durable import durable, work_path
 from goldrec.sources.raw_events import raw_records, read_raw, stream_raw
 from goldrec.sources.requests import FIELDS, stream_requests
 from goldrec.sources.tables import current_golden
-from goldrec.streaming.idem import STATE_STORE, idem_stream, rearm_stream
+from goldrec.streaming.idem import idem_stream, rearm_stream
 from goldrec.streaming.ingest import ingest_stream
 from goldrec.streaming.master import master_stream
 from goldrec.streaming.sli import sli_stream
@@ -31,7 +28,9 @@ def _drain(query: StreamingQuery) -> None:
 
 
 def write_slices(df: DataFrame, path: str, slices: int, ts: str) -> None:
-    """Write ``df`` cut by time into ``slice=0..`` folders, in one pass."""
+    """Write ``df`` cut by time into ``slice=0..`` folders. It is computed once: the borders
+    are taken from its stored rows."""
+    df = durable(df, "unsliced")
     low, high = df.agg(F.min(_micros(ts)), F.max(_micros(ts))).first()
     number = F.floor((_micros(ts) - low) * slices / F.lit(high - low + 1)).cast("int")
     df.withColumn("slice", number).write.partitionBy("slice").parquet(path)
@@ -69,20 +68,6 @@ def run_idem_stream(spark: SparkSession, keyed: DataFrame, slices: int = 3) -> D
     return spark.read.parquet(f"{path}/classified").drop("batch_id")
 
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A session setting that is put back afterwards."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def run_rearm_stream(spark: SparkSession, keyed: DataFrame, slices: int = 2) -> DataFrame:
     """Accepted requests of the re-arming stream."""
     path = work_path(spark, "rearm-stream")
@@ -95,20 +80,12 @@ def run_rearm_stream(spark: SparkSession, keyed: DataFrame, slices: int = 2) ->
     )
     write_slices(rows, f"{path}/slices", slices, "event_ts")
     rows = rows.drop("event_ts")
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", STATE_STORE):
-        for i in range(slices):
-            part = spark.read.schema(rows.schema).parquet(f"{path}/slices/slice={i}")
-            part.write.mode("append").parquet(f"{path}/in")
-            stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
-            _drain(
-                rearm_stream(stream)
-                .writeStream.format("parquet")
-                .option("path", f"{path}/out")
-                .option("checkpointLocation", f"{path}/checkpoint")
-                .trigger(availableNow=True)
-                .start()
-            )
-    new = spark.read.parquet(f"{path}/out").filter(F.col("result") != "HIT")
+    for i in range(slices):
+        part = spark.read.schema(rows.schema).parquet(f"{path}/slices/slice={i}")
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        _drain(rearm_stream(stream, path, f"{path}/checkpoint"))
+    new = spark.read.parquet(f"{path}/rearmed").filter(F.col("result") != "HIT")
     at = F.timestamp_micros("event_us").cast("timestamp_ntz")
     return new.select("key_hash", at.alias("event_ts"), "event_id")
 

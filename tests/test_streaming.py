@@ -7,6 +7,7 @@ from goldrec.operators import golden
 from goldrec.plans.durable import shared_dir, work_path
 from goldrec.sources.raw_events import parse_raw, raw_audit, raw_records, read_raw
 from goldrec.sources.tables import compact, current_golden, read_table
+from goldrec.streaming.idem import rearm, rearm_batch
 from goldrec.streaming.ingest import ingest_batch
 from goldrec.streaming.master import master_batch
 from tests import brute
@@ -116,3 +117,30 @@ def test_ingest_batches_equal_one_batch_can_be_repeated_and_leave_no_scratch(spa
     assert run(parts, [(1, parts[1]), (2, parts[2])]) == want
     left = {p.name for p in folder.glob("*")} - before
     assert all(name.startswith("ingest-test") for name in left)
+
+
+def test_rearming_folds_each_batch_from_the_stored_expiries(spark, tmp_path):
+    hour, schema = 3_600_000_000, "key_hash string, event_id bigint, event_us bigint, ttl_us bigint"
+    draw = random.Random(5)
+    rows = [(f"k{draw.randrange(9)}", i, draw.randrange(90) * hour // 4, 2 * hour) for i in range(300)]
+    rows += rows[::40]  # deliveries of the same request
+    rows.sort(key=lambda r: (r[2], r[1]))
+    want, expires = [], {}
+    for key, event_id, us, ttl in rows:
+        new = key not in expires or us > expires[key]
+        want.append((key, event_id, us, "HIT" if not new else "EXPIRED" if key in expires else "MISS"))
+        if new:
+            expires[key] = us + ttl
+    root = str(tmp_path)
+    for batch in (0, 1, 2, 1, 2):  # batches are repeated after a failure
+        part = [r for r in rows if r[2] // (8 * hour) == batch]
+        rearm_batch(spark.createDataFrame(part, schema), batch, root)
+    found = spark.read.parquet(f"{root}/rearmed").select("key_hash", "event_id", "event_us", "result").collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_rearming_calls_no_python_per_key(spark):
+    rows = spark.createDataFrame([("k", 1, 1, 1)], "key_hash string, event_id bigint, event_us bigint, ttl_us bigint")
+    stored = spark.createDataFrame([], "key_hash string, expires_us bigint")
+    plan = rearm(rows, stored)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "Python" not in plan and "Pandas" not in plan
