@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from goldrec.operators import match
+from goldrec.sources import fixtures as fx
 
 CONTACT = "{} string, name string, email string, phone string"
 
@@ -203,3 +204,18 @@ def test_one_changed_character_at_any_place_is_found(spark, box):
     )
     got = {r["national_id"]: r["score"] for r in match.scored_pairs(incoming, golden).collect()}
     assert set(got) == other and min(got.values()) > 0.7
+
+
+def test_scored_pairs_are_not_stored(spark, monkeypatch):
+    """Pairs of like names are as many as the square of a name's bearers."""
+    stored, store = [], match.durable
+
+    def durable(df, name="step"):
+        stored.append(set(df.columns))
+        return store(df, name)
+
+    monkeypatch.setattr(match, "durable", durable)
+    sf = "/root/testdata/sf0.001"
+    found = match.scored_pairs(fx.incoming_contacts(spark, sf), fx.golden_contacts(spark, sf))
+    assert found.count() and len(stored) > 4
+    assert not any({"email_score", "phone_score"} & columns for columns in stored)
