@@ -219,3 +219,18 @@ def test_scored_pairs_are_not_stored(spark, monkeypatch):
     found = match.scored_pairs(fx.incoming_contacts(spark, sf), fx.golden_contacts(spark, sf))
     assert found.count() and len(stored) > 4
     assert not any({"email_score", "phone_score"} & columns for columns in stored)
+
+
+def test_no_table_of_pairs_is_stored(spark, monkeypatch):
+    """Pairs are many times the contacts: they are told apart where they meet."""
+    stored, store = [], match.durable
+
+    def durable(df, name="step"):
+        stored.append(set(df.columns))
+        return store(df, name)
+
+    monkeypatch.setattr(match, "durable", durable)
+    incoming, golden = frames(spark, odd_contacts(2, 40, "i"), odd_contacts(3, 40, "g"))
+    scored = match.scored_pairs(incoming, golden)
+    assert scored.count() == scored.select("incoming_id", "national_id").distinct().count() > 0
+    assert not any({"incoming_id", "national_id"} <= columns for columns in stored)
