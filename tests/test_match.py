@@ -234,3 +234,21 @@ def test_no_table_of_pairs_is_stored(spark, monkeypatch):
     scored = match.scored_pairs(incoming, golden)
     assert scored.count() == scored.select("incoming_id", "national_id").distinct().count() > 0
     assert not any({"incoming_id", "national_id"} <= columns for columns in stored)
+
+
+@pytest.mark.parametrize("limit", [None, 20])
+def test_best_match_keeps_one_number_a_contact(spark, hot_limit, limit):
+    if limit:
+        hot_limit(limit)
+    copies = [("i", "Ann Doe", "a@x.org", None), (None, "Ann Doe", "b@x.org", None)]
+    incoming, golden = frames(spark, odd_contacts(5, 90, "i") + copies, odd_contacts(6, 90, "g") + copies + copies[:1])
+    pairs, places = match.placed_pairs(incoming, golden)
+    best = match.best_match(incoming, pairs, places)
+    want = match.best_match(incoming, pairs)
+    plan = best._jdf.queryExecution().executedPlan().toString().splitlines()
+    reduced = [line for line in plan if "partial_min" in line and "gold_place" in line]
+    assert reduced and all(" HashAggregate(" in line for line in reduced)
+    rows = sorted(map(str, best.collect()))
+    assert rows == sorted(map(str, want.collect())) and len(rows) == 92
+    ids = [r.national_id for r in places.orderBy("gold_place").collect()]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x))
