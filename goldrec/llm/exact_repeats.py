@@ -8,7 +8,8 @@ key. The work is done in four steps:
    of windows with one such hash is a *piece*. Equal windows have equal hashes, so
    pieces meet in buckets by that hash. A piece met whole in a smaller key goes. Where
    pieces differ, the first holder of each form is asked for its bytes.
-3. The bytes asked for meet in the same buckets. Their suffix array, with previous and
+3. The bytes asked for meet in the same buckets. Pieces of which no window's hash is met in
+   another owner stay as they are. The suffix array of the others, with previous and
    next smaller owners in suffix order, gives the longest previous factors: windows
    whose factor reaches 50 bytes go. A hash of which very many forms are asked for (the
    edge of a passage that stands in very many texts) is left out of this: its windows
@@ -51,6 +52,8 @@ CHUNK = 1 << 19
 PACK_BYTES = 2 << 20
 #: Pieces in one bucket, about.
 BUCKET_PIECES = 1 << 18
+#: Rows that are handed on at once.
+ROWS = 1 << 10
 #: Pieces of one hash whose bytes may meet in one bucket.
 HOT_PIECES = 1 << 15
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -175,13 +178,31 @@ class _Texts:
 # ---- whole pieces ---------------------------------------------------------
 
 _TYPES = {"h": "<u4", "content": "<u8", "owner": "<i8", "start": "<i4", "number": "<u1"}
-_BLOBS = ", ".join(f"{c} binary" for c in _TYPES)
+_PIECE_BLOBS = ", ".join(f"{c} binary" for c in _TYPES)
 _TYPES |= {"w1": "<u8", "w2": "<u8"}
 _PIECE = ("h", "content", "owner", "start", "number")
 
 
-def _bytes(columns: dict[str, np.ndarray], names: tuple[str, ...]) -> dict:
-    return {c: pa.array([columns[c].astype(_TYPES[c]).tobytes()], pa.binary()) for c in names}
+def _offsets(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin, and the end."""
+    n = len(ordered)
+    return np.r_[0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, n] if n else np.zeros(1, np.int64)
+
+
+def _blob(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A cell of bytes for the values between neighbouring offsets."""
+    values = np.ascontiguousarray(values)
+    at = (offsets * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(values)])
+
+
+def _blobs(columns: dict[str, np.ndarray], order: np.ndarray, offsets: np.ndarray, names: tuple[str, ...]) -> dict:
+    return {c: _blob(columns[c][order].astype(_TYPES[c]), offsets) for c in names}
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all runs of ``size`` from ``begin`` on, end to end."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
 def _pieces_of_packs(packs: DataFrame, buckets: int) -> DataFrame:
@@ -207,13 +228,14 @@ def _pieces_of_packs(packs: DataFrame, buckets: int) -> DataFrame:
                 later = _later(bucket, columns)
                 bucket[later] = buckets + row["pack"] % buckets
                 order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                for part in np.split(order, cuts) if len(order) else ():
-                    out = {"bucket": pa.array([int(bucket[part[0]])]), "pack": pa.array([row["pack"]])}
-                    mine = {c: v[part] for c, v in columns.items()}
-                    yield pa.RecordBatch.from_pydict(out | _bytes(mine, _PIECE))
+                offsets = _offsets(bucket[order])
+                first = bucket[order[offsets[:-1]]]
+                out = {"bucket": pa.array(first), "pack": pa.array(np.full(len(first), row["pack"], np.int64))}
+                found = pa.RecordBatch.from_pydict(out | _blobs(columns, order, offsets, _PIECE))
+                for at in range(0, len(first), ROWS):
+                    yield found.slice(at, ROWS)
 
-    return packs.mapInArrow(run, f"bucket long, pack long, {_BLOBS}")
+    return packs.mapInArrow(run, f"bucket long, pack long, {_PIECE_BLOBS}")
 
 
 def _later(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> np.ndarray:
@@ -241,25 +263,23 @@ def _settle(buckets: int, most: int):
     if more than ``most`` of their hash are."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("bucket", "pack", "ask", "hot", "h", "start", "number")}
+        out = []
 
         def give(ask: bool, hot: bool, pack: np.ndarray, columns: dict[str, np.ndarray]) -> None:
             order = np.argsort(pack, kind="stable")
-            cuts = np.flatnonzero(np.diff(pack[order])) + 1
-            for part in np.split(order, cuts) if len(order) else ():
-                out["bucket"].append(number_of_bucket)
-                out["pack"].append(int(pack[part[0]]))
-                out["ask"].append(ask)
-                out["hot"].append(hot)
-                for c in ("h", "start", "number"):
-                    out[c].append(columns[c][part].astype(_TYPES[c]).tobytes())
+            offsets = _offsets(pack[order])
+            n = len(offsets) - 1
+            head = {
+                "bucket": pa.array(np.full(n, number_of_bucket, np.int64)),
+                "pack": pa.array(pack[order[offsets[:-1]]].astype(np.int64)),
+                "ask": pa.array(np.full(n, ask)),
+                "hot": pa.array(np.full(n, hot)),
+            }
+            out.append(pa.table(head | _blobs(columns, order, offsets, ("h", "start", "number"))))
 
         number_of_bucket = table.column("bucket")[0].as_py()
-        columns = {
-            c: np.frombuffer(b"".join(table.column(c).to_pylist()), _TYPES[c]) for c in _PIECE
-        }
-        sizes = [len(x) for x in table.column("number").to_pylist()]
-        pack = np.repeat(table.column("pack").to_numpy(), sizes)
+        columns = _blobs_by(table, *_PIECE)
+        pack = np.repeat(table.column("pack").to_numpy(), _sizes(table))
         if number_of_bucket >= buckets:
             give(False, False, pack, columns)
         else:
@@ -276,8 +296,7 @@ def _settle(buckets: int, most: int):
             for some in (False, True):
                 mine = ask[hot == some]
                 give(True, some, pack[mine], {c: columns[c][mine] for c in ("h", "start", "number")})
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
+        return pa.concat_tables(out)
 
     return run
 
@@ -299,6 +318,11 @@ def _blobs_by(rows: pa.Table, *names: str) -> dict[str, np.ndarray]:
     return {c: np.frombuffer(b"".join(rows.column(c).to_pylist()), _TYPES[c]) for c in names}
 
 
+def _sizes(rows: pa.Table) -> np.ndarray:
+    """How many pieces each row has."""
+    return pc.binary_length(rows.column("number")).to_numpy()
+
+
 _FETCHED = "bucket long, pack long, data binary, owner binary, start binary, number binary, w1 binary, w2 binary"
 
 
@@ -307,38 +331,41 @@ def _fetch(buckets: int, spread: int):
     ``spread`` buckets by their hash. From ``buckets + spread`` on stand windows of which
     the pack holds a copy with a smaller owner."""
 
+    names = ("data", "owner", "start", "number", "w1", "w2")
+    schema = pa.schema([("bucket", pa.int64()), ("pack", pa.int64()), *((c, pa.binary()) for c in names)])
+
+    def rows(bucket: np.ndarray, pack: int, blobs: dict) -> pa.Table:
+        n = len(bucket)
+        head = {"bucket": pa.array(bucket, pa.int64()), "pack": pa.array(np.full(n, pack, np.int64))}
+        return pa.table(head | {c: blobs[c] if c in blobs else pa.nulls(n, pa.binary()) for c in names}, schema)
+
     def run(packs: pa.Table, asked: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("bucket", "pack", "data", "owner", "start", "number", "w1", "w2")}
-
-        def give(bucket: int, pack: int, **blobs: bytes) -> None:
-            for c, v in {"bucket": bucket, "pack": pack}.items():
-                out[c].append(v)
-            for c in ("data", "owner", "start", "number", "w1", "w2"):
-                out[c].append(blobs.get(c))
-
-        if packs.num_rows and asked.num_rows:
-            pack = packs.to_pylist()[0]
-            texts = _Texts(pack)
-            for row in asked.filter(pc.invert(asked.column("hot"))).to_pylist():
-                start = np.frombuffer(row["start"], _TYPES["start"]).astype(np.int64)
-                size = np.frombuffer(row["number"], _TYPES["number"]).astype(np.int64) + LEAST - 1
-                at = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
-                owner = texts.keys[texts.owner(start)].astype(_TYPES["owner"]).tobytes()
-                blobs = {"start": row["start"], "number": row["number"]}
-                give(row["bucket"], row["pack"], data=texts.data[at].tobytes(), owner=owner, **blobs)
-            hot = asked.filter(asked.column("hot"))
-            columns, later = _windows(texts, _blobs_by(hot, "start", "number"))
-            bucket = buckets + (columns["w1"] % np.uint64(spread)).astype(np.int64)
-            bucket[later] = buckets + spread + pack["pack"] % buckets
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            for p in np.split(order, cuts) if len(order) else ():
-                number = np.ones(len(p), _TYPES["number"]).tobytes()
-                names = ("start",) if later[p[0]] else ("start", "owner", "w1", "w2")
-                blobs = {c: columns[c][p].astype(_TYPES[c]).tobytes() for c in names}
-                give(int(bucket[p[0]]), pack["pack"], number=number, **blobs)
-        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
-        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
+        if not packs.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        pack = packs.to_pylist()[0]
+        texts = _Texts(pack)
+        some = asked.filter(pc.invert(asked.column("hot")))
+        piece = _blobs_by(some, "start", "number")
+        start, size = piece["start"].astype(np.int64), piece["number"].astype(np.int64) + LEAST - 1
+        cuts = np.r_[0, np.cumsum(_sizes(some))]
+        blobs = {
+            "data": _blob(texts.data[_ranges(start, size)], np.r_[0, np.cumsum(size)][cuts]),
+            "owner": _blob(texts.keys[texts.owner(start)].astype(_TYPES["owner"]), cuts),
+            "start": _blob(piece["start"], cuts),
+            "number": _blob(piece["number"], cuts),
+        }
+        out = [rows(some.column("bucket").to_numpy(), pack["pack"], blobs)]
+        hot = asked.filter(asked.column("hot"))
+        columns, later = _windows(texts, _blobs_by(hot, "start", "number"))
+        columns["number"] = np.ones(len(later), np.int64)
+        bucket = buckets + (columns["w1"] % np.uint64(spread)).astype(np.int64)
+        bucket[later] = buckets + spread + pack["pack"] % buckets
+        for mine, kept in ((~later, ("start", "number", "owner", "w1", "w2")), (later, ("start", "number"))):
+            order = np.flatnonzero(mine)
+            order = order[np.argsort(bucket[order], kind="stable")]
+            offsets = _offsets(bucket[order])
+            out.append(rows(bucket[order[offsets[:-1]]], pack["pack"], _blobs(columns, order, offsets, kept)))
+        return pa.concat_tables(out)
 
     return run
 
@@ -356,8 +383,7 @@ def window_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _windows(texts: _Texts, piece: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The windows of pieces, and of which the pack holds a copy with a smaller owner."""
-    number = piece["number"].astype(np.int64)
-    at = np.arange(int(number.sum())) + np.repeat(piece["start"] - (np.cumsum(number) - number), number)
+    at = _ranges(piece["start"].astype(np.int64), piece["number"].astype(np.int64))
     w1, w2 = window_hashes(texts.data, at)
     owner = texts.keys[texts.owner(at)]
     order = np.lexsort((owner, w2, w1))
@@ -389,46 +415,52 @@ def previous_factors(data: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> n
     return np.flatnonzero(longest_previous_factor(order, lcp, owner, LEAST))
 
 
-def _by_pack(pack: np.ndarray, start: np.ndarray) -> dict[str, list]:
+def _by_pack(pack: np.ndarray, start: np.ndarray) -> pa.Table:
     """Single windows as spans, a row for each pack."""
     order = np.argsort(pack, kind="stable")
-    cuts = np.flatnonzero(np.diff(pack[order])) + 1
-    parts = np.split(order, cuts) if len(order) else ()
-    return {
-        "pack": [int(pack[p[0]]) for p in parts],
-        "start": [start[p].astype("<i4").tobytes() for p in parts],
-        "number": [np.ones(len(p), "<u1").tobytes() for p in parts],
-    }
+    offsets = _offsets(pack[order])
+    out = {"pack": pa.array(pack[order[offsets[:-1]]].astype(np.int64))}
+    columns = {"start": start, "number": np.ones(len(start), np.int64)}
+    return pa.table(out | _blobs(columns, order, offsets, ("start", "number")))
+
+
+def _meeting(data: np.ndarray, begin: np.ndarray, number: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Pieces with a window of which another owner has one of equal hash. No other piece
+    can lose bytes or make others lose them, so no other one needs a place in suffix order."""
+    which = np.repeat(np.arange(len(number)), number)
+    w = window_hashes(data, _ranges(begin, number))[0]
+    order = np.argsort(w)
+    run = _starts(w[order])
+    mine = owner[which[order]]
+    apart = np.zeros(len(run), bool)
+    np.logical_or.at(apart, run, mine != mine[run])
+    return np.unique(which[order[apart[run]]])
 
 
 def _previous_factors(table: pa.Table) -> pa.Table:
     """Windows of the fetched pieces that also start in a smaller owner, by pack."""
     piece = _blobs_by(table, "owner", "start", "number")
     data = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8)
+    pack = np.repeat(table.column("pack").to_numpy(), _sizes(table))
     number = piece["number"].astype(np.int64)
     size = number + LEAST - 1
-    ends = np.repeat(np.cumsum(size), size)
-    hit = previous_factors(data, ends, np.repeat(piece["owner"], size))
     begin = np.cumsum(size) - size
-    which, at = np.repeat(np.arange(len(size)), size), np.arange(len(data))
-    start = piece["start"][which[hit]] + at[hit] - begin[which[hit]]
-    rows = [len(x) for x in table.column("number").to_pylist()]
-    pack = np.repeat(table.column("pack").to_numpy(), rows)[which[hit]]
-    kinds = (pa.int64(), pa.binary(), pa.binary())
-    return pa.table({c: pa.array(v, t) for (c, v), t in zip(_by_pack(pack, start).items(), kinds, strict=True)})
+    some = _meeting(data, begin, number, piece["owner"])
+    data, size = data[_ranges(begin[some], size[some])], size[some]
+    hit = previous_factors(data, np.repeat(np.cumsum(size), size), np.repeat(piece["owner"][some], size))
+    begin = np.cumsum(size) - size
+    which = np.repeat(np.arange(len(size)), size)[hit]
+    return _by_pack(pack[some][which], piece["start"][some][which] + hit - begin[which])
 
 
 def _later_windows(table: pa.Table) -> pa.Table:
     """Windows that also start in a smaller owner, by pack."""
     window = _blobs_by(table, "w1", "w2", "owner", "start")
-    sizes = [len(x) for x in table.column("number").to_pylist()]
-    pack = np.repeat(table.column("pack").to_numpy(), sizes)
+    pack = np.repeat(table.column("pack").to_numpy(), _sizes(table))
     order = np.lexsort((window["owner"], window["w2"], window["w1"]))
     owner = window["owner"][order]
     later = order[owner > owner[_starts(window["w1"][order], window["w2"][order])]]
-    kinds = (pa.int64(), pa.binary(), pa.binary())
-    found = _by_pack(pack[later], window["start"][later])
-    return pa.table({c: pa.array(v, t) for (c, v), t in zip(found.items(), kinds, strict=True)})
+    return _by_pack(pack[later], window["start"][later])
 
 
 def _meet(buckets: int, spread: int, factors):

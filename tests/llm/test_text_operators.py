@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -285,3 +286,48 @@ def test_edges_of_a_shared_passage_stay_out_of_one_group(docs_of, monkeypatch):
                 gone[i : i + 50] = True
         want.append((key, bytes(np.frombuffer(text.encode(), np.uint8)[~gone])))
     assert sorted(map(str, want)) == sorted(str((r.key, bytes(r.kept))) for r in got)
+
+
+def test_only_pieces_with_a_shared_window_get_a_place_in_suffix_order(monkeypatch):
+    """Pieces of equal owners, or that share fewer than 50 bytes, are left out; hits are those of all."""
+    rnd = random.Random(5)
+    common = "".join(rnd.choice("abcdef") for _ in range(84))
+    pieces = [(i % 40, "".join(rnd.choice("abcdef") for _ in range(80)), 1000 + i) for i in range(120)]
+    pieces += [(50, common, 7), (41, common[:70], 8), (60, common[30:], 9), (41, common[:70], 10), (70, "x" * 60, 11)]
+    pieces += [(3, common[:49] + "!" * 20, 12), (70, "x" * 60, 13)]
+    blob = {"data": b"".join(p.encode() for _, p, _ in pieces)}
+    blob["owner"] = np.array([o for o, _, _ in pieces], "<i8").tobytes()
+    blob["start"] = np.array([a for _, _, a in pieces], "<i4").tobytes()
+    blob["number"] = np.array([len(p) - exact_repeats.LEAST + 1 for _, p, _ in pieces], "<u1").tobytes()
+    table = pa.table({"pack": pa.array([6]), **{c: pa.array([v], pa.binary()) for c, v in blob.items()}})
+    sizes, factors = [], exact_repeats.previous_factors
+
+    def counted(data, ends, owner):
+        sizes.append(len(data))
+        return factors(data, ends, owner)
+
+    monkeypatch.setattr(exact_repeats, "previous_factors", counted)
+    (row,) = exact_repeats._previous_factors(table).to_pylist()
+    windows = [(p[i : i + 50], o, a + i) for o, p, a in pieces for i in range(len(p) - 49)]
+    least = {}
+    for w, o, _ in windows:
+        least[w] = min(least.get(w, o), o)
+    want = sorted(at for w, o, at in windows if o > least[w])
+    assert sorted(np.frombuffer(row["start"], "<i4").tolist()) == want and row["pack"] == 6 and len(want) > 20
+    assert sizes == [sum(len(p) for _, p, a in pieces if 7 <= a <= 10)]
+
+
+def test_pieces_of_a_pack_come_in_few_batches():
+    """A pack has a row for each bucket; rows are handed on together."""
+    rnd = random.Random(7)
+    text = "".join(rnd.choice("abcdefgh") for _ in range(40_000)).encode()
+    columns = {"pack": [3], "keys": [[1]], "sizes": [[len(text)]], "data": [pa.compress(text, "zstd", asbytes=True)]}
+    kept = []
+
+    class Packs:
+        def mapInArrow(self, run, schema):
+            kept.extend(run(iter([pa.RecordBatch.from_pydict(columns)])))
+
+    exact_repeats._pieces_of_packs(Packs(), 900)
+    assert sum(b.num_rows for b in kept) > 600 and len(kept) == 1
+    assert sorted(set(b for k in kept for b in k.column(0).to_pylist())) == kept[0].column(0).to_pylist()
